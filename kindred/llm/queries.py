@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing
+from . import chat, exact, langid, minhash, mixing, packing
 from .common import read
 
 
@@ -21,6 +21,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where(langid.bucket(F.col("doc_id"), 5) != 0).select("text", "lang"))
+    found = langid.classify(docs.select("doc_id", "text"), model)
+    held = (langid.bucket(F.col("doc_id"), 5) == 0).alias("held_out")
+    return found.select("doc_id", held, "langid.lang_pred", "langid.score", "langid.rejected")
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(read(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts hold control strings of a common template.
 PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -49,6 +65,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_packing": op5_packing,
+    "op6_langid": op6_langid,
+    "op7_near_dedup": op7_near_dedup,
     "op10_chat": op10_chat,
 }
 
