@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, minhash, mixing, packing
+from . import chat, exact, html, langid, minhash, mixing, packing, quality
 from .common import read
 
 
@@ -16,6 +16,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_classes(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -37,6 +42,15 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").where(langid.bucket(F.col("doc_id"), 3) != 1)
+    scored = quality.score(docs, *quality.fit(docs, labels))
+    held = (langid.bucket(F.col("doc_id"), 3) == 1).alias("held_out")
+    scored = scored.select("doc_id", held, F.col("quality_score").alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
 #: A conversation whose texts hold control strings of a common template.
 PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -64,10 +78,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_html": op2_html,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
     "op7_near_dedup": op7_near_dedup,
+    "op9_quality": op9_quality,
     "op10_chat": op10_chat,
 }
 
