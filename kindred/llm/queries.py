@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, html, langid, minhash, mixing, packing, quality
+from . import ann, chat, exact, html, langid, license, minhash, mixing, packing, quality
 from .common import read
 
 
@@ -21,6 +21,10 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_classes(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -42,6 +46,14 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(read(spark, sf_dir, "documents"))
 
 
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source / thousand / ten, where the first of ten is the LICENSE file."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    name = F.when(F.col("doc_id") % 10 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    ten = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 10").cast("string"))
+    return license.scan(docs.withColumn("path", F.concat_ws("/", ten, name)), key="doc_id")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").where(langid.bucket(F.col("doc_id"), 3) != 1)
@@ -79,10 +91,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_html": op2_html,
+    "op3_ann": op3_ann,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
     "op7_near_dedup": op7_near_dedup,
+    "op8_license": op8_license,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
 }
@@ -142,6 +156,34 @@ SELECT doc_id, keep_id, group_size,
        doc_id IS NOT DISTINCT FROM keep_id
          AND row_number() OVER (PARTITION BY n.t, doc_id) = 1 AS kept, sha256(n.t) AS text_sha256
 FROM n JOIN g ON n.t = g.t""",
+    "op8_license": rf"""
+WITH d AS (
+  SELECT doc_id, concat_ws('/', coalesce(source, 'none'), doc_id // 1000, doc_id // 10) AS dir,
+         CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name, text FROM documents),
+templates AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{lic}', {[w for w in license.words(t)]})" for i, (lic, t) in enumerate(license.TEMPLATES))}) t(template, licence, ws)),
+vocabulary AS (SELECT DISTINCT unnest(ws) AS w FROM templates),
+lines AS (SELECT doc_id, name, n, unnest(regexp_extract_all(lower(l), '{license.WORD}')) AS w
+  FROM (SELECT doc_id, name, unnest(ls) AS l, unnest(range(len(ls))) AS n FROM (SELECT doc_id, name, string_split(text, chr(10)) AS ls FROM d))),
+hits AS (SELECT * FROM lines SEMI JOIN vocabulary USING (w)),
+idf AS (SELECT w, ln(((SELECT count(*) FROM d) + 1) / (count(DISTINCT doc_id) + 1)) + 1 AS idf FROM vocabulary LEFT JOIN hits USING (w) GROUP BY w),
+units AS (SELECT doc_id, n, w, count(*) AS tf FROM hits GROUP BY ALL
+  UNION ALL SELECT doc_id, -1, w, count(*) FROM hits WHERE name = 'LICENSE' GROUP BY ALL),
+uw AS (SELECT doc_id, n, w, tf * idf AS x FROM units JOIN idf USING (w)),
+un AS (SELECT doc_id, n, sqrt(sum(x * x)) AS norm FROM uw GROUP BY ALL),
+tw AS (SELECT template, licence, w, count(*) * any_value(idf) AS x FROM (SELECT template, licence, unnest(ws) AS w FROM templates) JOIN idf USING (w) GROUP BY ALL),
+tn AS (SELECT template, sqrt(sum(x * x)) AS norm FROM tw GROUP BY ALL),
+cosines AS (SELECT doc_id, licence, round(sum(uw.x * tw.x) / any_value(un.norm) / any_value(tn.norm), 6) AS score
+  FROM uw JOIN tw USING (w) JOIN un USING (doc_id, n) JOIN tn USING (template) GROUP BY doc_id, n, template, licence),
+best AS (SELECT doc_id, licence, score FROM cosines QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1),
+own AS (SELECT d.doc_id, dir, name, dir || '/' || name AS path, score AS own_score, CASE WHEN score >= {license.SIMILARITY} THEN licence END AS own_license FROM d LEFT JOIN best USING (doc_id)),
+given AS (SELECT dir AS above, own_license AS given FROM own WHERE name = 'LICENSE' AND own_license IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, own_license) = 1),
+near AS (SELECT dir, above, given FROM (SELECT DISTINCT dir FROM own) JOIN given ON dir = above OR starts_with(dir, above || '/')
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) = 1)
+SELECT doc_id, path, own_license, own_score, coalesce(own_license, given) AS license,
+       CASE WHEN own_license IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS via,
+       CASE WHEN own_license IS NULL THEN above END AS from_dir
+FROM own LEFT JOIN near USING (dir)""",
     "op10_chat": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
