@@ -10,11 +10,12 @@ weighted Jaccard similarity.  A text stops making points when all components are
 
 Texts with equal word sequences are collapsed first.  Signatures are cut into bands;
 texts that share a band are candidates.  In each band's bucket all members are first
-compared with one leader, so that a bucket of n near copies costs n - 1 comparisons;
-what is then still in different classes of one bucket is compared in pairs, except where
-the signatures agree so rarely that the similarity can't be reached (by more than five
-standard deviations) or the bags' sizes rule it out.  Candidates are verified on whole
-bags; the links' connected components are the classes.
+compared with one leader, so that a bucket of n near copies costs n - 1 comparisons.
+Buckets of one leader are a group; what is then still in different classes of one group
+is compared block by block, except where the signatures agree so rarely that the
+similarity can't be reached (by more than four standard deviations) or the bags' sizes
+rule it out.  Candidates are verified on whole bags; the links' connected components are
+the classes.
 
 Cases: a null text is empty; all texts without a word are one class.  Rows with equal
 doc_id and words give one row each, of which one at most is kept.  Rows with a null
@@ -38,8 +39,10 @@ from .common import components, materialize, mix64, small_batches
 
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
-#: Five standard deviations under SIMILARITY, for BANDS * ROWS components.
-AGREEMENT = 0.655
+#: Four standard deviations under SIMILARITY, for BANDS * ROWS components.
+AGREEMENT = 0.685
+#: Shingles in a block of a group that is compared block by block, about.
+BLOCK_WEIGHT = 400_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -151,15 +154,98 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.mapInPandas(lambda it: _verify(it, similarity), "a long, b long")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of the pairs' documents, one row per doc_id."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = nodes.select("doc_id", "th").join(ids, "doc_id", "left_semi")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the wanted (doc_id, th), one row per doc_id."""
     rowed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     return rowed.join(wanted, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]).select("doc_id", "text")
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, agreement: float = AGREEMENT) -> DataFrame:
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """``band, node, leader``: the members of each bucket of two or more.
+
+    The leader is the member with the most company over all its buckets, which in a
+    family of copies is what they were made from.
+    """
+    spread = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
+    shared = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    member = materialize(spread.join(shared, "band"))
+    company = member.groupBy("node").agg(F.sum("n").alias("company"))
+    ranked = member.select("band", "node").join(company, "node")
+    lead = ranked.groupBy("band").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("x"))
+    return member.select("band", "node").join(lead.select("band", (-F.col("x.minus")).alias("leader")), "band")
+
+
+def _blocks(groups: DataFrame, block: int) -> DataFrame:
+    """``groups`` (leader, node, part, weight) of which some are in different parts, as blocks to compare.
+
+    A group is compared block by block: rows ``leader, i, j, k``, of which a task gets
+    all with one (leader, i, j), and k is the block that the row is in.  Blocks are of
+    bounded weight.  The largest part's members are not compared with each other.
+    """
+    by_part = groups.groupBy("leader", "part").agg(F.sum("weight").alias("w"))
+    about = by_part.groupBy("leader").agg(F.max(F.struct("w", "part")).alias("x"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1")
+    about = about.select(
+        "leader", F.col("x.part").alias("major"), (F.col("w") <= block).alias("small"),
+        F.ceil(F.col("x.w") / block).alias("majors"), F.ceil((F.col("w") - F.col("x.w")) / block).alias("others"),
+    )
+    placed = groups.join(about, "leader").withColumn("ismajor", F.col("part") == F.col("major"))
+    placed = placed.withColumn("k", F.expr("""
+        CASE WHEN small THEN 0L WHEN ismajor THEN others + pmod(xxhash64(node), majors) ELSE pmod(xxhash64(node), others) END"""))
+    meets = F.expr("""
+        CASE WHEN small THEN array(named_struct('i', 0L, 'j', 0L))
+             WHEN ismajor THEN transform(sequence(0L, others - 1), c -> named_struct('i', c, 'j', k))
+             ELSE concat(transform(sequence(0L, others - 1), c -> named_struct('i', least(c, k), 'j', greatest(c, k))),
+                         transform(sequence(others, others + majors - 1), c -> named_struct('i', k, 'j', c))) END""")
+    return placed.select("leader", "node", "part", "weight", "k", meets.alias("meets"))
+
+
+def _compared(batches: Iterator[pa.RecordBatch], similarity: float, agreement: float) -> Iterator[pa.RecordBatch]:
+    """Links between different parts, from rows sorted by (leader, i, j); one such set is held at a time."""
+    held: list[dict] = []
+    now = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = row["leader"], row["i"], row["j"]
+            if key != now and held:
+                yield _block_links(held, now, similarity, agreement)
+                held = []
+            now = key
+            held.append(row)
+    if held:
+        yield _block_links(held, now, similarity, agreement)
+
+
+def _block_links(rows: list[dict], key: tuple, similarity: float, agreement: float) -> pa.RecordBatch:
+    left = [r for r in rows if r["k"] == key[1]]
+    right = left if key[1] == key[2] else [r for r in rows if r["k"] == key[2]]
+    found: list[tuple[int, int]] = []
+    if left and right:
+        sig = np.frombuffer(b"".join(r["sig"] for r in right), dtype=np.uint8).reshape(len(right), -1)
+        part = np.array([r["part"] for r in right])
+        weight = np.array([r["weight"] for r in right], dtype=float)
+        for x, r in enumerate(left):
+            near = np.flatnonzero((part != r["part"]) & (np.minimum(weight, r["weight"]) >= similarity * np.maximum(weight, r["weight"])))
+            if left is right:
+                near = near[near > x]
+            if len(near):
+                mine = np.frombuffer(r["sig"], dtype=np.uint8)
+                found += [(x, y) for y in near[(sig[near] == mine).mean(axis=1) >= agreement]]
+    good = []
+    if found:
+        bag_of = {}
+        for side, n in ((left, 0), (right, 1)):
+            some = sorted({f[n] for f in found})
+            for at in range(0, len(some), 256):
+                part_of = some[at : at + 256]
+                h, first = shingles.word_hashes([side[x]["text"] for x in part_of])
+                text, s, count = shingles.bags(h, first)
+                cut = np.searchsorted(text, np.arange(len(part_of) + 1))
+                bag_of |= {(n, x): (s[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]) for i, x in enumerate(part_of)}
+        good = [(left[x]["node"], right[y]["node"]) for x, y in found if shingles.overlap(bag_of[0, x], bag_of[1, y]) >= similarity]
+    return pa.RecordBatch.from_arrays([pa.array([g[n] for g in good], pa.int64()) for n in (0, 1)], names=["a", "b"])
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, agreement: float = AGREEMENT, block: int = BLOCK_WEIGHT) -> DataFrame:
     """``doc_id, class_id, class_size, kept``: one row per row of ``docs``; the class id is its smallest doc_id."""
     found = materialize(prints(docs, bands, rows))
     same = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
@@ -170,35 +256,22 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
         heads.where("weight > 0").dropDuplicates(["doc_id", "th", "k1", "k2"]).join(chosen, ["doc_id", "th", "k1", "k2"], "left_semi")
         .select("doc_id", "th", "weight", "bands", "sig")
     )
-    spread = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    buckets = spread.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    member = materialize(spread.join(buckets.select("band", "leader"), "band"))
-    size = nodes.select("doc_id", "weight")
-    star = member.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    star = _fitting(star, size, similarity)
-    star = materialize(star)
-    first = materialize(_links(star, materialize(_texts(docs, nodes, star)), similarity))
+    groups = materialize(_buckets(nodes).select("leader", "node").distinct())
+    members = groups.select(F.col("node").alias("doc_id")).distinct()
+    texts = materialize(_texts(docs, nodes.select("doc_id", "th").join(members, "doc_id", "left_semi")))
+    star = groups.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    first = materialize(_links(_fitting(star, nodes.select("doc_id", "weight"), similarity), texts, similarity))
     parts = materialize(components(first))
 
-    # what the stars have left in different classes of one bucket
-    label = F.coalesce("root", "node").alias("part")
-    placed = member.join(parts, "node", "left").select("band", "node", label)
-    mixed = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("band")
-    rest = placed.join(mixed, "band", "left_semi").join(nodes.select(F.col("doc_id").alias("node"), "weight", "sig"), "node")
-    rest = materialize(rest)
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.node") < F.col("y.node"))
-                   & (F.least("x.weight", "y.weight") >= similarity * F.greatest("x.weight", "y.weight")))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.sig").alias("sa"), F.col("y.sig").alias("sb"))
-    pairs = pairs.dropDuplicates(["a", "b"]).join(star, ["a", "b"], "left_anti")
-    agree = _agreement()
-    pairs = materialize(pairs.where(agree("sa", "sb") >= agreement).select("a", "b"))
-    edges = first
-    if not pairs.isEmpty():
-        second = materialize(_links(pairs, materialize(_texts(docs, nodes, pairs)), similarity))
-        if not second.isEmpty():
-            edges = first.unionByName(second)
-            parts = materialize(components(edges))
+    # what the stars have left in different classes of one group
+    carried = nodes.select(F.col("doc_id").alias("node"), "weight", "sig")
+    placed = groups.join(parts, "node", "left").join(carried.select("node", "weight"), "node").select("leader", "node", F.coalesce("root", "node").alias("part"), "weight")
+    rest = _blocks(placed, block).join(carried.select("node", "sig"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    rest = rest.withColumn("m", F.explode("meets")).select("leader", "m.i", "m.j", "k", "node", "part", "weight", "sig", "text")
+    dealt = rest.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    second = materialize(dealt.mapInArrow(lambda it: _compared(it, similarity, agreement), "a long, b long"))
+    if not second.isEmpty():
+        parts = materialize(components(first.unionByName(second)))
     classes = same.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("class_id"))
     sizes = classes.groupBy("class_id").agg(F.sum("n").alias("class_size"))  # a null id joins nothing: its class is its copies
     whole = classes.join(sizes, "class_id", "left").select("k1", "k2", "class_id", F.coalesce("class_size", "n").alias("class_size"))
@@ -215,19 +288,6 @@ def _fitting(pairs: DataFrame, size: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.least("wa", "wb") >= similarity * F.greatest("wa", "wb")).select("a", "b")
 
 
-def _agreement():
-    @F.pandas_udf("double")
-    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=float)
-        m = len(a.iloc[0])
-        x = np.frombuffer(b"".join(a), dtype=np.uint8).reshape(-1, m)
-        y = np.frombuffer(b"".join(b), dtype=np.uint8).reshape(-1, m)
-        return pd.Series((x == y).mean(axis=1))
-
-    return agree
-
-
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class, that with the smallest doc_id."""
     kept = near_classes(docs, **options).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"))
