@@ -175,7 +175,7 @@ def from_documents(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.concat(src, F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), src.alias("src"),
         F.regexp_extract(text, r"^[^.\n]*", 0).alias("business_name"),
-        F.concat(F.length(text).cast("string"), F.lit(" "), F.regexp_extract(text, r"[^\n]*\z", 0)).alias("business_address"),
+        F.concat(F.length(text).cast("string"), F.lit(" "), F.substring_index(text, "\n", -1)).alias("business_address"),
         F.coalesce("lang", F.lit("")).alias("country"),
     )
 
