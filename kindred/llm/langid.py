@@ -37,6 +37,9 @@ MARGIN = 0.005
 MAX_LANGUAGES = 1_000
 #: Compression level, and that for texts of a few bytes, where each match counts.
 LEVEL, SHORT_LEVEL, SHORT_BYTES = 6, 12, 1_024
+#: A short text is compressed behind so much text of the language, for by itself it
+#: would be stored as it stands; what it adds to the size counts.
+PRIMER_BYTES = 500
 #: How many times the sample's size the threshold lets through.
 OVERSAMPLE = 4
 
@@ -90,7 +93,12 @@ class Classifier:
 
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.languages = sorted(dictionaries)
-        self.long, self.short = ([self._compressor(dictionaries[x], level) for x in self.languages] for level in (LEVEL, SHORT_LEVEL))
+        self.long = [self._compressor(dictionaries[x], LEVEL) for x in self.languages]
+        self.short = []
+        for x in self.languages:
+            primer, rest = dictionaries[x][:PRIMER_BYTES], dictionaries[x][PRIMER_BYTES:]
+            c = self._compressor(rest or primer, SHORT_LEVEL)
+            self.short.append((c, primer, len(c.compress(primer))))
 
     @staticmethod
     def _compressor(raw: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -100,8 +108,10 @@ class Classifier:
 
     def sizes(self, text: str) -> list[int]:
         raw = letters(text)
+        if len(raw) <= SHORT_BYTES:
+            return [max(1, len(c.compress(primer + raw)) - alone) for c, primer, alone in self.short]
         blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
-        return [sum(len(c.compress(b)) for b in blocks) for c in (self.short if len(raw) <= SHORT_BYTES else self.long)]
+        return [sum(len(c.compress(b)) for b in blocks) for c in self.long]
 
     def predict(self, text: str | None, margin: float = MARGIN) -> tuple[str, float, bool]:
         """The language, how much larger the runner-up is (0 to 1), and whether the margin is too narrow."""
