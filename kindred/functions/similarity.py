@@ -2,127 +2,98 @@
 
 ``indel_ratio`` of two strings is twice the length of their longest common subsequence
 over the sum of their lengths; two empty strings are equal (1).  Token-set ratio is 0 if
-either side has no token.  The Arrow functions take whole batches and compare each
-different pair of a batch once; ``indel_ratio_expr`` is the same as an expression.
+either side has no token.  The Arrow functions compare whole batches at
+once (see ``bulk``); ``indel_ratio_expr`` is the ratio as an expression.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bulk import partials, ratios
 
-def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence: one big-integer addition for each character of ``b``."""
-    if not a or not b:
-        return 0
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    open_ = full  # zero bits mark steps of the subsequence
-    for c in b:
-        hit = open_ & where.get(c, 0)
-        open_ = (open_ + hit | open_ - hit) & full
-    return len(a) - open_.bit_count()
 
+def _sorted(s: str) -> str:
+    return " ".join(sorted(s.split()))
 
-@lru_cache(maxsize=200_000)
-def ratio(a: str, b: str) -> float:
-    total = len(a) + len(b)
-    return 2 * _common(a, b) / total if total else 1.0
 
+def sort_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    return ratios([_sorted(x) for x in a], [_sorted(y) for y in b])
 
-def sort_ratio(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
+def set_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """The best of three ratios: the common tokens, and these with either side's own, against each other."""
+    left, right, floor = [], [], np.zeros(len(a))
+    for i, (p, q) in enumerate(zip(a, b, strict=True)):
+        x, y = set(p.split()), set(q.split())
+        both = " ".join(sorted(x & y))
+        one, two = (f"{both} {' '.join(sorted(own))}".strip() for own in (x - y, y - x))
+        if not x or not y:
+            one, two = "a", "b"
+        elif both:  # the common tokens begin the longer strings, and so are their subsequence
+            floor[i] = max(2 * len(both) / (len(both) + len(z)) for z in (one, two))
+        left.append(one)
+        right.append(two)
+    return np.maximum(floor, ratios(left, right))
 
-def set_ratio(a: str, b: str) -> float:
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both = " ".join(sorted(x & y))
-    if both and (x <= y or y <= x):
-        return 1.0
-    left, right = " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    joined_left, joined_right = f"{both} {left}".strip(), f"{both} {right}".strip()
-    best = ratio(joined_left, joined_right)
-    return max(best, ratio(both, joined_left), ratio(both, joined_right)) if both else best
 
+def best_ratios(xs: list[list[str]], ys: list[list[str]]) -> list[list[float]]:
+    """For each string of each list, its best ratio to a string of the other list (0 if that is empty)."""
+    pairs = [(x, y) for a, b in zip(xs, ys, strict=True) for x, y in product(a, b)]
+    got = ratios([x for x, _ in pairs], [y for _, y in pairs]) if pairs else np.zeros(0)
+    out, at = [], 0
+    for a, b in zip(xs, ys, strict=True):
+        n = len(a) * len(b)
+        out.append(got[at : at + n].reshape(len(a), len(b)).max(axis=1).tolist() if n else [0.0] * len(a))
+        at += n
+    return out
+
+
+def _strings(s: pd.Series) -> list[str]:
+    return s.fillna("").tolist()
 
-def partial(a: str, b: str) -> float:
-    """The best ratio of the shorter string to a window of its length (or cut off at an end) of the longer."""
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    if len(a) == len(b):
-        return max(_windows(a, b), _windows(b, a))
-    return _windows(a, b) if len(a) < len(b) else _windows(b, a)
-
-
-def _windows(short: str, long: str) -> float:
-    n = len(short)
-    if short in long:
-        return 1.0
-    # a window holds no longer common subsequence than the whole: that bounds what is left to find
-    best, most = 0.0, _common(short, long)
-    for i in range(1 - n, len(long)):
-        window = long[max(0, i) : i + n]
-        if 2 * min(most, len(window)) / (n + len(window)) <= best or window[-1] not in short and i + n < len(long):
-            continue  # a window that ends with a foreign letter is no better than the one before it
-        best = max(best, 2 * _common(short, window) / (n + len(window)))
-    return best
-
-
-def _compared(f, a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple[str, str], float] = {}
-    out = []
-    for x, y in zip(a.fillna(""), b.fillna(""), strict=True):
-        if (x, y) not in known:
-            known[x, y] = f(x, y)
-        out.append(known[x, y])
-    return pd.Series(out, dtype=float)
+
+def _lists(s: pd.Series) -> list[list[str]]:
+    return [[] if x is None else list(x) for x in s]
 
 
 # The Arrow functions are made when they are used: workers import this module without a session.
 def _arrow(f, a: Column | str, b: Column | str) -> Column:
     def compared(x: pd.Series, y: pd.Series) -> pd.Series:
-        return _compared(f, x, y)
+        return pd.Series(f(_strings(x), _strings(y)), dtype=float)
 
     return F.pandas_udf(compared, "double")(a, b)
 
 
 def indel_ratio(a: Column | str, b: Column | str) -> Column:
-    return _arrow(ratio, a, b)
+    return _arrow(ratios, a, b)
 
 
 def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
-    return _arrow(sort_ratio, a, b)
+    return _arrow(sort_ratios, a, b)
 
 
 def token_set_ratio(a: Column | str, b: Column | str) -> Column:
-    return _arrow(set_ratio, a, b)
+    return _arrow(set_ratios, a, b)
 
 
 def partial_ratio(a: Column | str, b: Column | str) -> Column:
-    return _arrow(partial, a, b)
-
-
-def _best(xs, ys) -> list[float]:
-    return [max((ratio(x, y) for y in ys), default=0.0) for x in xs]
-
-
-def _best_matches(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_best(x if x is not None else [], y if y is not None else []) for x, y in zip(a, b, strict=True)], dtype=object)
+    """The best ratio of the shorter string to a window of its length (or cut off at an end) of the longer."""
+    return _arrow(partials, a, b)
 
 
 def best_matches(a: Column | str, b: Column | str) -> Column:
     """For each string of ``a``, its best ratio to a string of ``b``."""
-    return F.pandas_udf(_best_matches, "array<double>")(a, b)
+
+    def best(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(best_ratios(_lists(x), _lists(y)), dtype=object)
+
+    return F.pandas_udf(best, "array<double>")(a, b)
 
 
 PAIR_FIELDS = (
@@ -131,15 +102,28 @@ PAIR_FIELDS = (
 )
 
 
-def _pair(*columns: pd.Series) -> pd.DataFrame:
-    rows = []
-    for c1, c2, k1, k2, s1, s2, a1, a2, t1, t2, n1, n2 in zip(*columns, strict=True):
-        n1, n2 = list(n1)[:6], list(n2)[:6]
-        rows.append((
-            set_ratio(c1, c2), sort_ratio(c1, c2), ratio(k1, k2), partial(k1, k2), set_ratio(s1, s2), set_ratio(a1, a2), sort_ratio(a1, a2),
-            _best(t1, t2) if len(t2) else [], _best(t2, t1) if len(t1) else [], max((ratio(x, y) for x in n1 for y in n2), default=0.0),
-        ))
-    return pd.DataFrame(rows, columns=[f.split()[0] for f in PAIR_FIELDS.split(",")])
+#: Pairs that are compared together.
+SLICE = 512
+
+
+def _pair(
+    core1: pd.Series, core2: pd.Series, comp1: pd.Series, comp2: pd.Series, skel1: pd.Series, skel2: pd.Series,
+    text1: pd.Series, text2: pd.Series, set1: pd.Series, set2: pd.Series, num1: pd.Series, num2: pd.Series,
+) -> pd.DataFrame:
+    parts = []
+    for at in range(0, len(core1), SLICE):
+        cut = slice(at, at + SLICE)
+        c1, c2, k1, k2, s1, s2, a1, a2 = (_strings(x.iloc[cut]) for x in (core1, core2, comp1, comp2, skel1, skel2, text1, text2))
+        t1, t2, n1, n2 = (_lists(x.iloc[cut]) for x in (set1, set2, num1, num2))
+        digits = best_ratios([x[:6] for x in n1], [x[:6] for x in n2])
+        none1, none2 = best_ratios(t1, t2), best_ratios(t2, t1)
+        parts.append(pd.DataFrame({
+            "name_tsr": set_ratios(c1, c2), "name_sort": sort_ratios(c1, c2), "name_ratio": ratios(k1, k2), "name_partial": partials(k1, k2),
+            "name_skel": set_ratios(s1, s2), "addr_tsr": set_ratios(a1, a2), "addr_sort": sort_ratios(a1, a2),
+            "best1": [x if y else [] for x, y in zip(none1, t2, strict=True)], "best2": [x if y else [] for x, y in zip(none2, t1, strict=True)],
+            "num_digitsim": [max(x, default=0.0) for x in digits],
+        }))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({f.split()[0]: [] for f in PAIR_FIELDS.split(",")})
 
 
 def pair_similarity(*columns: str) -> Column:
@@ -147,14 +131,7 @@ def pair_similarity(*columns: str) -> Column:
 
     Columns, each for both sides: core, compact, skeletons, address text, token set, numbers.
     """
-    return F.pandas_udf(_pair_of_twelve, PAIR_FIELDS)(*columns)
-
-
-def _pair_of_twelve(
-    a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series,
-    g: pd.Series, h: pd.Series, i: pd.Series, j: pd.Series, k: pd.Series, m: pd.Series,
-) -> pd.DataFrame:
-    return _pair(a, b, c, d, e, f, g, h, i, j, k, m)
+    return F.pandas_udf(_pair, PAIR_FIELDS)(*columns)
 
 
 def indel_ratio_expr(a: Column, b: Column) -> Column:
