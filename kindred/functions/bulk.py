@@ -80,13 +80,19 @@ def _chunks(order: np.ndarray, weight: np.ndarray):
 
 def common(a: list[str], b: list[str]) -> np.ndarray:
     """Length of the longest common subsequence of each pair."""
-    swapped = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)]
     number: dict[str, int] = {}
-    which = np.array([[number.setdefault(x, len(number)), number.setdefault(y, len(number))] for x, y in swapped], dtype=np.int64).reshape(-1, 2)
-    coded = Coded(list(number))
-    pairs, back = np.unique(which, axis=0, return_inverse=True) if len(which) else (which, np.zeros(0, np.int64))
+    which = np.array([[number.setdefault(x, len(number)), number.setdefault(y, len(number))] for x, y in zip(a, b, strict=True)], dtype=np.int64).reshape(-1, 2)
+    return common_of(list(number), which[:, 0], which[:, 1])
+
+
+def common_of(strings: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of ``strings[a[i]]`` and ``strings[b[i]]``; each different pair is compared once."""
+    coded = Coded(strings)
+    swap = coded.lengths[a] > coded.lengths[b]
+    keys = np.where(swap, b, a) * max(1, len(strings)) + np.where(swap, a, b)
+    pairs, back = np.unique(keys, return_inverse=True)
     out = np.zeros(len(pairs), dtype=np.int64)
-    short, long = pairs[:, 0], pairs[:, 1]
+    short, long = pairs // max(1, len(strings)), pairs % max(1, len(strings))
     n, m = coded.lengths[short], coded.lengths[long]
     words = np.maximum(1, -(-n // 64))
     live = np.flatnonzero(n > 0)

@@ -8,14 +8,12 @@ once (see ``bulk``); ``indel_ratio_expr`` is the ratio as an expression.
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .bulk import partials, ratios
+from .bulk import common_of, partials, ratios
 
 
 def _sorted(s: str) -> str:
@@ -42,16 +40,24 @@ def set_ratios(a: list[str], b: list[str]) -> np.ndarray:
     return np.maximum(floor, ratios(left, right))
 
 
-def best_ratios(xs: list[list[str]], ys: list[list[str]]) -> list[list[float]]:
-    """For each string of each list, its best ratio to a string of the other list (0 if that is empty)."""
-    pairs = [(x, y) for a, b in zip(xs, ys, strict=True) for x, y in product(a, b)]
-    got = ratios([x for x, _ in pairs], [y for _, y in pairs]) if pairs else np.zeros(0)
-    out, at = [], 0
-    for a, b in zip(xs, ys, strict=True):
-        n = len(a) * len(b)
-        out.append(got[at : at + n].reshape(len(a), len(b)).max(axis=1).tolist() if n else [0.0] * len(a))
+def best_both(xs: list[list[str]], ys: list[list[str]]) -> tuple[list[list[float]], list[list[float]]]:
+    """For each string of each list, its best ratio to a string of the other list (0 if that is empty); both ways."""
+    number: dict[str, int] = {}
+    own = [[np.array([number.setdefault(t, len(number)) for t in ts], dtype=np.int64) for ts in side] for side in (xs, ys)]
+    left = [np.repeat(a, len(b)) for a, b in zip(*own, strict=True)]
+    right = [np.tile(b, len(a)) for a, b in zip(*own, strict=True)]
+    strings = list(number)
+    a, b = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
+    size = np.array([len(s) for s in strings], dtype=np.int64)
+    got = 2 * common_of(strings, a, b) / np.maximum(size[a] + size[b], 1) if len(a) else np.zeros(0)
+    one, two, at = [], [], 0
+    for x, y in zip(xs, ys, strict=True):
+        n = len(x) * len(y)
+        table = got[at : at + n].reshape(len(x), len(y))
+        one.append(table.max(axis=1).tolist() if n else [0.0] * len(x))
+        two.append(table.max(axis=0).tolist() if n else [0.0] * len(y))
         at += n
-    return out
+    return one, two
 
 
 def _strings(s: pd.Series) -> list[str]:
@@ -91,7 +97,7 @@ def best_matches(a: Column | str, b: Column | str) -> Column:
     """For each string of ``a``, its best ratio to a string of ``b``."""
 
     def best(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(best_ratios(_lists(x), _lists(y)), dtype=object)
+        return pd.Series(best_both(_lists(x), _lists(y))[0], dtype=object)
 
     return F.pandas_udf(best, "array<double>")(a, b)
 
@@ -103,7 +109,7 @@ PAIR_FIELDS = (
 
 
 #: Pairs that are compared together.
-SLICE = 512
+SLICE = 4096
 
 
 def _pair(
@@ -115,12 +121,12 @@ def _pair(
         cut = slice(at, at + SLICE)
         c1, c2, k1, k2, s1, s2, a1, a2 = (_strings(x.iloc[cut]) for x in (core1, core2, comp1, comp2, skel1, skel2, text1, text2))
         t1, t2, n1, n2 = (_lists(x.iloc[cut]) for x in (set1, set2, num1, num2))
-        digits = best_ratios([x[:6] for x in n1], [x[:6] for x in n2])
-        none1, none2 = best_ratios(t1, t2), best_ratios(t2, t1)
+        digits = best_both([x[:6] for x in n1], [x[:6] for x in n2])[0]
+        best1, best2 = best_both(t1, t2)
         parts.append(pd.DataFrame({
             "name_tsr": set_ratios(c1, c2), "name_sort": sort_ratios(c1, c2), "name_ratio": ratios(k1, k2), "name_partial": partials(k1, k2),
             "name_skel": set_ratios(s1, s2), "addr_tsr": set_ratios(a1, a2), "addr_sort": sort_ratios(a1, a2),
-            "best1": [x if y else [] for x, y in zip(none1, t2, strict=True)], "best2": [x if y else [] for x, y in zip(none2, t1, strict=True)],
+            "best1": [x if y else [] for x, y in zip(best1, t2, strict=True)], "best2": [x if y else [] for x, y in zip(best2, t1, strict=True)],
             "num_digitsim": [max(x, default=0.0) for x in digits],
         }))
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({f.split()[0]: [] for f in PAIR_FIELDS.split(",")})
