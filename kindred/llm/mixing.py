@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import word_count
+from .common import materialize, word_count
 
 #: Entropy of the mixture, as a part of that of equal weights.
 TARGET_ENTROPY = 0.97
@@ -92,10 +92,11 @@ def plan(
     first token in its source's stream over all epochs.
     """
     spark = docs.sparkSession
-    rows = docs.select(
+    # the texts are read once, for their lengths
+    rows = materialize(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         word_count(F.col("text")).alias("n_tokens"),
-    )
+    ))
     sums = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
