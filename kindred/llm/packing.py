@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import materialize, word_count
 from .exact import normalized
 
 #: Tokens in a sequence.
@@ -99,10 +99,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     if capacity < 1 or shard_rows < 1:
         raise ValueError("capacity and shard_rows must be positive")
     cluster = F.col("cluster").cast("string") if "cluster" in docs.columns else F.md5(normalized(F.col("text")))
-    rows = docs.select(
+    # the texts are read once, for their lengths and digests
+    rows = materialize(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         word_count(F.col("text")).alias("n"), cluster.alias("cluster"),
-    )
+    ))
     counts = rows.groupBy("source").agg(
         F.count("*").alias("rows"), F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / capacity))).alias("pieces")
     )
