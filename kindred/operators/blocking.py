@@ -84,10 +84,14 @@ def probe_keys(keys: DataFrame, cfg: Blocking = Blocking()) -> DataFrame:
     return keys.where("src = 'S1'").join(usable_keys(keys, cfg).select("key").distinct(), "key", "left_semi")
 
 
-def scored_pairs(keys: DataFrame, cfg: Blocking = Blocking()) -> DataFrame:
-    """``s1_id, src, cand_id, block_name, block_addr, block_score``: the weights of the shared keys, summed."""
+def scored_pairs(keys: DataFrame, cfg: Blocking = Blocking(), index: DataFrame | None = None) -> DataFrame:
+    """``s1_id, src, cand_id, block_name, block_addr, block_score``: the weights of the shared keys, summed.
+
+    ``index`` has the usable keys of the other side where they are known already.
+    """
     left = keys.where("src = 'S1'").select("key", F.col("entity_id").alias("s1_id"))
-    right = usable_keys(keys, cfg).select("key", "src", F.col("entity_id").alias("cand_id"), "family", "w")
+    usable = usable_keys(keys, cfg) if index is None else index
+    right = usable.select("key", "src", F.col("entity_id").alias("cand_id"), "family", "w")
     part = lambda family: F.sum(F.when(F.col("family") == family, F.col("w")).otherwise(0.0))
     sums = left.join(right, "key").groupBy("s1_id", "src", "cand_id").agg(part("name").alias("block_name"), part("addr").alias("block_addr"))
     return sums.withColumn("block_score", F.col("block_name") + F.col("block_addr"))
