@@ -316,9 +316,10 @@ def website_features(spark, sf_dir):
 
 
 def _part_pairs(spark, sf_dir):
-    """All pairs of different part names (a short list: names repeat)."""
+    """The different part names that share a word, in pairs, and some known strings."""
     names = _table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
-    pairs = names.withColumn("k", F.lit(1)).join(names.select(F.col("a").alias("b"), F.lit(1).alias("k")), "k").where("a <= b").drop("k")
+    words = names.select("a", F.explode(F.array_distinct(F.split("a", " "))).alias("w"))
+    pairs = words.join(words.select(F.col("a").alias("b"), "w"), "w").where("a <= b").select("a", "b").distinct()
     return pairs.unionByName(_values(spark, [("limited", "limitteed"), ("2204", "204"), ("131", "31"), ("405", "406"), ("", ""), ("", "abc")], "a string, b string"))
 
 

@@ -265,7 +265,7 @@ def ratio(a: str, b: str) -> str:
 
 PART_PAIRS = """
 names AS (SELECT DISTINCT p_name FROM part),
-part_pairs AS MATERIALIZED (SELECT x.p_name AS a, y.p_name AS b FROM names x JOIN names y ON x.p_name <= y.p_name
+part_pairs AS MATERIALIZED (SELECT x.p_name AS a, y.p_name AS b FROM names x JOIN names y ON x.p_name <= y.p_name AND list_has_any(string_split(x.p_name, ' '), string_split(y.p_name, ' '))
   UNION ALL SELECT * FROM (VALUES ('limited', 'limitteed'), ('2204', '204'), ('131', '31'), ('405', '406'), ('', ''), ('', 'abc')))"""
 NAMES = values([(i, n) for i, n in enumerate(c.NAMES)])
 ADDRESSES = values([(i, a) for i, a in enumerate(c.ADDRESSES)])
