@@ -263,6 +263,17 @@ def ratio(a: str, b: str) -> str:
     return f"CASE WHEN length({a}) + length({b}) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * {common(a, b)} / (length({a}) + length({b})) END"
 
 
+def crc(s: str) -> str:
+    """CRC-32 of an ASCII string: eight shifts a byte."""
+    byte = "list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END, xor(c, b))"
+    return f"xor(list_reduce(list_transform(string_split({s}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: {byte}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def subsample(hard: str) -> str:
+    key = "s1_id || '|' || src || '|' || cand_id"
+    return f"WITH {CLAIMS} SELECT s1_id, src, cand_id, label, p1, CASE WHEN {hard} THEN 1.0 ELSE 10.0 END::DOUBLE AS weight FROM claims WHERE {hard} OR {crc(key)} % 10 = 0"
+
+
 PART_PAIRS = """
 names AS (SELECT DISTINCT p_name FROM part),
 part_pairs AS MATERIALIZED (SELECT x.p_name AS a, y.p_name AS b FROM names x JOIN names y ON x.p_name <= y.p_name AND list_has_any(string_split(x.p_name, ' '), string_split(y.p_name, ' '))
@@ -320,6 +331,10 @@ FROM (SELECT coalesce(text, '') AS s FROM documents UNION ALL SELECT o FROM {IND
     "q_addr_word": f"WITH {FOLDED_ADDRESSES} SELECT token, {word('token')} AS word FROM (SELECT DISTINCT unnest({tokens('s')}) AS token FROM folded)",
     "q_addr_normalize": f"WITH {RECORDS} SELECT entity_id, a_text, a_nums, a_empty FROM records",
     "q_country": "SELECT raw, substr(lower(raw), 1, 2) AS country, count(*) AS n FROM (SELECT n_name AS raw FROM nation UNION ALL SELECT lang FROM documents) GROUP BY ALL",
+    "q_hash_sample": f"WITH {RAW} SELECT entity_id, {crc("entity_id || '#sample'")} % 20 = 0 AS sampled FROM raw",
+    "q_fold": f"WITH {RAW} SELECT entity_id, (({crc('entity_id')} >> 11) & 1)::INT AS fold FROM raw",
+    "q_weighted_subsample": subsample("(label OR p1 >= 0.9)"),
+    "q_training_set": subsample("(label OR p1 >= 0.005)"),
     "q_stratified_examples": f"WITH {DECIDED} SELECT kind || ': ' || cause AS g, s1_id, cand_id FROM wrong QUALIFY row_number() OVER (PARTITION BY kind, cause ORDER BY md5(s1_id || '|' || cand_id), s1_id || '|' || cand_id) <= 12",
     **{k: f"WITH {RECORDS} SELECT entity_id, unnest(list_distinct({sql})) AS key FROM records" for k, sql in KEYS.items()},
     "q_key_all": f"WITH {KEYED} SELECT entity_id, src, key, family FROM keys",
@@ -353,6 +368,11 @@ SELECT x.*, round(CASE WHEN here THEN coalesce(w, 0) ELSE 0 END, {D}) AS num_sha
 u AS (SELECT *, array_to_string(list_sort(list_intersect(x, y)), ' ') AS i, array_to_string(list_sort(list_filter(x, lambda t: NOT list_contains(y, t))), ' ') AS l, array_to_string(list_sort(list_filter(y, lambda t: NOT list_contains(x, t))), ' ') AS r FROM s),
 v AS (SELECT *, trim(i || ' ' || l) AS il, trim(i || ' ' || r) AS ir FROM u)
 SELECT a, b, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 WHEN i <> '' AND (l = '' OR r = '') THEN 1 WHEN i = '' THEN {ratio('l', 'r')} ELSE greatest({ratio('il', 'ir')}, {ratio('i', 'il')}, {ratio('i', 'ir')}) END, {D}) AS ratio FROM v""",
+    "q_partial_ratio": f"""WITH {PART_PAIRS},
+sides AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM part_pairs UNION SELECT a, b, b, a FROM part_pairs WHERE length(a) = length(b)),
+windows AS (SELECT a, b, s, unnest(range(1 - length(s), length(l))) AS i, l FROM sides WHERE s <> ''),
+cut AS (SELECT a, b, s, substr(l, greatest(i, 0)::INT + 1, (least(i + length(s), length(l)) - greatest(i, 0))::INT) AS w FROM windows)
+SELECT a, b, round(max({ratio('s', 'w')}), {D}) AS ratio FROM cut GROUP BY a, b UNION ALL SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE 0.0 END FROM part_pairs WHERE a = '' OR b = ''""",
     "q_token_align": f"""WITH {PART_PAIRS}, x AS (SELECT a, b, unnest({tokens('a')}) AS s, generate_subscripts({tokens('a')}, 1) AS i FROM part_pairs), y AS (SELECT a, b, unnest({tokens('b')}) AS t, generate_subscripts({tokens('b')}, 1) AS j FROM part_pairs),
 r AS (SELECT a, b, i, j, {ratio('s', 't')} AS r FROM x JOIN y USING (a, b)), m1 AS (SELECT a, b, i, max(r) AS r FROM r GROUP BY ALL), m2 AS (SELECT a, b, j, max(r) AS r FROM r GROUP BY ALL)
 SELECT a, b, any_value(u) AS unmatched, round((any_value(s1) + sum(m2.r)) / (any_value(n1) + count(*)), {D}) AS align FROM m2 JOIN (SELECT a, b, sum(r) AS s1, count(*) AS n1, count(*) FILTER (r < 0.75) AS u FROM m1 GROUP BY ALL) USING (a, b) GROUP BY a, b""",
