@@ -81,11 +81,16 @@ def _hashed(*parts) -> F.Column:
     return F.substring(F.md5(F.concat_ws(":", *parts)), 1, 16)
 
 
-def plan(
+def plan(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, source, n_tokens, copy, epoch, block, start``: the documents each budget takes (see ``_plan``)."""
+    return _plan(docs, **options).drop("th")
+
+
+def _plan(
     docs: DataFrame, budget_tokens: int | None = None, target_entropy: float = TARGET_ENTROPY,
     max_epochs: float = MAX_EPOCHS, block_tokens: int = BLOCK_TOKENS, seed: str = "mix",
 ) -> DataFrame:
-    """``doc_id, source, n_tokens, copy, epoch, block, start``: the documents each budget takes.
+    """``plan`` with a hash of the text.
 
     ``budget_tokens`` is the size of the mixture (null: that of the corpus); ``copy``
     numbers rows with one doc_id and source; ``start`` is the place of the document's
@@ -95,7 +100,7 @@ def plan(
     # the texts are read once, for their lengths
     rows = materialize(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        word_count(F.col("text")).alias("n_tokens"),
+        word_count(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("th"),
     ))
     sums = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
@@ -129,26 +134,19 @@ def plan(
     )
     return (
         placed.join(offsets, ["source", "block"]).withColumn("start", F.col("base") + F.col("before"))
-        .where("start < budget").select("doc_id", "source", "n_tokens", F.col("copy").cast("long").alias("copy"), "epoch", "block", "start")
+        .where("start < budget").select("doc_id", "source", "n_tokens", F.col("copy").cast("long").alias("copy"), "epoch", "block", "start", "th")
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture takes it, none in any order."""
-    taken = plan(docs, **options)
-    # rows with one id, source and length count together, so that a repeated row gives no square
-    times = taken.groupBy("doc_id", "source", "n_tokens").agg(F.count("*").alias("__times"), F.max("copy").alias("__copies"))
-    times = times.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), F.col("source").alias("__source"),
-        F.col("n_tokens").alias("__n"), "__times",
-    )
-    keyed = docs.withColumns({
-        "__id": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")),
-        "__source": F.coalesce(F.col("source").cast("string"), F.lit("")), "__n": word_count(F.col("text")),
-    })
-    number = W.partitionBy("__id", "__source", "__n").orderBy(F.xxhash64("text"))
-    joined = keyed.join(times, ["__id", "__source", "__n"])
-    joined = joined.withColumn("__row", F.row_number().over(number) - 1).withColumn("__rows", F.count("*").over(W.partitionBy("__id", "__source", "__n")))
+    """The rows of ``docs``, each as often as the mixture takes it, in no order."""
+    key = {"__id": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), "__source": F.coalesce(F.col("source").cast("string"), F.lit(""))}
+    # alike rows count together, so that a repeated row gives no square
+    times = _plan(docs, **options).withColumns(key).groupBy("__id", "__source", F.col("th").alias("__th")).agg(F.count("*").alias("__times"))
+    names = ["__id", "__source", "__th"]
+    joined = docs.withColumns(key | {"__th": F.xxhash64("text")}).join(times, names)
+    alike = W.partitionBy(*names).orderBy(*names)  # as the join leaves them: no further exchange or sort
+    joined = joined.withColumn("__row", F.row_number().over(alike) - 1).withColumn("__rows", F.count("*").over(W.partitionBy(*names)))
     # of r alike rows that are taken t times in all, the first t mod r are taken once more than the others
     each = F.expr("__times div __rows + if(__row < __times % __rows, 1, 0)")
     return joined.withColumn("__each", each).where("__each > 0").withColumn("__e", F.explode(F.sequence(F.lit(1).cast("long"), "__each"))).select(*docs.columns)
