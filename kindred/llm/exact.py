@@ -78,7 +78,11 @@ def _resolved(cut: DataFrame, clashing: DataFrame, id_digits: int) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts, the one with the smallest ``doc_id``."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = exact_classes(docs).where("kept").select(key.alias("__id"), F.col("text_sha256").alias("__sha"))
+    marks = exact_classes(docs)
+    kept = materialize(marks.where("kept or copy > 1").select(key.alias("__id"), F.col("text_sha256").alias("__sha"), "kept", "copy"))
     keyed = docs.withColumn("__id", key).withColumn("__sha", F.sha2(normalized(F.col("text")), 256))
-    # the join leaves the rows dealt by id and digest, so that the last step needs no exchange
-    return keyed.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    # the small side is hashed, so that the texts are dealt once and never sorted
+    stays = keyed.join(kept.where("kept").select("__id", "__sha").hint("shuffle_hash"), ["__id", "__sha"], "left_semi")
+    if not kept.where("copy > 1").isEmpty():  # rows repeated with their id: one of them stays
+        stays = stays.dropDuplicates(["__id", "__sha"])
+    return stays.select(*docs.columns)
