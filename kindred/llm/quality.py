@@ -48,7 +48,7 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The row of each token of all texts, and where each text's tokens begin (one entry more than texts)."""
     raws = [(t or "").encode("utf-8", "replace") for t in texts]
     buf = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)
-    if len(buf) > 1 << 23 and len(raws) > 1:  # bound the working arrays
+    if len(buf) > 1 << 21 and len(raws) > 1:  # bound the working arrays
         half = len(raws) // 2
         (a, x), (b, y) = tokens(texts[:half]), tokens(texts[half:])
         return np.concatenate([a, b]), np.concatenate([x, y[1:] + x[-1]])
