@@ -155,9 +155,10 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc_id, text`` of the wanted (doc_id, th), one row per doc_id."""
+    """``doc_id, th, text`` of the wanted (doc_id, th); repeated rows are repeated."""
     rowed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    return rowed.join(wanted, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]).select("doc_id", "text")
+    # the small side is hashed, so that the texts are dealt once and never sorted
+    return rowed.join(wanted.hint("shuffle_hash"), ["doc_id", "th"], "left_semi")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -246,7 +247,7 @@ def _block_links(rows: list[dict], key: tuple, similarity: float, agreement: flo
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, agreement: float = AGREEMENT, block: int = BLOCK_WEIGHT) -> DataFrame:
-    """``doc_id, class_id, class_size, kept``: one row per row of ``docs``; the class id is its smallest doc_id."""
+    """``doc_id, class_id, class_size, kept, copy``: one row per row of ``docs``; the class id is its smallest doc_id."""
     found = materialize(prints(docs, bands, rows))
     same = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     # one node for each different text: its copy with the smallest id
@@ -259,6 +260,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     groups = materialize(_buckets(nodes).select("leader", "node").distinct())
     members = groups.select(F.col("node").alias("doc_id")).distinct()
     texts = materialize(_texts(docs, nodes.select("doc_id", "th").join(members, "doc_id", "left_semi")))
+    repeated = not found.groupBy("doc_id", "th").count().where("count > 1 and doc_id is not null").isEmpty()
+    texts = (texts.dropDuplicates(["doc_id", "th"]) if repeated else texts).select("doc_id", "text")
     star = groups.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     first = materialize(_links(_fitting(star, nodes.select("doc_id", "weight"), similarity), texts, similarity))
     parts = materialize(components(first))
@@ -278,7 +281,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     ids = found.groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("copies"))
     out = ids.join(whole, ["k1", "k2"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     kept = F.when(F.col("class_id").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id"))) & (F.col("copy") == 1)
-    return out.select("doc_id", "class_id", "class_size", kept.alias("kept"))
+    return out.select("doc_id", "class_id", "class_size", kept.alias("kept"), "copy")
 
 
 def _fitting(pairs: DataFrame, size: DataFrame, similarity: float) -> DataFrame:
@@ -290,7 +293,11 @@ def _fitting(pairs: DataFrame, size: DataFrame, similarity: float) -> DataFrame:
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class, that with the smallest doc_id."""
-    kept = near_classes(docs, **options).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"))
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")))
-    stays = keyed.where("doc_id is not null").join(kept, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
-    return stays.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
+    marks = near_classes(docs, **options).where("doc_id is not null")
+    kept = materialize(marks.where("kept or copy > 1").select(key.alias("__id"), "kept", "copy"))
+    keyed = docs.where("doc_id is not null").withColumn("__id", key)
+    stays = keyed.join(kept.where("kept").select("__id").distinct().hint("shuffle_hash"), "__id", "left_semi")
+    if not kept.where("copy > 1").isEmpty():  # rows repeated with their id: one of them stays
+        stays = stays.dropDuplicates(["__id"])
+    return stays.select(*docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))

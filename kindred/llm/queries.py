@@ -43,7 +43,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_classes(read(spark, sf_dir, "documents"))
+    return minhash.near_classes(read(spark, sf_dir, "documents")).drop("copy")
 
 
 def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
