@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from .common import materialize, small_batches
 
@@ -37,7 +38,7 @@ from .common import materialize, small_batches
 TREES, SAMPLE, LEAF = 24, 16_384, 32
 #: A query's walk ends when the leaves seen hold this part of all rows (counted for each
 #: tree), and so many rows at least.
-SHARE, LEAST = 0.9, 2_000
+SHARE, LEAST = 0.9, 8_000
 #: Rows in a cell, and queries of a cell in one task, about.
 CELL_ROWS, CELL_QUERIES = 8_192, 65_536
 
@@ -123,12 +124,12 @@ def _binary(rows: np.ndarray) -> pa.Array:
 ENTRY = "tree int, cell int, kind int, id long, v binary, leaves binary"
 
 
-def _entries(batches: Iterator[pa.RecordBatch], forest: Forest, per_cell: int) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch], forest: Forest, per_cell: int, kind: type) -> Iterator[pa.RecordBatch]:
     """Each indexed vector once for each tree."""
     for batch in batches:
         x = _matrix(batch.column("v"))
         leaves = forest.leaves(x)
-        v = _binary(x)
+        v = _binary(x.astype(kind))
         for t in range(leaves.shape[1]):
             n = len(x)
             yield pa.RecordBatch.from_arrays(
@@ -138,7 +139,7 @@ def _entries(batches: Iterator[pa.RecordBatch], forest: Forest, per_cell: int) -
             )
 
 
-def _probes(batches: Iterator[pa.RecordBatch], forest: Forest, per_cell: int, rows: int, enough: float) -> Iterator[pa.RecordBatch]:
+def _probes(batches: Iterator[pa.RecordBatch], forest: Forest, per_cell: int, rows: int, enough: float, kind: type) -> Iterator[pa.RecordBatch]:
     """Each query once for each cell that it reaches, with the leaves there."""
     flat = forest.directions.reshape(-1, forest.directions.shape[2])
     for batch in batches:
@@ -152,7 +153,7 @@ def _probes(batches: Iterator[pa.RecordBatch], forest: Forest, per_cell: int, ro
                 cells: dict[tuple[int, int], list[int]] = {}
                 for t, leaf in forest.search(m, rows, enough):
                     cells.setdefault((t, leaf // per_cell), []).append(leaf)
-                raw = some[i].tobytes()
+                raw = some[i].astype(kind).tobytes()
                 for (t, c), ls in cells.items():
                     tree.append(t)
                     cell.append(c)
@@ -168,16 +169,17 @@ def _probes(batches: Iterator[pa.RecordBatch], forest: Forest, per_cell: int, ro
 class Cell:
     """The rows of one cell, in order of their leaves."""
 
-    def __init__(self, ids: list[int], vectors: list[bytes], leaves: list[bytes]) -> None:
+    def __init__(self, kind: type, ids: list[int], vectors: list[bytes], leaves: list[bytes]) -> None:
+        self.kind = kind
         leaf = np.frombuffer(b"".join(leaves), dtype=np.int32)
         order = np.argsort(leaf, kind="stable")
         self.ids = np.array(ids, dtype=np.int64)[order]
-        self.x = np.frombuffer(b"".join(vectors), dtype=float).reshape(len(ids), -1)[order]
+        self.x = np.frombuffer(b"".join(vectors), dtype=kind).reshape(len(ids), -1)[order].astype(float)
         self.leaf = leaf[order]
 
     def best(self, who: list[int], vectors: list[bytes], leaves: list[bytes], k: int) -> pa.RecordBatch:
         """The ``k`` nearest of the leaves that each query reached here."""
-        q = np.frombuffer(b"".join(vectors), dtype=float).reshape(len(who), -1)
+        q = np.frombuffer(b"".join(vectors), dtype=self.kind).reshape(len(who), -1).astype(float)
         ids = np.array(who, dtype=np.int64)
         asked = np.repeat(np.arange(len(who)), [len(x) // 4 for x in leaves])
         wanted = np.frombuffer(b"".join(leaves), dtype=np.int32)
@@ -224,7 +226,7 @@ def _ranked(query: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) ->
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
-def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], k: int, kind: type) -> Iterator[pa.RecordBatch]:
     """Rows come by cell, indexed vectors before queries: one cell is held at a time, queries go by."""
     now, cell, rows, asks = None, None, [], []
 
@@ -232,16 +234,16 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         nonlocal cell, rows, asks
         if asks and (cell is not None or rows):
             if cell is None:
-                cell, rows = Cell(*zip(*rows, strict=True)), []
+                cell, rows = Cell(kind, *zip(*rows, strict=True)), []
             yield cell.best(*zip(*asks, strict=True), k)
         asks = []
 
     for batch in batches:
-        for *key, kind, i, v, ls in zip(*(batch.column(c).to_pylist() for c in ("tree", "cell", "block", "salt", "kind", "id", "v", "leaves")), strict=True):
+        for *key, side, i, v, ls in zip(*(batch.column(c).to_pylist() for c in ("tree", "cell", "block", "salt", "kind", "id", "v", "leaves")), strict=True):
             if key != now:
                 yield from answers()
                 now, cell, rows = key, None, []
-            if kind == 0:
+            if side == 0:
                 rows.append((i, v, ls))
             else:
                 asks.append((i, v, ls))
@@ -294,8 +296,10 @@ def nearest(
         per_cell *= 2
     shared = spark.sparkContext.broadcast(forest)  # bounded by the sample
     enough = max(share * n, LEAST)
-    entries = index.mapInArrow(lambda it: _entries(it, shared.value, per_cell), ENTRY)
-    asks = rows.where(F.col("ask")).select("id", "v").mapInArrow(lambda it: _probes(it, shared.value, per_cell, n, enough), ENTRY)
+    # vectors travel as they are stored: single precision loses nothing of floats
+    kind = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
+    entries = index.mapInArrow(lambda it: _entries(it, shared.value, per_cell, kind), ENTRY)
+    asks = rows.where(F.col("ask")).select("id", "v").mapInArrow(lambda it: _probes(it, shared.value, per_cell, n, enough, kind), ENTRY)
     asks = materialize(asks)
     # a cell with many rows is cut into blocks, which all its queries visit; one with many queries is copied
     cells = [
@@ -312,5 +316,5 @@ def nearest(
     names = ["tree", "cell", "block", "salt", "kind", "id", "v", "leaves"]
     both = entries.select(*names).unionByName(asks.select(*names))
     dealt = both.repartition("tree", "cell", "block", "salt").sortWithinPartitions("tree", "cell", "block", "salt", "kind")
-    found = dealt.mapInArrow(lambda it: _searched(it, k), RESULT).select("query_id", "vec_id", "score")
+    found = dealt.mapInArrow(lambda it: _searched(it, k, kind), RESULT).select("query_id", "vec_id", "score")
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lambda it: _merged(it, k), RESULT)
