@@ -300,4 +300,14 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     stays = keyed.join(kept.where("kept").select("__id").distinct().hint("shuffle_hash"), "__id", "left_semi")
     if not kept.where("copy > 1").isEmpty():  # rows repeated with their id: one of them stays
         stays = stays.dropDuplicates(["__id"])
-    return stays.select(*docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    return stays.select(*docs.columns).unionByName(_nameless(docs))
+
+
+def _nameless(docs: DataFrame) -> DataFrame:
+    """Of the rows without a doc_id, one of each text whose words no row with a doc_id has."""
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
+    rows = docs.where("doc_id is null").withColumn("__words", F.md5(words))
+    if rows.isEmpty():
+        return docs.limit(0)
+    named = docs.where("doc_id is not null").select(F.md5(words).alias("__words"))
+    return rows.join(named, "__words", "left_anti").dropDuplicates(["__words"]).select(*docs.columns)

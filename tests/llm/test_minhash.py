@@ -103,7 +103,10 @@ def test_hard_rows(spark, hard_docs, clashing):
     assert by[6] == by[7] == by[8] == 6 and by[1] == by[2] == 1 and by[3] == by[4] == by[5] == 3
     assert sum(r["kept"] for r in found if r["doc_id"] == 2) == 0 and sum(r["kept"] for r in found if r["class_id"] == 1) == 1
     out = minhash.near_dedup(df)
-    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.where("doc_id is not null").collect()) == [1, 3, 6, 9, 10]
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3, 6, 9, 10]  # both rows without an id are copies
+    nameless = spark.createDataFrame([(None, "Only here.", "en", "s", 1), (None, "only HERE", "en", "s", 1), (None, "A b c, D", "en", "s", 1)], DOCS)
+    more = minhash.near_dedup(df.select("doc_id", "text", "lang", "source", "n_chars").unionByName(nameless))
+    assert [r["text"].lower().strip(".") for r in more.where("doc_id is null").collect()] == ["only here"]
 
 
 def test_empty_table(spark):
