@@ -77,7 +77,7 @@ def run(
     if blocking_only:
         return out
     lists = scoring.candidate_lists(ids, pairs).toDF("source1_entity_id", "candidate_entity_ids")
-    tsv.write_tsv(lists.orderBy("source1_entity_id"), f"{output_dir}/candidate_pairs.tsv")
+    tsv.write_tsv(_in_order(lists, records), f"{output_dir}/candidate_pairs.tsv")
     feats = link.features(pairs)
     if collect:
         labelled = evaluation.labelled(training.stage1_scores(feats, link.model), truth)
@@ -90,12 +90,18 @@ def run(
         return out | feats.agg(F.count("*").alias("kept"), F.sum("weight").alias("effective"), F.count_if("label").alias("true")).first().asDict()
     kept = link.decided(feats)
     results = scoring.match_lists(ids, kept).toDF("source1_entity_id", "matched_entity_ids")
-    tsv.write_tsv(results.orderBy("source1_entity_id"), f"{output_dir}/matching_results.tsv")
+    tsv.write_tsv(_in_order(results, records), f"{output_dir}/matching_results.tsv")
     if truth is not None:
         out |= evaluation.macro(evaluation.per_entity(ids, kept.select("s1_id", "cand_id"), truth)).first().asDict()
     return out
 
 
+def _in_order(lists: DataFrame, records: DataFrame) -> DataFrame:
+    """Result lists in the order in which S1 came."""
+    place = records.where("src = 'S1'").select(F.col("entity_id").alias("source1_entity_id"), "ord")
+    return lists.join(place, "source1_entity_id").orderBy("ord").drop("ord")
+
+
 def tune(spark: SparkSession, data_dir: str, output_dir: str, matcher: str = "rules", stages: int = 2, eval_sample: int = 0, learning: Learning = Learning()) -> tuple[Params, float]:
     """Parameters (and with ml the model) from the features of a sampled or collected run."""
     feats, ids = spark.read.parquet(f"{output_dir}/features_train"), spark.read.parquet(f"{output_dir}/s1_ids_train")

@@ -69,6 +69,8 @@ def test_run_tune_check_and_diagnose(spark, folders):
     got = linkage.run(spark, data, out, evaluate=True)
     assert got["recall"] == 1.0 and got["macro_f05"] > 0.8 and got["singleton_accuracy"] > 0.8
     assert {r["violations"] for r in linkage.check(spark, data, out, "train").collect()} == {0}
+    written = [r["s1_id"] for r in tsv.read_results(spark, f"{out}/matching_results.tsv", ("source1_entity_id", "matched_entity_ids"))[0].collect()]
+    assert written == [f"S1-{i}" for i in range(64)]  # as they came
     sampled = linkage.run(spark, data, out, evaluate=True, sample=1)
     assert sampled["macro_f05"] == got["macro_f05"]
     small = Learning(trees=3, rate=0.5, depth=2)
