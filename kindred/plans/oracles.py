@@ -296,6 +296,24 @@ def rounded(*columns: str) -> str:
     return ", ".join(f"round({x}, {D}) AS {x}" for x in columns)
 
 
+def step(name: str, before: str, column: str, value: float) -> str:
+    """One trial of the coordinate ascent: takes ``value`` if it gains more than the least."""
+    where = f"g.t = {value} AND g.m = b.m" if column == "t" else f"g.t = b.t AND g.m = {value}"
+    return f"{name} AS (SELECT unnest(CASE WHEN g.f > b.f + 1e-5 THEN {{'t': g.t, 'm': g.m, 'f': g.f}} ELSE {{'t': b.t, 'm': b.m, 'f': b.f}} END) FROM {before} b, f g WHERE {where})"
+
+
+ASCENT = CLAIMS + """,
+grid AS (SELECT t, m FROM (VALUES (0.3::DOUBLE), (0.5), (0.7)) x(t), (VALUES (0.1::DOUBLE), (0.2), (0.3)) y(m)),
+owned AS (SELECT t, s.* FROM scored s, (SELECT DISTINCT t FROM grid) WHERE score >= t QUALIFY row_number() OVER (PARTITION BY t, src, cand_id ORDER BY score DESC, s1_id) = 1),
+kept AS (SELECT t, m, s1_id, label FROM owned JOIN grid USING (t) QUALIFY score >= max(score) OVER (PARTITION BY t, m, s1_id) - m),
+found AS (SELECT t, m, s1_id, count(*) AS n_pred, count(*) FILTER (label) AS tp FROM kept GROUP BY ALL),
+truths AS (SELECT s1_id, count(*) FILTER (label) AS n_true FROM claims GROUP BY ALL),
+f AS (SELECT t, m, avg(CASE WHEN coalesce(n_pred, 0) = 0 AND n_true = 0 THEN 1.0::DOUBLE WHEN coalesce(tp, 0) = 0 THEN 0
+    ELSE 1.25::DOUBLE * (tp / n_pred) * (tp / n_true) / (0.25::DOUBLE * (tp / n_pred) + tp / n_true) END) AS f
+  FROM grid CROSS JOIN truths LEFT JOIN found USING (t, m, s1_id) GROUP BY t, m),
+b0 AS (SELECT * FROM f WHERE t = 0.7 AND m = 0.2), """ + ", ".join(
+    step(f"b{i + 1}", f"b{i}", column, value) for i, (column, value) in enumerate([("t", 0.3), ("t", 0.5), ("t", 0.7), ("m", 0.1), ("m", 0.3)])
+)
 INDIC = values(c.INDIC_PAIRS)
 PIECE = r"[^\s\x{A0},()\[\]/.&+\-]+"
 ALIGNED = f"""
@@ -408,5 +426,6 @@ FROM missed LEFT JOIN shared USING (s1_id, cand_id) JOIN records l ON l.entity_i
     "q_raw_lookup": f"WITH {RAW}, {TRUTH} SELECT entity_id, md5(business_name || ' | ' || business_address) AS digest FROM raw SEMI JOIN (SELECT s1_id AS entity_id FROM truth UNION SELECT cand_id FROM truth) USING (entity_id)",
     "q_align_counts": f"WITH {ALIGNED} SELECT x, y, c FROM aligned",
     "q_align_argmax": f"WITH {ALIGNED} SELECT x AS token, y AS english FROM (SELECT x, y, c, sum(c) OVER (PARTITION BY x) AS total, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS r FROM aligned) WHERE r = 1 AND c >= 2 AND c / total >= 0.6",
+    "q_coord_ascent": f"WITH {ASCENT} SELECT t AS threshold, m AS margin, round(f, {D}) AS macro_f05 FROM b5",
     "q_tsv_round_trip": f"WITH {RAW} SELECT entity_id, business_name, md5(business_address) AS business_address, lang AS country FROM raw JOIN documents USING (doc_id) UNION ALL SELECT e, n, md5(a), k FROM (VALUES ('S9-1', 'a \"quoted\" name', 'NA', ''), ('S9-2', 'back\\slash', 'null', 'in')) v(e, n, a, k)",
 }
