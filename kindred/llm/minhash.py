@@ -260,7 +260,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     groups = materialize(_buckets(nodes).select("leader", "node").distinct())
     members = groups.select(F.col("node").alias("doc_id")).distinct()
     texts = materialize(_texts(docs, nodes.select("doc_id", "th").join(members, "doc_id", "left_semi")))
-    repeated = not found.groupBy("doc_id", "th").count().where("count > 1 and doc_id is not null").isEmpty()
+    ids = materialize(found.groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("copies")))
+    repeated = not ids.where("copies > 1 and doc_id is not null").isEmpty()
     texts = (texts.dropDuplicates(["doc_id", "th"]) if repeated else texts).select("doc_id", "text")
     star = groups.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     first = materialize(_links(_fitting(star, nodes.select("doc_id", "weight"), similarity), texts, similarity))
@@ -278,7 +279,6 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     classes = same.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("class_id"))
     sizes = classes.groupBy("class_id").agg(F.sum("n").alias("class_size"))  # a null id joins nothing: its class is its copies
     whole = classes.join(sizes, "class_id", "left").select("k1", "k2", "class_id", F.coalesce("class_size", "n").alias("class_size"))
-    ids = found.groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("copies"))
     out = ids.join(whole, ["k1", "k2"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     kept = F.when(F.col("class_id").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id"))) & (F.col("copy") == 1)
     return out.select("doc_id", "class_id", "class_size", kept.alias("kept"), "copy")
