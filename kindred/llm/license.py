@@ -3,8 +3,11 @@
 Every line of a file, and the whole of a licence file (LICENSE, COPYING, NOTICE, ...),
 is compared with licence templates: sparse TF-IDF vectors over the templates' words,
 with document frequencies from the whole corpus, and their cosine.  The best template
-above a threshold is the file's own licence.  A file without one inherits that of the
-nearest directory above it that has a licence file with a licence.
+above a threshold is the file's own licence.  Where no line reaches the threshold, the
+runs of as many words as a template has are compared, wherever lines break; and the
+opening of a licence file is compared so first, for its text may name other licences.
+A file without a licence inherits that of the nearest directory above it that has a
+licence file with a licence.
 
 Cases: a null text has no licence; a null path has no directory and inherits nothing.
 Ties go to the licence, then the template, that sorts first.  Repeated rows are files of
@@ -44,6 +47,21 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
 ]
+_GNU = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+# Headers of files and titles of licence texts, which are wrapped; compared with runs of words only, titles only in the opening of a licence file.
+HEADERS = [
+    ("GPL-2.0", _GNU.format("program", "", "2")), ("GPL-3.0", _GNU.format("program", "", "3")), ("LGPL-2.0", _GNU.format("library", "Library ", "2")),
+    ("LGPL-2.1", _GNU.format("library", "Lesser ", "2.1")), ("LGPL-3.0", _GNU.format("library", "Lesser ", "3")), ("AGPL-3.0", _GNU.format("program", "Affero ", "3")),
+]
+TITLES = [
+    ("GPL-1.0", "GNU General Public License Version 1"), ("GPL-2.0", "GNU General Public License Version 2"), ("GPL-3.0", "GNU General Public License Version 3"),
+    ("LGPL-2.0", "GNU Library General Public License Version 2"), ("LGPL-2.1", "GNU Lesser General Public License Version 2.1"), ("LGPL-3.0", "GNU Lesser General Public License Version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3"), ("GFDL-1.2", "GNU Free Documentation License Version 1.2"), ("GFDL-1.3", "GNU Free Documentation License Version 1.3"),
+    ("Apache-2.0", "Apache License Version 2.0"), ("MPL-1.1", "Mozilla Public License Version 1.1"), ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+]
+#: Words (but for those of STOP) that a licence file's opening has.
+OPENING = 100
 STOP = "a and any are by for in into is of or that the this to under with without v".split()
 
 #: A word: letters and digits, parts joined by a dot, plus or hyphen.
@@ -58,6 +76,7 @@ def words(text: str) -> list[str]:
 
 
 VOCABULARY = sorted({w for _, t in TEMPLATES for w in words(t)})
+RUN_VOCABULARY = sorted({w for _, t in TEMPLATES + HEADERS + TITLES for w in words(t)})
 
 
 def _terms(text: Column) -> Column:
@@ -65,6 +84,12 @@ def _terms(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: w.isin(VOCABULARY))
 
 
+def _placed(text: Column) -> Column:
+    """The words of a text that any template has, in order, each with its place among all words but those of STOP."""
+    every = F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(STOP))
+    return F.filter(F.transform(every, lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda x: x["w"].isin(RUN_VOCABULARY))
+
+
 def _weights(idf: dict[str, float], template: str) -> dict[str, float]:
     ws = words(template)
     raw = {w: ws.count(w) * idf[w] for w in sorted(set(ws))}
@@ -72,28 +97,62 @@ def _weights(idf: dict[str, float], template: str) -> dict[str, float]:
     return {w: x / norm for w, x in raw.items()}
 
 
+def _nothing() -> Column:
+    return F.lit(None).cast("struct<score:double,licence:string>")
+
+
+def _better(a: Column, b: Column) -> Column:
+    return F.when(a.isNull() | (b["score"] > a["score"]) | ((b["score"] == a["score"]) & (b["licence"] < a["licence"])), b).otherwise(a)
+
+
+def _scored(unit: Column, table: Column) -> Column:
+    """The different terms of a unit with their weights, and their norm."""
+    different = F.array_distinct(unit)
+    weight = F.transform(different, lambda w: F.struct(w.alias("w"), (F.size(F.filter(unit, lambda x: x == w)) * table[w]).alias("x")))
+    return F.struct(weight.alias("ws"), F.sqrt(F.aggregate(weight, F.lit(0.0), lambda a, e: a + e["x"] * e["x"])).alias("norm"))
+
+
 def _best(units: Column, idf: dict[str, float]) -> Column:
     """The best (score, licence) of a list of units, each a list of terms; null without units."""
     table = F.create_map(*(F.lit(x) for w in VOCABULARY for x in (w, idf[w])))
 
-    def scored(unit: Column) -> Column:
-        different = F.array_distinct(unit)
-        weight = F.transform(different, lambda w: F.struct(w.alias("w"), (F.size(F.filter(unit, lambda x: x == w)) * table[w]).alias("x")))
-        return F.struct(weight.alias("ws"), F.sqrt(F.aggregate(weight, F.lit(0.0), lambda a, e: a + e["x"] * e["x"])).alias("norm"))
-
     def against(unit: Column, licence: str, template: str) -> Column:
         own = _weights(idf, template)
         mine = F.create_map(*(F.lit(x) for w in sorted(own) for x in (w, own[w])))
         dot = F.aggregate(unit["ws"], F.lit(0.0), lambda a, e: a + e["x"] * F.coalesce(mine[e["w"]], F.lit(0.0)))
         return F.struct(F.round(dot / unit["norm"], 6).alias("score"), F.lit(licence).alias("licence"))
 
-    better = lambda a, b: F.when(
-        a.isNull() | (b["score"] > a["score"]) | ((b["score"] == a["score"]) & (b["licence"] < a["licence"])), b
-    ).otherwise(a)
-    none = F.lit(None).cast("struct<score:double,licence:string>")
-    each = F.transform(units, scored)
+    each = F.transform(units, lambda u: _scored(u, table))
     pairs = F.flatten(F.transform(each, lambda u: F.array(*(against(u, lic, t) for lic, t in TEMPLATES))))
-    return F.aggregate(pairs, none, better)
+    return F.aggregate(pairs, _nothing(), _better)
+
+
+def _best_run(placed: Column, idf: dict[str, float], templates: list[tuple[str, str]], similarity: float) -> Column:
+    """The best (score, licence) of the runs that reach the similarity; null without one.
+
+    Ties go to the run that comes first, then the licence that sorts first.  A run begins at a word of the template and has as many words.  A template whose words
+    in the text would not reach the similarity even by themselves is passed over.
+    """
+    table = F.create_map(*(F.lit(x) for w in RUN_VOCABULARY for x in (w, idf[w])))
+    known = []
+    for licence, template in templates:
+        own = _weights(idf, template)
+        known.append(F.struct(F.lit(licence).alias("licence"), F.lit(len(words(template))).alias("n"), F.create_map(*(F.lit(x) for w in sorted(own) for x in (w, own[w]))).alias("own")))
+    weight = lambda t, w: F.coalesce(t["own"][w], F.lit(0.0))
+    within = lambda t, ws: F.aggregate(F.array_distinct(ws), F.lit(0.0), lambda a, w: a + weight(t, w) * weight(t, w)) >= similarity * similarity - 1e-6
+
+    def cosine(t: Column, unit: Column) -> Column:
+        return F.round(F.aggregate(unit["ws"], F.lit(0.0), lambda a, e: a + e["x"] * weight(t, e["w"])) / unit["norm"], 6)
+
+    def runs(t: Column) -> Column:
+        at = lambda x, i: F.transform(F.filter(F.slice(placed, i + 1, t["n"]), lambda y: y["p"] < x["p"] + t["n"]), lambda y: y["w"])
+        units = F.transform(placed, lambda x, i: F.when(t["own"][x["w"]].isNotNull(), F.struct(x["p"].alias("p"), at(x, i).alias("ws"))))
+        units = F.filter(units, lambda u: u.isNotNull() & within(t, u["ws"]))
+        return F.transform(units, lambda u: F.struct((-cosine(t, _scored(u["ws"], table))).alias("s"), u["p"].alias("p"), t["licence"].alias("licence")))
+
+    possible = F.filter(F.array(*known), lambda t: within(t, F.transform(placed, lambda x: x["w"])))
+    best = F.array_min(F.filter(F.flatten(F.transform(possible, runs)), lambda x: x["s"] <= -similarity))
+    return F.when(best.isNotNull(), F.struct((-best["s"]).alias("score"), best["licence"].alias("licence")))
 
 
 def scan(files: DataFrame, key: str, path: str = "path", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -103,14 +162,18 @@ def scan(files: DataFrame, key: str, path: str = "path", text: str = "text", sim
     places, of files with any word of a template.
     """
     base = files.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
-    hits = base.select("key", "path", F.array_distinct(_terms(F.col("text"))).alias("hits"), "text")
+    hits = base.select("key", "path", _placed(F.col("text")).alias("placed"), "text").withColumn("hits", F.array_distinct(F.col("placed.w")))
     lines = F.filter(F.transform(F.split("text", "\n"), _terms), lambda u: F.size(u) > 0)
-    units = F.when(F.size("hits") > 0, F.when(F.regexp_extract(F.coalesce("path", F.lit("")), r"[^/]*$", 0).rlike(LICENCE_FILE), F.concat(lines, F.array(F.flatten(lines)))).otherwise(lines))
-    found = materialize(hits.select("key", "path", "hits", units.alias("units")))
+    units = F.when(F.size(F.filter("hits", lambda w: w.isin(VOCABULARY))) > 0, F.when(F.regexp_extract(F.coalesce("path", F.lit("")), r"[^/]*$", 0).rlike(LICENCE_FILE), F.concat(lines, F.array(F.flatten(lines)))).otherwise(lines))
+    found = materialize(hits.select("key", "path", "hits", "placed", units.alias("units")))
     total = found.count()
     counted = {r["w"]: r["count"] for r in found.select(F.explode("hits").alias("w")).groupBy("w").count().collect()}  # words of templates only
-    idf = {w: math.log((total + 1) / (counted.get(w, 0) + 1)) + 1 for w in VOCABULARY}
-    best = found.withColumn("best", _best(F.col("units"), idf))
+    idf = {w: math.log((total + 1) / (counted.get(w, 0) + 1)) + 1 for w in RUN_VOCABULARY}
+    licence_file = F.coalesce(F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENCE_FILE), F.lit(False))
+    opening = F.when(licence_file, _best_run(F.filter("placed", lambda x: x["p"] < OPENING), idf, TEMPLATES + HEADERS + TITLES, similarity))
+    line = found.withColumn("line", _best(F.col("units"), idf)).withColumn("opening", opening)
+    run = F.when(F.coalesce(F.col("line.score") < similarity, F.lit(True)), _best_run(F.col("placed"), idf, TEMPLATES + HEADERS, similarity))
+    best = line.withColumn("best", F.coalesce("opening", run, "line"))
     own = F.when(F.col("best.score") >= similarity, F.col("best.licence"))
     directory = F.regexp_replace("path", r"/?[^/]*$", "")
     name = F.regexp_extract("path", r"[^/]*$", 0)

@@ -53,3 +53,24 @@ def test_root_licence_and_empty_table(spark):
     df = spark.createDataFrame([(1, "LICENSE", "Released under the MIT License"), (2, "x/y/z.txt", "t"), (3, "w.txt", "t")], FILES)
     assert {r["id"]: (r["license"], r["from_dir"]) for r in license.scan(df, "id").collect()} == {1: ("MIT", None), 2: ("MIT", ""), 3: ("MIT", "")}
     assert license.scan(df.limit(0), "id").count() == 0
+
+
+GPL3_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+BSD_HEADER = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following\n * conditions are met:"
+GPL3_TEXT = "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n" + "Everyone may copy it.\n" * 60 + "13. Use with the GNU Affero General Public License.\nunder version 3 of the GNU Affero General Public License into a\nsingle work.\n"
+
+
+def test_wrapped_headers_and_whole_licence_files(spark):
+    rows = [
+        (1, "p/LICENSE", "Released under the MIT License."), (2, "p/a.py", "This work is licensed under the GNU General\nPublic License, version 3."), (3, "p/b.c", "x\n" + BSD_HEADER + "\nint x;"),
+        (4, "p/c.py", GPL3_HEADER + "\nimport os"), (5, "p/d.py", GPL3_HEADER.replace("version 3", "version 2")), (6, "p/e.py", "work\nplain version\n\npublic use"), (7, "g/COPYING", GPL3_TEXT),
+        (8, "g/x.c", "t"), (9, "p/f.py", "one word a line: licensed\nunder\nthe\nApache\nLicense,\nVersion\n2.0\n"), (10, "l/LICENSE", "GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nThis version incorporates version 3 of the GNU General Public License."),
+    ]
+    got = {r["id"]: (r["license"], r["via"]) for r in license.scan(spark.createDataFrame(rows, FILES), "id").collect()}
+    assert got == {
+        1: ("MIT", "own"), 2: ("GPL-3.0", "own"), 3: ("BSD-3-Clause", "own"), 4: ("GPL-3.0", "own"), 5: ("GPL-2.0", "own"), 6: ("MIT", "inherited"), 7: ("GPL-3.0", "own"),
+        8: ("GPL-3.0", "inherited"), 9: ("Apache-2.0", "own"), 10: ("LGPL-3.0", "own"),
+    }
