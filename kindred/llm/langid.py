@@ -57,27 +57,36 @@ def learn(rows: DataFrame, dict_bytes: int = DICT_BYTES, doc_bytes: int = DOC_BY
 
     The sample is bounded: of each language's different texts, the
     ``2 * dict_bytes / doc_bytes`` of smallest hash, ``doc_bytes`` from the start of
-    each.  A first threshold on the hash keeps all but a few texts from moving.
+    each.  A first threshold on the hash keeps all but a few texts from moving; it comes
+    from the number of different texts, and is raised where it lets too few through.
     """
     many = max(1, 2 * dict_bytes // doc_bytes)
     known = rows.where("text is not null and lang is not null and length(text) > 0").select(
         F.col("lang").cast("string").alias("lang"), "text"
     )
-    counts = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    hashed = known.withColumn("h", F.xxhash64("text", F.lit("langid")))
+    # copies share a hash, so a threshold on it lets through a share of the different texts
+    different = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("count"))
+    counts = different.limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return {}
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(OVERSAMPLE * many / r["count"])).otherwise(share)
-    hashed = known.withColumn("h", F.xxhash64("text", F.lit("langid"))).where((F.col("h").cast("double") / 2.0**64 + 0.5) < share)
-    few = hashed.select("lang", "h", F.substring("text", 1, doc_bytes).alias("head")).distinct()
-    best = W.partitionBy("lang").orderBy("h", "head")
-    picked = few.withColumn("r", F.row_number().over(best)).where(f"r <= {many}")
     heads: dict[str, list[tuple[int, str]]] = {}
-    for r in picked.collect():
-        heads.setdefault(r["lang"], []).append((r["r"], r["head"]))
+    shares = {r["lang"]: OVERSAMPLE * many / r["count"] for r in counts}
+    while shares:
+        share = F.lit(0.0)
+        for lang, x in shares.items():
+            share = F.when(F.col("lang") == lang, F.lit(x)).otherwise(share)
+        through = hashed.where((F.col("h").cast("double") / 2.0**64 + 0.5) < share)
+        few = through.select("lang", "h", F.substring("text", 1, doc_bytes).alias("head")).distinct()
+        best = W.partitionBy("lang").orderBy("h", "head")
+        found: dict[str, list[tuple[int, str]]] = {lang: [] for lang in shares}
+        for r in few.withColumn("r", F.row_number().over(best)).where(f"r <= {many}").collect():
+            found[r["lang"]].append((r["r"], r["head"]))
+        heads |= {lang: hs for lang, hs in found.items() if hs}
+        # where too few came through, more of the hashes are let through, in the end all
+        shares = {lang: OVERSAMPLE * x for lang, x in shares.items() if x <= 1.0 and len(found[lang]) < many}
     return {
         lang: b" ".join(letters(x)[:doc_bytes] for _, x in sorted(hs, reverse=True))[-dict_bytes:]
         for lang, hs in sorted(heads.items())

@@ -44,6 +44,13 @@ def test_dictionaries_are_bounded_and_ignore_copies(spark):
     assert all(len(d) <= 1_000 for d in model.values()) and model["en"].count(b"copy copy copy") <= 1
 
 
+def test_languages_of_copies_reach_the_promised_number_of_texts(spark):
+    texts = [(f"{lang} word {chr(97 + i // 26)}{chr(97 + i % 26)}", lang) for lang in ("aa", "bb") for i in range(300)]
+    rows = spark.createDataFrame(texts, "text string, lang string").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("n")
+    once = langid.learn(spark.createDataFrame(texts, "text string, lang string"), 640, 80)  # 16 texts each
+    assert langid.learn(rows, 640, 80) == once and {x: d.count(b"word") for x, d in once.items()} == {"aa": 16, "bb": 16}
+
+
 def test_hard_rows(spark, hard_docs, clashing):
     df = spark.createDataFrame(hard_docs, DOCS)
     model = langid.learn(df.select("text", "lang"))
