@@ -18,8 +18,8 @@ from ..operators import features as x
 from ..sources import tsv
 from . import linkage
 
-#: The frequency cap of these queries; the default of 1000 would never act on the small tables.
-CAP = Blocking(max_block=100)
+#: The frequency cap of these queries and of their SQL: the operators' own.
+CAP = Blocking()
 DIGITS = 6
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 

@@ -39,3 +39,18 @@ def test_entry_runs(spark):
 
 def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_registered_queries_keep_keys_up_to_the_operators_cap(spark, tmp_path):
+    """150 records of S2 and of S3 share their name keys, and one of S1 has the same text as two of them."""
+    rows = [(i, "Alpha beta gamma. " + ("same" if i < 3 else f"other {i}"), "en", "s", 0) for i in range(450)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("q_key_cap", "q_blocking_recall"):
+        df = entry.queries()[name](spark, str(tmp_path))
+        mine = sorted(tuple(canonical(r[c]) for c in sorted(df.columns)) for r in df.collect())
+        told = con.execute(entry.oracle_sql()[name])
+        names = [d[0] for d in told.description]
+        assert mine == sorted(tuple(canonical(r[names.index(c)]) for c in sorted(names)) for r in told.fetchall())
+    assert max(r["size"] for r in entry.queries()["q_key_cap"](spark, str(tmp_path)).collect()) == 150
