@@ -191,11 +191,12 @@ class Cell:
             if a == b:
                 continue
             lo, hi = np.searchsorted(wanted, [leaf, leaf + 1])
+            most = k + (b - a) - len(np.unique(self.ids[a:b]))  # so many rows have k different ids
             for at in range(lo, hi, 1024):
                 mine = asked[at : min(hi, at + 1024)]
                 s = q[mine] @ self.x[a:b].T
                 s[ids[mine][:, None] == self.ids[a:b][None, :]] = -np.inf
-                floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(mine), -1e300)
+                floor = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most] if s.shape[1] > most else np.full(len(mine), -1e300)
                 i, j = np.nonzero(s >= np.maximum(floor - 1e-9 * np.abs(floor), -1e300)[:, None])
                 found_q.append(mine[i])
                 found_x.append(a + j)
@@ -286,7 +287,7 @@ def nearest(
         return spark.createDataFrame([], RESULT)
     rows = rows.where(F.size("v") == lengths["dims"])
     copies = W.partitionBy("v").orderBy("id")
-    index = materialize(rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "v"))
+    index = materialize(rows.select("id", "v").distinct().withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "v"))
     n = index.count()
     picked = index.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()  # ``sample`` vectors at most
     forest = grow(np.array([r["v"] for r in picked], dtype=float), trees, leaf)

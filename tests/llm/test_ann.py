@@ -62,3 +62,10 @@ def test_hard_rows(spark, clashing):
     assert {q: sorted(v) for q, v in got.items()} == {0: [(1, 8, 1.0), (2, 1, 0.5), (3, 40, -1.0)], 40: [(1, 1, -0.5), (2, 0, -1.0), (3, 8, -1.0)]}
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest(spark.createDataFrame(rows[:1], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_repeated_ids_hide_no_others(spark):
+    """Rows of one id with one vector, and with near vectors: the other ids stay candidates."""
+    rows = [(0, [1.0, 0.0], 0), *[(1, [0.9, 0.0], 0)] * 30, *((i, [0.9, 0.0], 0) for i in (2, 3)), *((4, [0.8, i / 100], 0) for i in range(30)), (5, [0.1, 0.0], 0), (6, [0.2, 0.0], 0)]
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0, k=5).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3, 4, 6]
