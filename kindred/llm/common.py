@@ -28,16 +28,47 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage.
 
     The folder is the one that the session's ``spark.checkpoint.dir`` names; only
-    where that is unset (tests, a laptop) a folder of our own is used.
+    where that is unset and all runs on one machine, a folder of our own is used.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kindred-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, one of our own, on one machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="kindred-")
+
+
+def whole_row() -> Column:
+    """All columns of a row as one struct ``row``; ``select("row.*")`` has them back, whatever their names."""
+    return F.struct("*").alias("row")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in no known partitioning.
+
+    A join against an aggregate of one of its sides would reuse the aggregate's
+    partitioning, and then a key with many rows can't be split at run time; after this it can.
+    """
+    return df.hint("rebalance")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, followed by as many underscores as it takes to be none of ``taken``, case aside."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of anything but ASCII white space; null counts 0."""
     trimmed = F.regexp_replace(text, r"^[\x20\x09-\x0D]+", "")

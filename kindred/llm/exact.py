@@ -7,9 +7,12 @@ document then is the ordered list of its identifiers (its recipe), and equal
 documents are found by comparing recipes; the text moves once, as chunks.
 
 Cases: a null text counts as empty, and all empty texts are equal.  Rows repeated with
-one ``doc_id`` and equal texts give one row each, of which one at most is kept.  A
-null ``doc_id`` never wins over another; a group of nulls alone keeps one row, with a
-null ``keep_id``.  Other columns of the input are ignored.  An empty table gives none.
+one ``doc_id`` and equal texts give one row each, of which one at most is kept (which of
+them is not defined).  A null ``doc_id`` never wins over another; a group of nulls alone
+keeps one row, with a null ``keep_id``.  There are no other ties.  Very long texts are
+chunked as all others and move as chunks.  Other columns of the input are ignored by
+``exact_classes`` and kept by ``exact_dedup``, whatever their names.  An empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread, whole_row
 
 #: Chunks have this many characters at least (but for a text's last), and at most.
 CHUNK_MIN, CHUNK_MAX = 512, 4096
@@ -59,7 +62,7 @@ def exact_classes(docs: DataFrame, id_digits: int = ID_DIGITS) -> DataFrame:
         recipes = _resolved(cut, clashing, id_digits)
     rows = recipes.groupBy("recipe", "doc_id", "text_sha256").agg(F.count("*").alias("n"))
     classes = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    found = rows.join(classes, "recipe").select(
+    found = rows.join(spread(classes), "recipe").select(
         "doc_id", "text_sha256", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")
     )
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1))
@@ -77,12 +80,14 @@ def _resolved(cut: DataFrame, clashing: DataFrame, id_digits: int) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts, the one with the smallest ``doc_id``."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("id")
     marks = exact_classes(docs)
-    kept = materialize(marks.where("kept or copy > 1").select(key.alias("__id"), F.col("text_sha256").alias("__sha"), "kept", "copy"))
-    keyed = docs.withColumn("__id", key).withColumn("__sha", F.sha2(normalized(F.col("text")), 256))
+    kept = materialize(marks.where("kept or copy > 1").select(key, F.col("text_sha256").alias("sha"), "kept", "copy"))
+    keyed = docs.select(whole_row(), key, F.sha2(normalized(F.col("text")), 256).alias("sha"))
     # the small side is hashed, so that the texts are dealt once and never sorted
-    stays = keyed.join(kept.where("kept").select("__id", "__sha").hint("shuffle_hash"), ["__id", "__sha"], "left_semi")
-    if not kept.where("copy > 1").isEmpty():  # rows repeated with their id: one of them stays
-        stays = stays.dropDuplicates(["__id", "__sha"])
-    return stays.select(*docs.columns)
+    stays = keyed.join(kept.where("kept").select("id", "sha").hint("shuffle_hash"), ["id", "sha"], "left_semi")
+    again = kept.where("copy > 1").select("id", "sha").distinct()
+    if not again.isEmpty():  # rows repeated with their id: one of them stays, and all others need no second look
+        once = stays.join(again, ["id", "sha"], "left_anti")
+        stays = once.unionByName(stays.join(again, ["id", "sha"], "left_semi").dropDuplicates(["id", "sha"]))
+    return stays.select("row.*")

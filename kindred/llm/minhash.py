@@ -17,11 +17,18 @@ similarity can't be reached (by more than four standard deviations) or the bags'
 rule it out.  Candidates are verified on whole bags; the links' connected components are
 the classes.
 
-Cases: a null text is empty; all texts without a word are one class.  Rows with equal
-doc_id and words give one row each, of which one at most is kept.  Rows with a null
-doc_id are in a class with their exact copies only, and if all of a class are null its
-id is null.  Where one doc_id has several texts, the first of them is compared.  Other
-columns are ignored; an empty table gives no rows.
+A node is one sequence of words, whatever rows have it; its text comes from one of them.
+The signatures of a group are compared before any text moves, and only the texts of pairs
+whose signatures agree are fetched.
+
+Cases: a null text is empty; all texts without a word are one class.  A class is known
+by the smallest doc_id in it, null if all its rows have none; rows without a doc_id are
+compared as all others.  Where one doc_id has several texts, each is in its own text's
+class, and two classes may then have one id.  Of a class the row with the smallest doc_id
+stays; of its rows with that id, the one whose text has the smaller hash, and of rows
+alike in both any one.  Rows repeated with one doc_id and text give one row each.  Very
+long texts are hashed whole, one batch of texts at a time.  Other columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,11 +38,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import components, materialize, mix64, small_batches
+from .common import components, materialize, mix64, small_batches, spread, whole_row
 
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
@@ -94,41 +101,64 @@ def _points(sig, m, owner, top, seed, low, width, until) -> None:
         block = min(64, block * 4)
 
 
-PRINT = "doc_id long, th long, k1 long, k2 long, weight long, bands array<long>, sig binary"
+PRINT = "doc_id long, t1 long, t2 long, k1 long, k2 long, fresh boolean, weight long, bands array<long>, sig binary"
+#: Digests that a task remembers, to make a signature once for the copies it meets.
+REMEMBERED = 1 << 18
 
 
 def _prints(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     m = bands * rows
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         h, first = shingles.word_hashes(batch.column("text").to_pylist())
         k1, k2 = shingles.sequence_keys(h, first)
-        text, s, count = shingles.bags(h, first)
         n = batch.num_rows
-        sig = signatures(text, s, count, n, m)
+        fresh = np.zeros(n, dtype=bool)
+        for i, key in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)):
+            if key not in seen:
+                fresh[i] = True
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(key)
+        new = np.flatnonzero(fresh)
+        if len(new) < n:
+            h = np.concatenate([h[:0], *(h[first[i] : first[i + 1]] for i in new)])
+            first = np.concatenate([[0], np.cumsum(np.diff(first)[new])]).astype(np.int64)
+        text, s, count = shingles.bags(h, first)
+        sig = signatures(text, s, count, len(new), m)
         word = mix64(sig.view(np.uint64))
-        weight = np.bincount(text, weights=count, minlength=n).astype(np.int64)
-        mixed = np.zeros((n, bands), dtype=np.uint64)
+        weight = np.bincount(text, weights=count, minlength=len(new)).astype(np.int64)
+        mixed = np.zeros((len(new), bands), dtype=np.uint64)
         for r in range(rows):
             mixed = mix64(mixed * _GOLDEN + word[:, r::rows])
         mixed = mix64(mixed + np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _GOLDEN)
-        some = np.repeat(weight > 0, bands)
+        lengths, whole = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        lengths[new], whole[new] = np.where(weight > 0, bands, 0), weight
         lists = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum(np.where(weight > 0, bands, 0))]), pa.int32()),
-            pa.array(mixed.view(np.int64).reshape(-1)[some], pa.int64()),
+            pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()),
+            pa.array(mixed.view(np.int64).reshape(-1)[np.repeat(weight > 0, bands)], pa.int64()),
         )
         small = (word >> np.uint64(56)).astype(np.uint8)
+        raws: list[bytes | None] = [None] * n
+        for i, x in zip(new.tolist(), small, strict=True):
+            raws[i] = x.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("th"), pa.array(k1), pa.array(k2), pa.array(weight), lists,
-             pa.array([x.tobytes() for x in small], pa.binary())],
-            names=["doc_id", "th", "k1", "k2", "weight", "bands", "sig"],
+            [*(batch.column(c) for c in ("doc_id", "t1", "t2")), pa.array(k1), pa.array(k2), pa.array(fresh), pa.array(whole), lists, pa.array(raws, pa.binary())],
+            names=[f.split()[0] for f in PRINT.split(", ")],
         )
 
 
+def _texts_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, t1, t2, text``: each row's id, two hashes of its text, and the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), text.alias("text"))
+
+
 def prints(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """A row per document: digests of its words, its bag's weight, its bands and signature (8 bits a component)."""
+    """A row per document: hashes of its text, digests of its words, and where the task meets these words
+    first (``fresh``) the bag's weight, bands and signature (8 bits a component)."""
     small_batches(docs.sparkSession)
-    rowed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    return rowed.mapInArrow(lambda it: _prints(it, bands, rows), PRINT)
+    return _texts_of(docs).mapInArrow(lambda it: _prints(it, bands, rows), PRINT)
 
 
 def _verify(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
@@ -147,18 +177,24 @@ def _verify(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.D
 
 
 def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b), those whose texts are similar enough."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    """Of the pairs (a, b) of nodes, those whose texts are similar enough."""
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return both.mapInPandas(lambda it: _verify(it, similarity), "a long, b long")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc_id, th, text`` of the wanted (doc_id, th); repeated rows are repeated."""
-    rowed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+def _id() -> Column:
+    """The doc_id as a key that is never null."""
+    return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """``node, text`` of the wanted (node, doc_id, t1, t2)."""
+    keys = wanted.select(_id().alias("key"), "t1", "t2", "node")
     # the small side is hashed, so that the texts are dealt once and never sorted
-    return rowed.join(wanted.hint("shuffle_hash"), ["doc_id", "th"], "left_semi")
+    found = _texts_of(docs).withColumn("key", _id()).join(keys.hint("shuffle_hash"), ["key", "t1", "t2"]).select("node", "text")
+    return found.dropDuplicates(["node"]) if repeated else found
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -167,13 +203,13 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     The leader is the member with the most company over all its buckets, which in a
     family of copies is what they were made from.
     """
-    spread = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    member = materialize(spread.join(shared, "band"))
+    spread_out = nodes.select("node", F.explode("bands").alias("band"))
+    shared = spread_out.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    member = materialize(spread_out.join(spread(shared), "band"))
     company = member.groupBy("node").agg(F.sum("n").alias("company"))
     ranked = member.select("band", "node").join(company, "node")
     lead = ranked.groupBy("band").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("x"))
-    return member.select("band", "node").join(lead.select("band", (-F.col("x.minus")).alias("leader")), "band")
+    return member.select("band", "node").join(spread(lead.select("band", (-F.col("x.minus")).alias("leader"))), "band")
 
 
 def _blocks(groups: DataFrame, block: int) -> DataFrame:
@@ -189,7 +225,7 @@ def _blocks(groups: DataFrame, block: int) -> DataFrame:
         "leader", F.col("x.part").alias("major"), (F.col("w") <= block).alias("small"),
         F.ceil(F.col("x.w") / block).alias("majors"), F.ceil((F.col("w") - F.col("x.w")) / block).alias("others"),
     )
-    placed = groups.join(about, "leader").withColumn("ismajor", F.col("part") == F.col("major"))
+    placed = groups.join(spread(about), "leader").withColumn("ismajor", F.col("part") == F.col("major"))
     placed = placed.withColumn("k", F.expr("""
         CASE WHEN small THEN 0L WHEN ismajor THEN others + pmod(xxhash64(node), majors) ELSE pmod(xxhash64(node), others) END"""))
     meets = F.expr("""
@@ -200,23 +236,24 @@ def _blocks(groups: DataFrame, block: int) -> DataFrame:
     return placed.select("leader", "node", "part", "weight", "k", meets.alias("meets"))
 
 
-def _compared(batches: Iterator[pa.RecordBatch], similarity: float, agreement: float) -> Iterator[pa.RecordBatch]:
-    """Links between different parts, from rows sorted by (leader, i, j); one such set is held at a time."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+    """The rows of each (leader, i, j) from rows sorted by these; one such set is held at a time."""
     held: list[dict] = []
     now = None
     for batch in batches:
         for row in batch.to_pylist():
             key = row["leader"], row["i"], row["j"]
             if key != now and held:
-                yield _block_links(held, now, similarity, agreement)
+                yield now, held
                 held = []
             now = key
             held.append(row)
     if held:
-        yield _block_links(held, now, similarity, agreement)
+        yield now, held
 
 
-def _block_links(rows: list[dict], key: tuple, similarity: float, agreement: float) -> pa.RecordBatch:
+def _agreeing(rows: list[dict], key: tuple, similarity: float, agreement: float) -> tuple[list[dict], list[dict], list[tuple[int, int]]]:
+    """The two blocks of a set, and the pairs of different parts whose sizes and signatures allow the similarity."""
     left = [r for r in rows if r["k"] == key[1]]
     right = left if key[1] == key[2] else [r for r in rows if r["k"] == key[2]]
     found: list[tuple[int, int]] = []
@@ -230,9 +267,28 @@ def _block_links(rows: list[dict], key: tuple, similarity: float, agreement: flo
                 near = near[near > x]
             if len(near):
                 mine = np.frombuffer(r["sig"], dtype=np.uint8)
-                found += [(x, y) for y in near[(sig[near] == mine).mean(axis=1) >= agreement]]
-    good = []
-    if found:
+                found += [(x, y) for y in near[(sig[near] == mine).mean(axis=1) >= agreement].tolist()]
+    return left, right, found
+
+
+NEAR = "leader long, i long, j long, k long, node long, part long, weight long, sig binary"
+
+
+def _nearing(batches: Iterator[pa.RecordBatch], similarity: float, agreement: float) -> Iterator[pa.RecordBatch]:
+    """The rows that are in a pair whose signatures agree: only their texts are worth fetching."""
+    names = [f.split()[0] for f in NEAR.split(", ")]
+    for key, rows in _sets(batches):
+        left, right, found = _agreeing(rows, key, similarity, agreement)
+        some = {id(left[x]): left[x] for x, _ in found} | {id(right[y]): right[y] for _, y in found}
+        if some:
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in some.values()], schema=pa.schema([
+                (c, pa.binary() if c == "sig" else pa.int64()) for c in names]))
+
+
+def _compared(batches: Iterator[pa.RecordBatch], similarity: float, agreement: float) -> Iterator[pa.RecordBatch]:
+    """Links between different parts: the pairs whose bags are similar enough."""
+    for key, rows in _sets(batches):
+        left, right, found = _agreeing(rows, key, similarity, agreement)
         bag_of = {}
         for side, n in ((left, 0), (right, 1)):
             some = sorted({f[n] for f in found})
@@ -243,45 +299,52 @@ def _block_links(rows: list[dict], key: tuple, similarity: float, agreement: flo
                 cut = np.searchsorted(text, np.arange(len(part_of) + 1))
                 bag_of |= {(n, x): (s[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]) for i, x in enumerate(part_of)}
         good = [(left[x]["node"], right[y]["node"]) for x, y in found if shingles.overlap(bag_of[0, x], bag_of[1, y]) >= similarity]
-    return pa.RecordBatch.from_arrays([pa.array([g[n] for g in good], pa.int64()) for n in (0, 1)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([g[n] for g in good], pa.int64()) for n in (0, 1)], names=["a", "b"])
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, agreement: float = AGREEMENT, block: int = BLOCK_WEIGHT) -> DataFrame:
-    """``doc_id, class_id, class_size, kept, copy``: one row per row of ``docs``; the class id is its smallest doc_id."""
+#: The order in which rows of a class are preferred: with an id, by the id, by the text's hashes.
+def _preference() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2")
+
+
+def _classed(docs: DataFrame, similarity: float, bands: int, rows: int, agreement: float, block: int) -> DataFrame:
+    """``doc_id, t1, t2, copies, class_id, class_size, head``: a row for each different (doc_id, text)."""
     found = materialize(prints(docs, bands, rows))
-    same = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    # one node for each different text: its copy with the smallest id
-    heads = found.join(same.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
-    chosen = heads.groupBy("doc_id").agg(F.min(F.struct("th", "k1", "k2")).alias("x")).select("doc_id", "x.*")
-    nodes = materialize(
-        heads.where("weight > 0").dropDuplicates(["doc_id", "th", "k1", "k2"]).join(chosen, ["doc_id", "th", "k1", "k2"], "left_semi")
-        .select("doc_id", "th", "weight", "bands", "sig")
-    )
-    groups = materialize(_buckets(nodes).select("leader", "node").distinct())
-    members = groups.select(F.col("node").alias("doc_id")).distinct()
-    texts = materialize(_texts(docs, nodes.select("doc_id", "th").join(members, "doc_id", "left_semi")))
-    ids = materialize(found.groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("copies")))
-    repeated = not ids.where("copies > 1 and doc_id is not null").isEmpty()
-    texts = (texts.dropDuplicates(["doc_id", "th"]) if repeated else texts).select("doc_id", "text")
+    fresh = lambda c: F.first(F.when(F.col("fresh"), F.col(c)), ignorenulls=True).alias(c)  # noqa: E731  # the same in all rows of these words
+    same = found.groupBy("k1", "k2").agg(F.min(_preference()).alias("head"), F.count("*").alias("n"), F.max("weight").alias("weight"), fresh("bands"), fresh("sig"))
+    nodes = materialize(same.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "head", "n", "weight", "bands", "sig"))
+    ids = materialize(found.groupBy("k1", "k2", "doc_id", "t1", "t2").agg(F.count("*").alias("copies")))
+    repeated = not ids.where("copies > 1").isEmpty()
+    carried = nodes.where("weight > 0").select("node", "weight", "sig")
+    groups = materialize(_buckets(nodes.where("weight > 0").select("node", "bands")).select("leader", "node").distinct())
+    heads = nodes.select("node", "head.doc_id", "head.t1", "head.t2")
+    texts = materialize(_texts(docs, heads.join(groups.select("node").distinct(), "node", "left_semi"), repeated))
     star = groups.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    first = materialize(_links(_fitting(star, nodes.select("doc_id", "weight"), similarity), texts, similarity))
+    first = materialize(_links(_fitting(star, carried.select("node", "weight"), similarity), texts, similarity))
     parts = materialize(components(first))
 
-    # what the stars have left in different classes of one group
-    carried = nodes.select(F.col("doc_id").alias("node"), "weight", "sig")
+    # what the stars have left in different classes of one group: signatures first, then the texts of what agrees
     placed = groups.join(parts, "node", "left").join(carried.select("node", "weight"), "node").select("leader", "node", F.coalesce("root", "node").alias("part"), "weight")
-    rest = _blocks(placed, block).join(carried.select("node", "sig"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
-    rest = rest.withColumn("m", F.explode("meets")).select("leader", "m.i", "m.j", "k", "node", "part", "weight", "sig", "text")
-    dealt = rest.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    second = materialize(dealt.mapInArrow(lambda it: _compared(it, similarity, agreement), "a long, b long"))
-    if not second.isEmpty():
-        parts = materialize(components(first.unionByName(second)))
-    classes = same.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("class_id"))
-    sizes = classes.groupBy("class_id").agg(F.sum("n").alias("class_size"))  # a null id joins nothing: its class is its copies
-    whole = classes.join(sizes, "class_id", "left").select("k1", "k2", "class_id", F.coalesce("class_size", "n").alias("class_size"))
-    out = ids.join(whole, ["k1", "k2"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    kept = F.when(F.col("class_id").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id"))) & (F.col("copy") == 1)
-    return out.select("doc_id", "class_id", "class_size", kept.alias("kept"), "copy")
+    rest = _blocks(placed, block).join(carried.select("node", "sig"), "node").withColumn("m", F.explode("meets"))
+    dealt = lambda df: df.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    near = dealt(rest.select("leader", "m.i", "m.j", "k", "node", "part", "weight", "sig")).mapInArrow(lambda it: _nearing(it, similarity, agreement), NEAR)
+    near = materialize(near)
+    if not near.isEmpty():
+        second = dealt(near.join(texts, "node")).mapInArrow(lambda it: _compared(it, similarity, agreement), "a long, b long")
+        parts = materialize(components(first.unionByName(materialize(second))))
+    rooted = nodes.join(parts, "node", "left").select("k1", "k2", "head", "n", F.coalesce("root", "node").alias("root"))
+    classes = rooted.groupBy("root").agg(F.min("head").alias("best"), F.sum("n").alias("class_size"))
+    whole = rooted.select("k1", "k2", "root").join(spread(classes), "root").select("k1", "k2", "best", "class_size")
+    return ids.join(spread(whole), ["k1", "k2"]).select(
+        "doc_id", "t1", "t2", "copies", F.col("best.doc_id").alias("class_id"), "class_size", (_preference() == F.col("best")).alias("head")
+    )
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, agreement: float = AGREEMENT, block: int = BLOCK_WEIGHT) -> DataFrame:
+    """``doc_id, class_id, class_size, kept, copy``: one row per row of ``docs``; the class id is its smallest doc_id."""
+    found = _classed(docs, similarity, bands, rows, agreement, block)
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.select("doc_id", "class_id", "class_size", (F.col("head") & (F.col("copy") == 1)).alias("kept"), "copy")
 
 
 def _fitting(pairs: DataFrame, size: DataFrame, similarity: float) -> DataFrame:
@@ -291,23 +354,14 @@ def _fitting(pairs: DataFrame, size: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.least("wa", "wb") >= similarity * F.greatest("wa", "wb")).select("a", "b")
 
 
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each class, that with the smallest doc_id."""
-    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
-    marks = near_classes(docs, **options).where("doc_id is not null")
-    kept = materialize(marks.where("kept or copy > 1").select(key.alias("__id"), "kept", "copy"))
-    keyed = docs.where("doc_id is not null").withColumn("__id", key)
-    stays = keyed.join(kept.where("kept").select("__id").distinct().hint("shuffle_hash"), "__id", "left_semi")
-    if not kept.where("copy > 1").isEmpty():  # rows repeated with their id: one of them stays
-        stays = stays.dropDuplicates(["__id"])
-    return stays.select(*docs.columns).unionByName(_nameless(docs))
-
-
-def _nameless(docs: DataFrame) -> DataFrame:
-    """Of the rows without a doc_id, one of each text whose words no row with a doc_id has."""
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
-    rows = docs.where("doc_id is null").withColumn("__words", F.md5(words))
-    if rows.isEmpty():
-        return docs.limit(0)
-    named = docs.where("doc_id is not null").select(F.md5(words).alias("__words"))
-    return rows.join(named, "__words", "left_anti").dropDuplicates(["__words"]).select(*docs.columns)
+def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, agreement: float = AGREEMENT, block: int = BLOCK_WEIGHT) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each class."""
+    found = _classed(docs, similarity, bands, rows, agreement, block)
+    names = ["key", "t1", "t2"]
+    stays = materialize(found.where("head").select(_id().alias("key"), "t1", "t2", "copies"))
+    text = F.col("text").cast("string")
+    keyed = docs.select(whole_row(), _id().alias("key"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
+    rowed = keyed.join(stays.hint("shuffle_hash"), names)
+    if not stays.where("copies > 1").isEmpty():  # of rows repeated with their id and text one stays; all others need no second look
+        rowed = rowed.where("copies = 1").unionByName(rowed.where("copies > 1").dropDuplicates(names))
+    return rowed.select("row.*")

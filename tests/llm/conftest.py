@@ -23,6 +23,18 @@ def hard_docs():
 
 @pytest.fixture
 def clashing():
-    """Columns that the operators use inside, as further columns of the input."""
-    names = ["kept", "i", "n", "c", "block", "epoch", "text_sha256", "__id", "__sha", "langid", "part", "band", "node", "shard", "piece", "copy", "hits", "path2", "main_text2"]
-    return names
+    """Columns that the operators use inside or add, as further columns of the input."""
+    return """kept i n c block epoch text_sha256 __id __sha __th __row __rows __each __times __e langid part band node shard piece copy copies hits path2
+        main_text quality_score row key id sha t1 t2 head leader k1 k2 h times rows start class_id cs norm recipe lang_pred score a.b""".split()
+
+
+def with_clashes(df, names):
+    """``df`` with these further columns, each of which holds its own name and the row's doc_id."""
+    from pyspark.sql import functions as F
+
+    return df.select("*", *(F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(c) for c in names))
+
+
+def untouched(rows, names):
+    """Whether all further columns hold what ``with_clashes`` put there."""
+    return all(r[c] == f"{c}{'null' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in names)

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from kindred.llm import exact
 
-from .conftest import DOCS
+from .conftest import DOCS, untouched, with_clashes
 
 
 def brute(rows):
@@ -55,13 +55,12 @@ def df_col(name):
 
 
 def test_dedup_keeps_one_row_and_all_columns(spark, hard_docs, clashing):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame(hard_docs, DOCS).withColumns({c: F.lit("x") for c in clashing if not c.startswith("__")})
+    rows = hard_docs + [(2, "a b  c d", "en", None, 7), (50, "only", "en", "s", 4), (50, "other", "en", "s", 5), (51, "other", "en", "s", 5)]
+    df = with_clashes(spark.createDataFrame(rows, DOCS), clashing)
     out = exact.exact_dedup(df)
     assert out.columns == df.columns
-    kept = [r["doc_id"] for r in out.collect()]
-    assert sorted(kept, key=str) == sorted({b[1] for b in brute(hard_docs)}, key=str)
+    found = out.collect()
+    assert sorted((r["doc_id"] for r in found), key=str) == sorted((b[0] for b in brute(rows) if b[3]), key=str) and untouched(found, clashing)
 
 
 def test_empty_table(spark):

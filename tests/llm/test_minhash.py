@@ -7,7 +7,7 @@ import pytest
 
 from kindred.llm import minhash, shingles
 
-from .conftest import DOCS, sentence
+from .conftest import DOCS, sentence, untouched, with_clashes
 
 
 def bag(text):
@@ -93,20 +93,61 @@ def test_bags_are_those_of_the_words():
     assert len(f2) == len(big) + 1 and (np.diff(f2) == 3).all() and (h2[:3] == h2[0]).all()
 
 
+def brute(rows):
+    """For each row its class: the id, the size, and whether it is the row that stays (of equal rows, any)."""
+    bags = [bag(t) for _, t, *_ in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(bags[i], bags[j]) >= 0.8:
+                root[find(i)] = find(j)
+    classes = {}
+    for i in range(len(rows)):
+        classes.setdefault(find(i), []).append(i)
+    return classes
+
+
+def against_brute(rows, found):
+    """The classes' ids, sizes and members, and one row kept of each class, with its smallest id."""
+    classes = brute(rows)
+    smallest = lambda ids: min((x for x in ids if x is not None), default=None)
+    expected = sorted(((rows[i][0], smallest(rows[j][0] for j in members), len(members)) for members in classes.values() for i in members), key=str)
+    assert sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in found), key=str) == expected
+    kept = sorted((r["doc_id"] for r in found if r["kept"]), key=str)
+    assert kept == sorted((smallest(rows[j][0] for j in members) for members in classes.values()), key=str)
+
+
 def test_hard_rows(spark, hard_docs, clashing):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame(hard_docs, DOCS).withColumns({c: F.lit(1) for c in clashing})
-    found = minhash.near_classes(df).collect()
-    assert len(found) == len(hard_docs)
-    by = {r["doc_id"]: r["class_id"] for r in found}
-    assert by[6] == by[7] == by[8] == 6 and by[1] == by[2] == 1 and by[3] == by[4] == by[5] == 3
-    assert sum(r["kept"] for r in found if r["doc_id"] == 2) == 0 and sum(r["kept"] for r in found if r["class_id"] == 1) == 1
+    df = with_clashes(spark.createDataFrame(hard_docs, DOCS), clashing)
+    against_brute(hard_docs, minhash.near_classes(df).collect())
     out = minhash.near_dedup(df)
-    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3, 6, 9, 10]  # both rows without an id are copies
-    nameless = spark.createDataFrame([(None, "Only here.", "en", "s", 1), (None, "only HERE", "en", "s", 1), (None, "A b c, D", "en", "s", 1)], DOCS)
-    more = minhash.near_dedup(df.select("doc_id", "text", "lang", "source", "n_chars").unionByName(nameless))
-    assert [r["text"].lower().strip(".") for r in more.where("doc_id is null").collect()] == ["only here"]
+    found = out.collect()
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in found) == [1, 3, 6, 9, 10] and untouched(found, clashing)
+
+
+@pytest.mark.parametrize("more", [[], [(900, "Z z z z z", "en", "s", 0)] * 2])
+def test_ids_with_several_texts_and_none(spark, corpus, more):
+    """Ids that repeat with other texts, rows without ids, and an unrelated repeated row: no text is lost or merged."""
+    rng = random.Random(11)
+    a, b = sentence(rng, 120), sentence(rng, 120)
+    near = lambda t: t.replace(t.split()[50], "other", 1)
+    rows = [(5, a), (5, b), (7, b), (9, "Z z z z z"), (8, near(a)), (None, near(near(b))), (None, "only here"), (None, "Only HERE"), (None, sentence(rng, 60)), (6, b), (5, a)]
+    rows = [(i, t, "en", "s", 0) for i, t in rows] + more + [(200 + i % 7, t, "en", "s", 0) for i, (_, t, *_) in enumerate(corpus[60:110])]
+    df = spark.createDataFrame(rows, DOCS)
+    against_brute(rows, minhash.near_classes(df).collect())
+    left = minhash.near_dedup(df).collect()
+    classes = brute(rows)
+    at = {}
+    for root, members in classes.items():
+        for i in members:
+            at[rows[i][0], rows[i][1]] = root
+    assert sorted(at[r["doc_id"], r["text"]] for r in left) == sorted(classes)
 
 
 def test_empty_table(spark):
