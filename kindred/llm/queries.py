@@ -108,7 +108,7 @@ ORACLE_SQL = {
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source,
          len(list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '')) AS n_tokens,
-         md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS h
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS h
   FROM documents),
 t AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source HAVING sum(n_tokens) > 0),
 tot AS (SELECT sum(tokens)::BIGINT AS total, ln(count(*)) AS top FROM t),

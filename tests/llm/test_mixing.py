@@ -1,9 +1,10 @@
 import math
 import random
+from collections import Counter
 
 from kindred.llm import mixing
 
-from .conftest import DOCS, sentence
+from .conftest import DOCS, sentence, untouched, with_clashes
 
 
 def docs(rng, counts):
@@ -60,12 +61,42 @@ def test_mix_repeats_rows_as_planned(spark):
 
 
 def test_hard_rows(spark, hard_docs, clashing):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame(hard_docs, DOCS).withColumns({c: F.lit(1) for c in clashing if not c.startswith("__")})
+    rows = hard_docs + [(None, "x y", None, "s", 0)] * 3 + [(77, "p q r", "en", "t", 0)] * 5
+    df = with_clashes(spark.createDataFrame(rows, DOCS), clashing)
     plan = mixing.plan(df).collect()
     assert {r["source"] for r in plan} <= {"", "s", "t", "u"} and len(plan) > 0
-    assert mixing.mix(df).columns == df.columns and mixing.mix(df).count() == len(plan)
+    mixed = mixing.mix(df)
+    found = mixed.collect()
+    assert mixed.columns == df.columns and untouched(found, clashing)
+    assert Counter(r["doc_id"] for r in found) == Counter(r["doc_id"] for r in plan)
+
+
+def test_alike_rows_are_rows_of_their_own(spark):
+    """Copies stand one after the other, each counted, and a budget may end between them."""
+    rows = [(1, "a b c", "en", "s", 0)] * 7 + [(2, "d e", "en", "s", 0)] * 2 + [(3, None, "en", "s", 0)] * 2 + [(None, "f g", "en", "s", 0)] * 2
+    df = spark.createDataFrame(rows, DOCS)
+    for budget in (1, 13, 29, 30, 62):
+        got = sorted(mixing.plan(df, budget_tokens=budget).collect(), key=lambda r: (r["start"], r["start"] + r["n_tokens"]))
+        ends = [r["start"] + r["n_tokens"] for r in got]
+        assert [r["start"] for r in got] == [0, *ends[:-1]] and all(r["start"] < budget for r in got) and ends[-1] >= budget
+        assert Counter(r["doc_id"] for r in mixing.mix(df, budget_tokens=budget).collect()) == Counter(r["doc_id"] for r in got)
+        copies = Counter((r["doc_id"], r["copy"], r["epoch"]) for r in got)
+        assert set(copies.values()) == {1}
+
+
+def test_exponent_from_a_table_of_sources(spark, monkeypatch):
+    rng = random.Random(8)
+    tokens = {f"s{i}": int(10 ** rng.uniform(0, 6)) for i in range(300)}
+    total = sum(tokens.values())
+    sums = spark.createDataFrame(list(tokens.items()), "source string, tokens long")
+    for budget, entropy, epochs in ((total, 0.8, 1e9), (total, 0.9, 3.0), (total, 0.0, 4.0), (5 * total, 0.9, 4.0)):
+        x, weights = mixing.solve(tokens, budget, entropy, epochs)
+        y, norm = mixing.solve_table(sums, total, budget, entropy, epochs)
+        assert abs(x - y) < 1e-9 and all(abs((n / total) ** y / norm - weights[s]) < 1e-9 for s, n in tokens.items())
+    df = spark.createDataFrame(docs(rng, {"a": 60, "b": 10, "c": 3}), DOCS)
+    held = sorted(map(tuple, mixing.plan(df, block_tokens=100).collect()))
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    assert sorted(map(tuple, mixing.plan(df, block_tokens=100).collect())) == held
 
 
 def test_empty_tables(spark):
