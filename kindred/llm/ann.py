@@ -15,7 +15,8 @@ length from most, take no part.  Of identical vectors only the k + 1 with the sm
 ids are indexed, for no others can be in a result; all may be queries.  Rows with one
 id are one candidate, with the best of their scores, and no neighbour of each other.
 Ties go to the smaller id.  Rows with a null id are ignored.  A query without
-candidates gives no rows.  Other columns are ignored.
+candidates gives no rows, and so does an empty table.  Other columns (texts, of any length,
+too) are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,10 +36,10 @@ from pyspark.sql import types as T
 from .common import materialize, small_batches
 
 #: Trees; vectors that the trees are fitted on, at most; of these in a leaf.
-TREES, SAMPLE, LEAF = 24, 16_384, 32
-#: A query's walk ends when the leaves seen hold this part of all rows (counted for each
-#: tree), and so many rows at least.
-SHARE, LEAST = 0.9, 8_000
+TREES, SAMPLE, LEAF = 8, 16_384, 32
+#: A query's walk ends when the leaves seen hold so many times all rows; a row that is seen
+#: in several trees counts in each.
+SHARE = 1.3
 #: Rows in a cell, and queries of a cell in one task, about.
 CELL_ROWS, CELL_QUERIES = 8_192, 65_536
 
@@ -296,26 +297,37 @@ def nearest(
     while per_cell < leaves and 2 * per_cell * n <= CELL_ROWS * leaves:
         per_cell *= 2
     shared = spark.sparkContext.broadcast(forest)  # bounded by the sample
-    enough = max(share * n, LEAST)
     # vectors travel as they are stored: single precision loses nothing of floats
     kind = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
-    entries = index.mapInArrow(lambda it: _entries(it, shared.value, per_cell, kind), ENTRY)
-    asks = rows.where(F.col("ask")).select("id", "v").mapInArrow(lambda it: _probes(it, shared.value, per_cell, n, enough, kind), ENTRY)
-    asks = materialize(asks)
     # a cell with many rows is cut into blocks, which all its queries visit; one with many queries is copied
     cells = [
         (t, c, max(1, math.ceil(n * float(forest.share[t, c * per_cell : (c + 1) * per_cell].sum()) / CELL_ROWS)))
         for t in range(trees) for c in range(leaves // per_cell)
     ]
     blocks = spark.createDataFrame(cells, "tree int, cell int, blocks int")  # trees times leaves rows at most
-    many = asks.groupBy("tree", "cell").agg(F.count("*").alias("asks"))
-    plan = F.broadcast(blocks.join(many, ["tree", "cell"]).select("tree", "cell", "blocks", F.ceil(F.col("asks") / CELL_QUERIES).cast("int").alias("salts")))
-    entries = entries.join(plan, ["tree", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    entries = entries.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
-    asks = asks.join(plan, ["tree", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    asks = asks.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     names = ["tree", "cell", "block", "salt", "kind", "id", "v", "leaves"]
-    both = entries.select(*names).unionByName(asks.select(*names))
-    dealt = both.repartition("tree", "cell", "block", "salt").sortWithinPartitions("tree", "cell", "block", "salt", "kind")
-    found = dealt.mapInArrow(lambda it: _searched(it, k, kind), RESULT).select("query_id", "vec_id", "score")
-    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lambda it: _merged(it, k), RESULT)
+
+    def searched(asking: DataFrame, enough: float) -> DataFrame:
+        asks = materialize(asking.mapInArrow(lambda it: _probes(it, shared.value, per_cell, n, enough, kind), ENTRY))
+        many = asks.groupBy("tree", "cell").agg(F.count("*").alias("asks"))
+        plan = F.broadcast(blocks.join(many, ["tree", "cell"]).select("tree", "cell", "blocks", F.ceil(F.col("asks") / CELL_QUERIES).cast("int").alias("salts")))
+        entries = index.mapInArrow(lambda it: _entries(it, shared.value, per_cell, kind), ENTRY)
+        entries = entries.join(plan, ["tree", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        entries = entries.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
+        asks = asks.join(plan, ["tree", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+        asks = asks.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+        both = entries.select(*names).unionByName(asks.select(*names))
+        dealt = both.repartition("tree", "cell", "block", "salt").sortWithinPartitions("tree", "cell", "block", "salt", "kind")
+        found = dealt.mapInArrow(lambda it: _searched(it, k, kind), RESULT).select("query_id", "vec_id", "score")
+        return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lambda it: _merged(it, k), RESULT)
+
+    asking = rows.where(F.col("ask")).select("id", "v")
+    found = materialize(searched(asking, share * n))
+    # where ids repeat, the leaves seen may hold too few of them: such queries see all leaves
+    goal = min(k, index.select("id").distinct().count() - 1)
+    full = found.groupBy("query_id").count().where(F.col("count") >= goal).select(F.col("query_id").alias("id"))
+    short = materialize(asking.join(full, "id", "left_anti"))
+    if goal > 0 and not short.isEmpty():
+        again = searched(short, math.inf)
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(*found.columns).unionByName(again)
+    return found

@@ -6,18 +6,20 @@ final messages, which a template then renders.
 
 Events: ``message`` opens a message that holds ``text``; ``start`` opens an empty one;
 ``delta`` appends ``text`` to message ``msg_id`` (the latest one if null; opens it if
-unknown); ``edit`` replaces its text; ``regenerate`` empties it and drops what came
-after it; ``delete`` drops it.  Other kinds are errors.
+unknown); ``edit`` replaces its text; ``regenerate`` drops what came after it and begins
+its text anew with ``text``; ``delete`` drops it.  Other kinds are errors.
 
 The template writes ``<|im_start|>role``, a line end, the text, ``<|im_end|>`` and a
 line end.  In roles and texts a backslash follows every ``<``, ``[`` and backslash, so
 no control string of this or another template survives inside a text, and the escape
 can be undone.  A line end in a role becomes backslash, n.
 
-Cases: null text is empty, a null role is empty, a null ``conv_id`` is a conversation of
-its own; rows without a sequence come first; ties in sequence go by event, message,
+Cases: null text is empty, a null role is empty; rows with a null ``conv_id`` are one
+conversation; rows without a sequence come first; ties in sequence go by event, message,
 role and text; a repeated ``message`` row is a message of its own.  An edit, regenerate
-or delete of an unknown message does nothing.  Other columns are ignored.
+or delete of an unknown message does nothing.  A conversation is held whole while it is
+folded, and so is a very long text; conversations are written some at a time.  Other
+columns are ignored, whatever their names; an empty log gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import small_batches
 
@@ -36,6 +39,9 @@ _SPECIAL = re.compile(r"[<\[\\]")
 _ESCAPED = re.compile(r"([<\[\\])\\")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 
+#: Conversations, and characters of these, that are written together, about.
+ROWS, CHARS = 256, 4_000_000
+
 SCHEMA = "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>"
 
 
@@ -136,14 +142,22 @@ def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
+        now, state, size = None, None, 0
+        done: list[tuple[int | None, str, list[dict]]] = []
 
-        def row() -> pd.DataFrame:
+        def close() -> None:
+            nonlocal size
             formatted, spans = render(state.final(), loss_role)
-            return pd.DataFrame({
-                "conv_id": pd.array([now], dtype="Int64"), "formatted": [formatted],
-                "loss_spans": [[{"start": a, "end": b} for a, b in spans]],
-            })
+            done.append((now, formatted, [{"start": a, "end": b} for a, b in spans]))
+            size += len(formatted)
+
+        def written() -> pd.DataFrame:
+            nonlocal size
+            ids, texts, spans = zip(*done, strict=True)
+            frame = pd.DataFrame({"conv_id": pd.array(ids, dtype="Int64"), "formatted": texts, "loss_spans": list(spans)})
+            done.clear()
+            size = 0
+            return frame
 
         for batch in batches:
             for conv, event, key, role, text in zip(
@@ -152,20 +166,54 @@ def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
                 conv = None if pd.isna(conv) else int(conv)
                 if state is None or conv != now:
                     if state is not None:
-                        yield row()
+                        close()
+                        if len(done) >= ROWS or size >= CHARS:
+                            yield written()
                     now, state = conv, Fold()
                 state.add(event, *(None if pd.isna(x) else x for x in (key, role, text)))
         if state is not None:
-            yield row()
+            close()
+            yield written()
 
     dealt = log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "event", "msg_id", "role", "text")
     dealt = dealt.select(F.col("conv_id").cast("string").alias("conv_key"), "event", "msg_id", "role", "text")
     return dealt.mapInPandas(fold, SCHEMA)
 
 
+#: Characters of a streamed delta.
+DELTA_CHARS = 256
+
+
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """The event log of a finished table of turns: a row ``conv_id, turn, role, text`` is one message."""
-    return conversations.select(
-        "conv_id", F.col("turn").alias("seq"), F.lit("message").alias("event"),
-        F.lit(None).cast("string").alias("msg_id"), "role", "text",
+    """An event log whose fold is a finished table of turns ``conv_id, turn, role, text``.
+
+    Turns are logged in four ways, by a hash: as a message; as a stream of deltas; as a
+    draft that is edited; as a draft that another message follows and that is then
+    regenerated as a stream.  Turns with one number come by role, then text.
+    """
+    turns = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("role").cast("string").alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.row_number().over(W.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))).cast("long").alias("at"),
     )
+    name, draft = F.col("at").cast("string"), F.concat(F.lit("draft: "), F.reverse("text"))
+
+    def event(kind: str, msg: Column = name, text: Column | None = None, role: Column | None = None) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("event"), msg.alias("msg_id"), (none if role is None else role).alias("role"), (none if text is None else text).alias("text"))
+
+    pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0))
+    deltas = F.transform(pieces, lambda p: event("delta", text=p))
+    role = F.col("role")
+    way = F.pmod(F.xxhash64("conv_id", "at"), F.lit(4))
+    log = (
+        F.when(way == 0, F.array(event("message", text=F.col("text"), role=role)))
+        .when(way == 1, F.concat(F.array(event("start", role=role)), deltas))
+        .when(way == 2, F.array(event("start", role=role), event("delta", text=draft), event("edit", text=F.col("text"))))
+        .otherwise(F.concat(
+            F.array(event("message", text=draft, role=role), event("message", F.concat(name, F.lit("-follow")), F.lit("stale"), F.lit("user")), event("regenerate")), deltas
+        ))
+    )
+    # a turn's events have consecutive numbers, the turns' are so far apart that no text has more deltas
+    each = turns.select("conv_id", "at", F.posexplode(log).alias("step", "e"))
+    return each.select("conv_id", (F.col("at") * (1 << 31) + F.col("step")).alias("seq"), "e.event", "e.msg_id", "e.role", "e.text")

@@ -2,14 +2,20 @@
 
 Each language has a zstandard dictionary: raw text of that language.  Text is
 lower-cased, and what is no letter becomes one space.  A text is cut into blocks, each
-block is compressed with every dictionary, and the language whose dictionary makes the
-whole text smallest is the answer.  Where the runner-up comes
-within a margin, the answer is marked as rejected.
+block is compressed with every dictionary behind a short primer of the language, and what
+the block adds to the primer's size counts: a short text by itself would be stored as it
+stands.  The language that makes the whole text smallest is the answer.  Where the
+runner-up comes within a margin, the answer is marked as rejected.
+
+A dictionary is made of pieces of texts: whole texts are cut into pieces of a fixed
+length, and the pieces of smallest hash are taken, so that a long text gives as many as
+its length asks and copies give none twice.
 
 Cases: a text that is null or has no letter is ``und`` with score 0, and rejected.  Rows
 without a language or a text teach nothing.  With no row to learn from every text is
-``und``.  Ties go to the language that sorts first.  Other columns are ignored; repeated
-rows give one row each.
+``und``.  Ties go to the language that sorts first.  A very long text is compressed block
+by block, all of it.  Other columns are kept, whatever their names; repeated rows give one
+row each; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -25,23 +31,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small_batches
+from .common import free_name, small_batches
 
-#: Bytes of text in a language's dictionary, at most, and of one document in it.
-DICT_BYTES, DOC_BYTES = 64_000, 2_000
-#: Bytes of a text that are compressed at once.
-BLOCK_BYTES = 4_096
+#: Bytes of all dictionaries and of one of them, at most, and characters of a piece of text in it.
+ALL_BYTES, DICT_BYTES, PIECE_CHARS = 64_000_000, 64_000, 2_000
+#: Bytes of a text that are compressed at once, and bytes of the primer before them.
+BLOCK_BYTES, PRIMER_BYTES = 4_096, 500
 #: A text is rejected if the runner-up's size is less than this part larger.
 MARGIN = 0.005
-#: Languages that the driver may hold dictionaries of; more are an error.
-MAX_LANGUAGES = 1_000
-#: Compression level, and that for texts of a few bytes, where each match counts.
-LEVEL, SHORT_LEVEL, SHORT_BYTES = 6, 12, 1_024
-#: A short text is compressed behind so much text of the language, for by itself it
-#: would be stored as it stands; what it adds to the size counts.
-PRIMER_BYTES = 500
-#: How many times the sample's size the threshold lets through.
-OVERSAMPLE = 4
+#: Languages, more than there are; a table with more is an error, for its column holds no languages.
+MAX_LANGUAGES = 10_000
+LEVEL = 12
 
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = re.compile(r"[\W\d_]+")
@@ -52,45 +52,31 @@ def bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def learn(rows: DataFrame, dict_bytes: int = DICT_BYTES, doc_bytes: int = DOC_BYTES) -> dict[str, bytes]:
+def learn(rows: DataFrame, dict_bytes: int = DICT_BYTES, piece_chars: int = PIECE_CHARS) -> dict[str, bytes]:
     """A dictionary for each language of ``rows`` (text, lang).
 
-    The sample is bounded: of each language's different texts, the
-    ``2 * dict_bytes / doc_bytes`` of smallest hash, ``doc_bytes`` from the start of
-    each.  A first threshold on the hash keeps all but a few texts from moving; it comes
-    from the number of different texts, and is raised where it lets too few through.
+    The sample is bounded: of each language's different pieces of ``piece_chars``
+    characters, the ``2 * dict_bytes / piece_chars`` of smallest hash.  A first pass over
+    hashes alone finds the largest hash that is wanted, so that only wanted pieces move.
     """
-    many = max(1, 2 * dict_bytes // doc_bytes)
-    known = rows.where("text is not null and lang is not null and length(text) > 0").select(
-        F.col("lang").cast("string").alias("lang"), "text"
-    )
-    hashed = known.withColumn("h", F.xxhash64("text", F.lit("langid")))
-    # copies share a hash, so a threshold on it lets through a share of the different texts
-    different = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("count"))
-    counts = different.limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
+    known = rows.where("text is not null and lang is not null and length(text) > 0")
+    pieces = known.select(
+        F.col("lang").cast("string").alias("lang"), F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(rf"(?s).{{1,{piece_chars}}}"), F.lit(0))).alias("piece")
+    ).withColumn("h", F.xxhash64("piece", F.lit("langid")))
+    many = max(1, 2 * dict_bytes // piece_chars)
+    ranked = pieces.select("lang", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(f"r <= {many}")
+    limits = ranked.groupBy("lang").agg(F.max("h").alias("most")).limit(MAX_LANGUAGES + 1).collect()
+    if len(limits) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
+    if not limits:
         return {}
+    wanted = rows.sparkSession.createDataFrame([(r["lang"], r["most"]) for r in limits], "lang string, most long")
+    few = pieces.join(F.broadcast(wanted), "lang").where("h <= most").select("lang", "h", "piece").distinct()  # MAX_LANGUAGES rows at most
     heads: dict[str, list[tuple[int, str]]] = {}
-    shares = {r["lang"]: OVERSAMPLE * many / r["count"] for r in counts}
-    while shares:
-        share = F.lit(0.0)
-        for lang, x in shares.items():
-            share = F.when(F.col("lang") == lang, F.lit(x)).otherwise(share)
-        through = hashed.where((F.col("h").cast("double") / 2.0**64 + 0.5) < share)
-        few = through.select("lang", "h", F.substring("text", 1, doc_bytes).alias("head")).distinct()
-        best = W.partitionBy("lang").orderBy("h", "head")
-        found: dict[str, list[tuple[int, str]]] = {lang: [] for lang in shares}
-        for r in few.withColumn("r", F.row_number().over(best)).where(f"r <= {many}").collect():
-            found[r["lang"]].append((r["r"], r["head"]))
-        heads |= {lang: hs for lang, hs in found.items() if hs}
-        # where too few came through, more of the hashes are let through, in the end all
-        shares = {lang: OVERSAMPLE * x for lang, x in shares.items() if x <= 1.0 and len(found[lang]) < many}
-    return {
-        lang: b" ".join(letters(x)[:doc_bytes] for _, x in sorted(hs, reverse=True))[-dict_bytes:]
-        for lang, hs in sorted(heads.items())
-    }
+    for r in few.toLocalIterator():  # ``many`` pieces a language
+        heads.setdefault(r["lang"], []).append((r["h"], r["piece"]))
+    room = min(dict_bytes, ALL_BYTES // len(heads))
+    return {lang: b" ".join(letters(x) for _, x in sorted(hs, reverse=True))[-room:] for lang, hs in sorted(heads.items())}
 
 
 def letters(text: str) -> bytes:
@@ -102,12 +88,11 @@ class Classifier:
 
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.languages = sorted(dictionaries)
-        self.long = [self._compressor(dictionaries[x], LEVEL) for x in self.languages]
-        self.short = []
+        self.models = []
         for x in self.languages:
             primer, rest = dictionaries[x][:PRIMER_BYTES], dictionaries[x][PRIMER_BYTES:]
-            c = self._compressor(rest or primer, SHORT_LEVEL)
-            self.short.append((c, primer, len(c.compress(primer))))
+            c = self._compressor(rest or primer, LEVEL)
+            self.models.append((c, primer, len(c.compress(primer))))
 
     @staticmethod
     def _compressor(raw: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -117,10 +102,8 @@ class Classifier:
 
     def sizes(self, text: str) -> list[int]:
         raw = letters(text)
-        if len(raw) <= SHORT_BYTES:
-            return [max(1, len(c.compress(primer + raw)) - alone) for c, primer, alone in self.short]
         blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
-        return [sum(len(c.compress(b)) for b in blocks) for c in self.long]
+        return [max(1, sum(len(c.compress(primer + b)) - alone for b in blocks)) for c, primer, alone in self.models]
 
     def predict(self, text: str | None, margin: float = MARGIN) -> tuple[str, float, bool]:
         """The language, how much larger the runner-up is (0 to 1), and whether the margin is too narrow."""
@@ -138,10 +121,13 @@ class Classifier:
 SCHEMA = "lang_pred string, score double, rejected boolean"
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """``docs`` with a struct ``langid`` of ``lang_pred, score, rejected``, from ``text`` alone."""
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, into: str = "langid") -> DataFrame:
+    """``docs`` with a struct ``into`` of ``lang_pred, score, rejected``, from ``text`` alone.
+
+    Where ``docs`` has a column of that name, it stays and the struct's name gets underscores.
+    """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # MAX_LANGUAGES * DICT_BYTES at most
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # ALL_BYTES at most
 
     @F.pandas_udf(SCHEMA)
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -149,4 +135,4 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
         for texts in batches:
             yield pd.DataFrame([model.predict(t, margin) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("langid", udf(F.col("text").cast("string")))
+    return docs.select("*", udf(F.col("text").cast("string")).alias(free_name(into, docs.columns)))

@@ -9,8 +9,13 @@ probability, and a temperature fitted on rows kept back from training calibrates
 
 Cases: a null or empty text has no tokens and gets the network's answer for a document
 of zeros.  Labels that are null or whose document is missing teach nothing; of repeated
-labels the mean decides (0.5 counts as 1).  Without labels of both kinds every score is
-the share of label 1 (0.5 without labels).  Other columns are ignored.
+labels the mean decides (0.5 counts as 1).  Where a labelled doc_id has several texts, the
+one of smallest hash teaches; equal texts teach once.  Without labels of both kinds every
+score is the share of label 1, held to 0.001 and 0.999 (0.5 without labels).  With any
+labels of both kinds the network is trained; the temperature is drawn to 1, as far as few
+rows can't tell.  Very long texts are read whole, and bound by the working arrays' size
+together with few others.  Equal texts have equal scores.  Other columns are kept by
+``score``, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches
+from .common import free_name, mix64, small_batches
 from .shingles import _BYTES, _INVERSE, _MUL, _STEP, _power
 
 ROW_BITS, DIMS, NONZERO, WINDOW = 14, 32, 4, 2
 #: Labelled rows that training reads, at most: those of smallest hash.
 SAMPLE = 20_000
 HIDDEN, EPOCHS, RATE, BATCH = 32, 40, 3e-3, 256
+#: How strongly the temperature is drawn to 1: the loss of a squared step of its logarithm.
+PRIOR = 1.0
 #: Rows of the table of vectors that travel together while the sums are gathered.
 SLICE = 256
 #: Partial sums that one step of the gathering adds up, about.
@@ -186,7 +193,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 0) -> Network:
     """Adam on the logistic loss; one row in five is kept back for the temperature."""
     x, y = x.astype(float), y.astype(float)
     d = x.shape[1] if x.ndim == 2 else 2 * DIMS + 1
-    if len(y) < 10 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         share = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
         return Network(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros(1), float(np.log(share / (1 - share))), 1.0)
     rng = np.random.default_rng(seed)
@@ -216,9 +223,9 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 0) -> Network:
 
     def loss(t: float) -> float:
         s = np.clip(logits / t, -30, 30)
-        return float(np.mean(np.log1p(np.exp(-s)) + (1 - yh) * s))
+        return float(np.sum(np.log1p(np.exp(-s)) + (1 - yh) * s) + PRIOR * np.log(t) ** 2)
 
-    net.temperature = min(np.geomspace(0.25, 8, 61), key=loss) if len(held) >= 20 else 1.0
+    net.temperature = min(np.geomspace(0.25, 8, 61), key=loss)
     return net
 
 
@@ -228,23 +235,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # of fixed size
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pooled(batch.column("text").to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h", "y")), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "h", "y", "x"])
 
-    found = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")  # ``sample`` ids at most
-    got = found.mapInArrow(features, "doc_id long, y int, x binary").dropDuplicates(["doc_id"]).collect()
+    found = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "h", "y", "text")  # ``sample`` ids at most
+    seen = found.mapInArrow(features, "doc_id long, h long, y int, x binary")
+    got = seen.groupBy("doc_id").agg(F.min(F.struct("h", "y", "x")).alias("r")).select("doc_id", "r.y", "r.x").collect()
     got.sort(key=lambda r: r["doc_id"])
     x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in got]) if got else np.zeros((0, 2 * DIMS + 1))
     return vectors, train(x, np.array([r["y"] for r in got], dtype=float))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
-    """``docs`` with a column ``quality_score``, from ``text`` alone."""
+def score(docs: DataFrame, vectors: np.ndarray, network: Network, into: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``into``, from ``text`` alone.
+
+    Where ``docs`` has a column of that name, it stays and the new one's name gets underscores.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))  # of fixed size
 
@@ -253,4 +265,4 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
         v, net = shared.value
         return pd.Series(net.scores(pooled([None if pd.isna(t) else t for t in texts], v).astype(float)))
 
-    return docs.withColumn("quality_score", udf(F.col("text").cast("string")))
+    return docs.select("*", udf(F.col("text").cast("string")).alias(free_name(into, docs.columns)))

@@ -69,3 +69,24 @@ def test_repeated_ids_hide_no_others(spark):
     rows = [(0, [1.0, 0.0], 0), *[(1, [0.9, 0.0], 0)] * 30, *((i, [0.9, 0.0], 0) for i in (2, 3)), *((4, [0.8, i / 100], 0) for i in range(30)), (5, [0.1, 0.0], 0), (6, [0.2, 0.0], 0)]
     got = ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0, k=5).collect()
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3, 4, 6]
+
+
+def test_every_query_has_k_neighbours_where_there_are_so_many(spark):
+    """Forty rows of most ids: against brute force with the best row of each id, all leaves seen; and k ids in any case."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1600, 8)).astype(np.float32)
+    ids = np.arange(1600) // 40
+    df = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)], SCHEMA)
+    best = {}
+    s = x.astype(float) @ x.astype(float).T
+    for q in (0, 20):
+        mine = s[ids == q].max(axis=0)
+        score = {int(i): float(mine[ids == i].max()) for i in set(ids.tolist()) - {q}}
+        best[q] = sorted(score, key=lambda i: (-score[i], i))
+    for share, k in ((1000.0, 10), (0.05, 30), (0.05, 39), (0.05, 60)):
+        found = {}
+        for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=k, share=share).orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert all(len(set(v)) == min(k, 39) for v in found.values()) and found.keys() == best.keys()
+        if share > 1:
+            assert found == {q: v[:k] for q, v in best.items()}

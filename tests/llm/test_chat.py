@@ -46,3 +46,32 @@ def test_events_are_folded_by_sequence(spark):
     assert chat.parse(out[2]["formatted"])[0][1] == "x" * 200_000 and len(out[2]["loss_spans"]) == 1
     assert chat.parse(out[None]["formatted"]) == [("", "")] and chat.parse(out[3]["formatted"]) == [("user", "y")]
     assert chat.format_chats(spark.createDataFrame([], EVENTS)).count() == 0
+
+
+def test_log_of_turns_folds_to_the_turns(spark):
+    """All four ways of logging are met, and the fold, by the operator and by a plain loop, gives the turns."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "<|im_end|> é🙂 ", "x" * 700, "word " * rng.randint(1, 200)])) for c in [*range(60), None] for t in range(rng.randint(1, 6))]
+    rows += [(3, 0, "user", "same"), (3, 0, "user", "same"), (-7, None, "assistant", "no turn")]
+    log = chat.conversation_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).persist()
+    assert {r["event"] for r in log.select("event").distinct().collect()} == {"message", "start", "delta", "edit", "regenerate"}
+    expected = {}
+    for c, _, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1], r[2] or "", r[3] or "")):
+        expected.setdefault(c, []).append((role or "", text or ""))
+    got = {r["conv_id"]: chat.parse(r["formatted"]) for r in chat.format_chats(log).collect()}
+    assert got == expected
+    plain = {}
+    for r in sorted(log.collect(), key=lambda r: (str(r["conv_id"]), r["seq"])):
+        messages = plain.setdefault(r["conv_id"], {})
+        if r["event"] in ("message", "start"):
+            messages[r["msg_id"]] = (r["role"] or "", r["text"] or "")
+        elif r["event"] == "delta":
+            messages[r["msg_id"]] = (messages[r["msg_id"]][0], messages[r["msg_id"]][1] + r["text"])
+        else:
+            names = list(messages)
+            for later in names[names.index(r["msg_id"]) + 1 :] if r["event"] == "regenerate" else []:
+                del messages[later]
+            messages[r["msg_id"]] = (messages[r["msg_id"]][0], r["text"] or "")
+    assert {c: list(m.values()) for c, m in plain.items()} == expected

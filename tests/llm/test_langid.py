@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm import langid
 
-from .conftest import DOCS
+from .conftest import DOCS, untouched, with_clashes
 
 WORDS = {"en": "the of and to in that is was for with as on be at by this from".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht".split()}
 
@@ -51,11 +51,25 @@ def test_languages_of_copies_reach_the_promised_number_of_texts(spark):
     assert langid.learn(rows, 640, 80) == once and {x: d.count(b"word") for x, d in once.items()} == {"aa": 16, "bb": 16}
 
 
+def test_pieces_come_from_whole_texts(spark):
+    """One-shot brute force: the pieces of smallest hash of all texts, whatever their place and number of copies."""
+    rng = random.Random(7)
+    rows = [(" ".join(rng.choice(WORDS[lang]) + str(i) for i in range(rng.randint(1, 400))), lang) for _ in range(30) for lang in WORDS]
+    df = spark.createDataFrame(rows * 3 + [("copy of one text only", "en")] * 3000, "text string, lang string")
+    pieces = spark.createDataFrame([(t[i : i + 50], lang) for t, lang in rows + [("copy of one text only", "en")] for i in range(0, len(t), 50)], "p string, lang string")
+    expected = {}
+    for r in pieces.select("lang", F.xxhash64("p", F.lit("langid")).alias("h"), "p").distinct().collect():
+        expected.setdefault(r["lang"], []).append((r["h"], r["p"]))
+    model = langid.learn(df, 1_000, 50)
+    assert model == {lang: b" ".join(langid.letters(p) for _, p in sorted(sorted(hs)[:40], reverse=True))[-1_000:] for lang, hs in expected.items()}
+
+
 def test_hard_rows(spark, hard_docs, clashing):
     df = spark.createDataFrame(hard_docs, DOCS)
     model = langid.learn(df.select("text", "lang"))
-    extra = df.withColumns({c: F.lit(1) for c in clashing if c != "langid"})
-    found = langid.classify(extra, model).select("doc_id", "langid.*").collect()
+    extra = langid.classify(with_clashes(df, clashing), model)
+    assert untouched(extra.collect(), clashing)
+    found = extra.select("doc_id", "langid_.*").collect()
     assert len(found) == len(hard_docs) and all((r["lang_pred"] == "und") == (r["doc_id"] in (None, 3, 4, 5, 9) and r["score"] == 0.0 and r["rejected"] and r["lang_pred"] == "und") for r in found)
     assert langid.learn(spark.createDataFrame([], DOCS).select("text", "lang")) == {}
     assert langid.classify(spark.createDataFrame([], DOCS), model).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm import langid, quality
 
-from .conftest import DOCS, sentence
+from .conftest import DOCS, sentence, untouched, with_clashes
 
 
 def corpus(n):
@@ -72,11 +72,21 @@ def test_temperature_calibrates():
         assert abs(s[some].mean() - y[some].mean()) < 0.12
 
 
+def test_few_labels_teach(spark):
+    """Three labels of both kinds are enough for scores that tell texts apart, and several texts of one id give the same fit each time."""
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(["good plain words here", "bad bad !!! $$$ ###", "good plain text here", "### !!! bad $$$"])] + [(0, "other text", "en", "s", 0)], DOCS)
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    vectors, net = quality.fit(docs, labels)
+    scores = {r["doc_id"]: r["quality_score"] for r in quality.score(docs.where("text <> 'other text'"), vectors, net).collect()}
+    assert scores[2] > scores[3] and len(set(scores.values())) > 2
+    assert np.array_equal(quality.fit(docs.repartition(5), labels)[1].w1, net.w1)
+
+
 def test_hard_rows(spark, hard_docs, clashing):
-    docs = spark.createDataFrame(hard_docs, DOCS).withColumns({c: F.lit(1) for c in [*clashing, "y", "x"]})
+    docs = with_clashes(spark.createDataFrame(hard_docs, DOCS), [*clashing, "y", "x"])
     labels = spark.createDataFrame([(1, 1), (1, 1), (4, 0), (None, 1), (6, None), (99, 0)], "doc_id long, quality int")
     fitted = quality.fit(docs, labels)
     out = quality.score(docs, *fitted).collect()
-    assert len(out) == len(hard_docs) and all(0 <= r["quality_score"] <= 1 for r in out)
+    assert len(out) == len(hard_docs) and all(0 <= r["quality_score_"] <= 1 for r in out) and untouched(out, [*clashing, "y", "x"])
     none = quality.fit(docs.limit(0), labels)
     assert quality.score(docs.limit(0), *none).count() == 0
