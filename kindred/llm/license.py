@@ -1,18 +1,21 @@
 """License scans over a tree of files, in DataFrame operations only.
 
 Every line of a file, and the whole of a licence file (LICENSE, COPYING, NOTICE, ...),
-is compared with licence templates: sparse TF-IDF vectors over the templates' words,
-with document frequencies from the whole corpus, and their cosine.  The best template
-above a threshold is the file's own licence.  Where no line reaches the threshold, the
-runs of as many words as a template has are compared, wherever lines break; and the
+is compared with licence templates: sparse TF-IDF vectors and their cosine.  Document
+frequencies of the templates' words come from the whole corpus; every other word of a line
+is a dimension of its own, and weighs as much as a word that no document has, so that
+words strewn over prose make no licence.  The best template above a threshold is the
+file's own licence.  Where no line reaches the threshold, the runs of as many words as a
+template has are compared, wherever lines break and whatever stands around them; and the
 opening of a licence file is compared so first, for its text may name other licences.
 A file without a licence inherits that of the nearest directory above it that has a
 licence file with a licence.
 
-Cases: a null text has no licence; a null path has no directory and inherits nothing.
-Ties go to the licence, then the template, that sorts first.  Repeated rows are files of
-their own; of several licence files in a directory the best score counts, ties going to
-the licence that sorts first.  Other columns are ignored; an empty table gives no rows.
+Cases: a null or empty text has no licence; a null path has no directory and inherits
+nothing.  Ties go to the run that comes first, then the licence that sorts first.  Repeated
+rows are files of their own; of several licence files in a directory the best score
+counts, ties going to the licence that sorts first.  Very long texts are compared whole.
+Other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread
 
 # Statements by which licences are named, and openings of their texts.
 TEMPLATES = [
@@ -46,7 +49,14 @@ TEMPLATES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-]
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"), ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"), ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    *((x, f"SPDX-License-Identifier: {x}") for x in ("Apache-2.0", "MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "MPL-2.0", "CC0-1.0", "Unlicense")),
+]
 _GNU = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
 # Headers of files and titles of licence texts, which are wrapped; compared with runs of words only, titles only in the opening of a licence file.
 HEADERS = [
@@ -79,15 +89,25 @@ VOCABULARY = sorted({w for _, t in TEMPLATES for w in words(t)})
 RUN_VOCABULARY = sorted({w for _, t in TEMPLATES + HEADERS + TITLES for w in words(t)})
 
 
-def _terms(text: Column) -> Column:
-    """The words of a text that templates have, in order."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: w.isin(VOCABULARY))
+def _every(text: Column) -> Column:
+    """The words of a text but for those of STOP, in order."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(STOP))
+
+
+def _unit(ws: Column) -> Column:
+    """The words that templates have, and the number of others."""
+    known = F.filter(ws, lambda w: w.isin(VOCABULARY))
+    return F.struct(known.alias("known"), (F.size(ws) - F.size(known)).alias("others"))
+
+
+def _placed(ws: Column) -> Column:
+    """The words that any template has, each with its place among all."""
+    return F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda x: x["w"].isin(RUN_VOCABULARY))
 
 
-def _placed(text: Column) -> Column:
-    """The words of a text that any template has, in order, each with its place among all words but those of STOP."""
-    every = F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(STOP))
-    return F.filter(F.transform(every, lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda x: x["w"].isin(RUN_VOCABULARY))
+def unseen(total: int) -> float:
+    """The weight of a word that none of ``total`` documents has."""
+    return math.log(total + 1) + 1
 
 
 def _weights(idf: dict[str, float], template: str) -> dict[str, float]:
@@ -105,15 +125,15 @@ def _better(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | (b["score"] > a["score"]) | ((b["score"] == a["score"]) & (b["licence"] < a["licence"])), b).otherwise(a)
 
 
-def _scored(unit: Column, table: Column) -> Column:
-    """The different terms of a unit with their weights, and their norm."""
-    different = F.array_distinct(unit)
-    weight = F.transform(different, lambda w: F.struct(w.alias("w"), (F.size(F.filter(unit, lambda x: x == w)) * table[w]).alias("x")))
-    return F.struct(weight.alias("ws"), F.sqrt(F.aggregate(weight, F.lit(0.0), lambda a, e: a + e["x"] * e["x"])).alias("norm"))
+def _scored(known: Column, others: Column, table: Column, rare: float) -> Column:
+    """The different words of a unit with their weights, and the norm of all its words."""
+    different = F.array_distinct(known)
+    weight = F.transform(different, lambda w: F.struct(w.alias("w"), (F.size(F.filter(known, lambda x: x == w)) * table[w]).alias("x")))
+    return F.struct(weight.alias("ws"), F.sqrt(F.aggregate(weight, others * F.lit(rare * rare), lambda a, e: a + e["x"] * e["x"])).alias("norm"))
 
 
-def _best(units: Column, idf: dict[str, float]) -> Column:
-    """The best (score, licence) of a list of units, each a list of terms; null without units."""
+def _best(units: Column, idf: dict[str, float], rare: float) -> Column:
+    """The best (score, licence) of a list of units; null without units."""
     table = F.create_map(*(F.lit(x) for w in VOCABULARY for x in (w, idf[w])))
 
     def against(unit: Column, licence: str, template: str) -> Column:
@@ -122,16 +142,17 @@ def _best(units: Column, idf: dict[str, float]) -> Column:
         dot = F.aggregate(unit["ws"], F.lit(0.0), lambda a, e: a + e["x"] * F.coalesce(mine[e["w"]], F.lit(0.0)))
         return F.struct(F.round(dot / unit["norm"], 6).alias("score"), F.lit(licence).alias("licence"))
 
-    each = F.transform(units, lambda u: _scored(u, table))
+    each = F.transform(units, lambda u: _scored(u["known"], u["others"], table, rare))
     pairs = F.flatten(F.transform(each, lambda u: F.array(*(against(u, lic, t) for lic, t in TEMPLATES))))
     return F.aggregate(pairs, _nothing(), _better)
 
 
-def _best_run(placed: Column, idf: dict[str, float], templates: list[tuple[str, str]], similarity: float) -> Column:
+def _best_run(placed: Column, total: Column, idf: dict[str, float], rare: float, templates: list[tuple[str, str]], similarity: float) -> Column:
     """The best (score, licence) of the runs that reach the similarity; null without one.
 
-    Ties go to the run that comes first, then the licence that sorts first.  A run begins at a word of the template and has as many words.  A template whose words
-    in the text would not reach the similarity even by themselves is passed over.
+    ``placed`` are the templates' words among ``total`` words.  A run begins at a word of
+    the template and has as many words.  A template whose words in the text would not
+    reach the similarity even by themselves is passed over.
     """
     table = F.create_map(*(F.lit(x) for w in RUN_VOCABULARY for x in (w, idf[w])))
     known = []
@@ -141,14 +162,15 @@ def _best_run(placed: Column, idf: dict[str, float], templates: list[tuple[str,
     weight = lambda t, w: F.coalesce(t["own"][w], F.lit(0.0))
     within = lambda t, ws: F.aggregate(F.array_distinct(ws), F.lit(0.0), lambda a, w: a + weight(t, w) * weight(t, w)) >= similarity * similarity - 1e-6
 
-    def cosine(t: Column, unit: Column) -> Column:
+    def cosine(t: Column, u: Column) -> Column:
+        unit = _scored(u["ws"], F.least(t["n"], total - u["p"]) - F.size(u["ws"]), table, rare)
         return F.round(F.aggregate(unit["ws"], F.lit(0.0), lambda a, e: a + e["x"] * weight(t, e["w"])) / unit["norm"], 6)
 
     def runs(t: Column) -> Column:
         at = lambda x, i: F.transform(F.filter(F.slice(placed, i + 1, t["n"]), lambda y: y["p"] < x["p"] + t["n"]), lambda y: y["w"])
         units = F.transform(placed, lambda x, i: F.when(t["own"][x["w"]].isNotNull(), F.struct(x["p"].alias("p"), at(x, i).alias("ws"))))
         units = F.filter(units, lambda u: u.isNotNull() & within(t, u["ws"]))
-        return F.transform(units, lambda u: F.struct((-cosine(t, _scored(u["ws"], table))).alias("s"), u["p"].alias("p"), t["licence"].alias("licence")))
+        return F.transform(units, lambda u: F.struct((-cosine(t, u)).alias("s"), u["p"].alias("p"), t["licence"].alias("licence")))
 
     possible = F.filter(F.array(*known), lambda t: within(t, F.transform(placed, lambda x: x["w"])))
     best = F.array_min(F.filter(F.flatten(F.transform(possible, runs)), lambda x: x["s"] <= -similarity))
@@ -158,26 +180,27 @@ def _best_run(placed: Column, idf: dict[str, float], templates: list[tuple[str,
 def scan(files: DataFrame, key: str, path: str = "path", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``key, path, own_license, own_score, license, via, from_dir``: one row per file.
 
-    ``via`` is own, inherited or none; ``own_score`` is the best cosine, rounded to six
-    places, of files with any word of a template.
+    ``via`` is own, inherited or none; ``own_score`` is the cosine, rounded to six
+    places, of the file's own licence.
     """
     base = files.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
-    hits = base.select("key", "path", _placed(F.col("text")).alias("placed"), "text").withColumn("hits", F.array_distinct(F.col("placed.w")))
-    lines = F.filter(F.transform(F.split("text", "\n"), _terms), lambda u: F.size(u) > 0)
-    units = F.when(F.size(F.filter("hits", lambda w: w.isin(VOCABULARY))) > 0, F.when(F.regexp_extract(F.coalesce("path", F.lit("")), r"[^/]*$", 0).rlike(LICENCE_FILE), F.concat(lines, F.array(F.flatten(lines)))).otherwise(lines))
-    found = materialize(hits.select("key", "path", "hits", "placed", units.alias("units")))
+    base = base.withColumn("licence_file", F.coalesce(F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENCE_FILE), F.lit(False)))
+    # only files with a word of a template go on, and of these only the lines that have one
+    read = base.withColumn("lines", F.transform(F.split("text", "\n"), _every)).withColumn("every", F.flatten("lines")).drop("text")
+    hits = read.withColumn("placed", _placed(F.col("every"))).withColumn("hits", F.array_distinct("placed.w"))
+    units = F.filter(F.transform("lines", _unit), lambda u: F.size(u["known"]) > 0)
+    units = F.when(F.col("licence_file"), F.concat(units, F.filter(F.array(_unit(F.col("every"))), lambda u: F.size(u["known"]) > 0))).otherwise(units)
+    found = materialize(hits.select("key", "path", "licence_file", "hits", "placed", F.size("every").alias("total"), F.when(F.size("hits") > 0, units).alias("units")))
     total = found.count()
     counted = {r["w"]: r["count"] for r in found.select(F.explode("hits").alias("w")).groupBy("w").count().collect()}  # words of templates only
+    rare = unseen(total)
     idf = {w: math.log((total + 1) / (counted.get(w, 0) + 1)) + 1 for w in RUN_VOCABULARY}
-    licence_file = F.coalesce(F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENCE_FILE), F.lit(False))
-    opening = F.when(licence_file, _best_run(F.filter("placed", lambda x: x["p"] < OPENING), idf, TEMPLATES + HEADERS + TITLES, similarity))
-    line = found.withColumn("line", _best(F.col("units"), idf)).withColumn("opening", opening)
-    run = F.when(F.coalesce(F.col("line.score") < similarity, F.lit(True)), _best_run(F.col("placed"), idf, TEMPLATES + HEADERS, similarity))
-    best = line.withColumn("best", F.coalesce("opening", run, "line"))
-    own = F.when(F.col("best.score") >= similarity, F.col("best.licence"))
-    directory = F.regexp_replace("path", r"/?[^/]*$", "")
-    name = F.regexp_extract("path", r"[^/]*$", 0)
-    scored = best.select("key", "path", directory.alias("dir"), name.rlike(LICENCE_FILE).alias("licence_file"), F.col("best.score").alias("own_score"), own.alias("own_license"))
+    first = _best_run(F.filter("placed", lambda x: x["p"] < OPENING), F.least(F.col("total"), F.lit(OPENING)), idf, rare, TEMPLATES + HEADERS + TITLES, similarity)
+    line = found.withColumn("line", _best(F.col("units"), idf, rare)).withColumn("opening", F.when(F.col("licence_file"), first))
+    line = line.withColumn("line", F.when(F.col("line.score") >= similarity, F.col("line")))
+    run = F.when(F.col("line").isNull(), _best_run(F.col("placed"), F.col("total"), idf, rare, TEMPLATES + HEADERS, similarity))
+    best = line.withColumn("best", F.coalesce("opening", "line", run))
+    scored = best.select("key", "path", F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"), "licence_file", F.col("best.score").alias("own_score"), F.col("best.licence").alias("own_license"))
     scored = materialize(scored)
     given = scored.where("licence_file and own_license is not null").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("l"))).alias("x"))
     given = given.select(F.col("dir").alias("above"), F.col("x.l").alias("given"))
@@ -186,8 +209,8 @@ def scan(files: DataFrame, key: str, path: str = "path", text: str = "text", sim
     parts = F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
     chain = dirs.withColumn("parts", parts).select("dir", F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("depth"), "parts")
     chain = chain.select("dir", "depth", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.array_join(F.slice("parts", F.lit(1), F.greatest(F.col("depth"), F.lit(1))), "/")).alias("above"))
-    near = chain.join(given, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "given")).alias("x")).select("dir", F.col("x.above").alias("from_dir"), "x.given")
-    out = scored.join(near, "dir", "left")
+    near = chain.join(spread(given), "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "given")).alias("x")).select("dir", F.col("x.above").alias("from_dir"), "x.given")
+    out = scored.join(spread(near), "dir", "left")
     return out.select(
         F.col("key").alias(key), "path", "own_license", "own_score", F.coalesce("own_license", "given").alias("license"),
         F.when(F.col("own_license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").otherwise("none").alias("via"),

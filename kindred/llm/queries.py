@@ -160,30 +160,52 @@ FROM n JOIN g ON n.t = g.t""",
 WITH d AS (
   SELECT doc_id, concat_ws('/', coalesce(source, 'none'), doc_id // 1000, doc_id // 10) AS dir,
          CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name, text FROM documents),
-templates AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{lic}', {[w for w in license.words(t)]})" for i, (lic, t) in enumerate(license.TEMPLATES))}) t(template, licence, ws)),
-vocabulary AS (SELECT DISTINCT unnest(ws) AS w FROM templates),
-lines AS (SELECT doc_id, name, n, unnest(regexp_extract_all(lower(l), '{license.WORD}')) AS w
-  FROM (SELECT doc_id, name, unnest(ls) AS l, unnest(range(len(ls))) AS n FROM (SELECT doc_id, name, string_split(text, chr(10)) AS ls FROM d))),
-hits AS (SELECT * FROM lines SEMI JOIN vocabulary USING (w)),
-idf AS (SELECT w, ln(((SELECT count(*) FROM d) + 1) / (count(DISTINCT doc_id) + 1)) + 1 AS idf FROM vocabulary LEFT JOIN hits USING (w) GROUP BY w),
-units AS (SELECT doc_id, n, w, count(*) AS tf FROM hits GROUP BY ALL
-  UNION ALL SELECT doc_id, -1, w, count(*) FROM hits WHERE name = 'LICENSE' GROUP BY ALL),
-uw AS (SELECT doc_id, n, w, tf * idf AS x FROM units JOIN idf USING (w)),
-un AS (SELECT doc_id, n, sqrt(sum(x * x)) AS norm FROM uw GROUP BY ALL),
-tw AS (SELECT template, licence, w, count(*) * any_value(idf) AS x FROM (SELECT template, licence, unnest(ws) AS w FROM templates) JOIN idf USING (w) GROUP BY ALL),
+templates AS (SELECT * FROM (VALUES {', '.join(f"({i}, {kind}, '{lic}', {license.words(t)}, {len(license.words(t))})" for i, (kind, lic, t) in enumerate(
+    [(0, *x) for x in license.TEMPLATES] + [(1, *x) for x in license.HEADERS] + [(2, *x) for x in license.TITLES]))}) t(template, kind, licence, ws, n)),
+stop AS (SELECT unnest({license.STOP}) AS w),
+vocabulary AS (SELECT w, min(kind) AS kind FROM (SELECT unnest(ws) AS w, kind FROM templates) GROUP BY w),
+words AS (SELECT doc_id, name, n, i, unnest(xs) AS w, unnest(range(len(xs))) AS j
+  FROM (SELECT doc_id, name, n, n AS i, regexp_extract_all(lower(l), '{license.WORD}') AS xs
+    FROM (SELECT doc_id, name, unnest(ls) AS l, unnest(range(len(ls))) AS n FROM (SELECT doc_id, name, string_split(text, chr(10)) AS ls FROM d)))),
+every AS (SELECT doc_id, name, n, w, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS p FROM words ANTI JOIN stop USING (w)),
+sizes AS (SELECT doc_id, count(*) AS total FROM every GROUP BY doc_id),
+hits AS (SELECT doc_id, name, n, w, p, kind FROM every JOIN vocabulary USING (w)),
+docs AS (SELECT count(*) AS total, ln(count(*) + 1) + 1 AS rare FROM d),
+idf AS (SELECT w, ln(((SELECT total FROM docs) + 1) / (count(DISTINCT doc_id) + 1)) + 1 AS idf FROM vocabulary LEFT JOIN hits USING (w) GROUP BY w),
+tw AS (SELECT template, w, count(*) * any_value(idf) AS x FROM (SELECT template, unnest(ws) AS w FROM templates) JOIN idf USING (w) GROUP BY ALL),
 tn AS (SELECT template, sqrt(sum(x * x)) AS norm FROM tw GROUP BY ALL),
-cosines AS (SELECT doc_id, licence, round(sum(uw.x * tw.x) / any_value(un.norm) / any_value(tn.norm), 6) AS score
-  FROM uw JOIN tw USING (w) JOIN un USING (doc_id, n) JOIN tn USING (template) GROUP BY doc_id, n, template, licence),
-best AS (SELECT doc_id, licence, score FROM cosines QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1),
-own AS (SELECT d.doc_id, dir, name, dir || '/' || name AS path, score AS own_score, CASE WHEN score >= {license.SIMILARITY} THEN licence END AS own_license FROM d LEFT JOIN best USING (doc_id)),
-given AS (SELECT dir AS above, own_license AS given FROM own WHERE name = 'LICENSE' AND own_license IS NOT NULL
+own AS (SELECT template, w, x / norm AS x FROM tw JOIN tn USING (template)),
+units AS (SELECT doc_id, n, w, count(*) AS tf FROM hits WHERE kind = 0 GROUP BY ALL
+  UNION ALL SELECT doc_id, -1, w, count(*) FROM hits WHERE name = 'LICENSE' AND kind = 0 GROUP BY ALL),
+lengths AS (SELECT doc_id, n, count(*) AS m FROM every GROUP BY ALL UNION ALL SELECT doc_id, -1, total FROM sizes),
+un AS (SELECT doc_id, n, sqrt(sum(tf * idf * tf * idf) + (any_value(m) - sum(tf)) * any_value((SELECT rare * rare FROM docs))) AS norm
+  FROM units JOIN idf USING (w) JOIN lengths USING (doc_id, n) GROUP BY doc_id, n),
+cosines AS (SELECT doc_id, licence, round(sum(tf * idf * own.x) / any_value(un.norm), 6) AS score
+  FROM units JOIN idf USING (w) JOIN own USING (w) JOIN templates USING (template) JOIN un USING (doc_id, n) WHERE templates.kind = 0 GROUP BY doc_id, n, template, licence),
+line AS (SELECT doc_id, licence, score FROM cosines WHERE score >= {license.SIMILARITY} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1),
+starts AS (SELECT DISTINCT doc_id, p, template, t.n, licence, t.kind, total, opening
+  FROM hits JOIN own USING (w) JOIN templates t USING (template) JOIN sizes USING (doc_id)
+  JOIN (SELECT doc_id, name = 'LICENSE' AS opening FROM d WHERE name = 'LICENSE' UNION ALL SELECT doc_id, false FROM d) USING (doc_id)
+  WHERE (opening AND p < {license.OPENING}) OR (NOT opening AND t.kind < 2)),
+inrun AS (SELECT s.doc_id, s.p, s.template, s.opening, h.w, count(*) AS tf,
+    least(any_value(s.n), CASE WHEN s.opening THEN least(any_value(total), {license.OPENING}) ELSE any_value(total) END - s.p) AS m, any_value(licence) AS licence
+  FROM starts s JOIN hits h ON h.doc_id = s.doc_id AND h.p >= s.p AND h.p < s.p + s.n AND (NOT s.opening OR h.p < {license.OPENING}) GROUP BY s.doc_id, s.p, s.template, s.opening, h.w),
+runs AS (SELECT doc_id, opening, p, template, any_value(licence) AS licence,
+    round(sum(tf * idf * coalesce(own.x, 0)) / sqrt(sum(tf * idf * tf * idf) + (any_value(m) - sum(tf)) * any_value((SELECT rare * rare FROM docs))), 6) AS score
+  FROM inrun JOIN idf USING (w) LEFT JOIN own USING (template, w) GROUP BY doc_id, opening, p, template),
+run AS (SELECT doc_id, opening, licence, score FROM runs WHERE score >= {license.SIMILARITY}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, opening ORDER BY score DESC, p, licence) = 1),
+best AS (SELECT d.doc_id, dir, name, dir || '/' || name AS path,
+    coalesce(o.licence, line.licence, r.licence) AS own_license, coalesce(o.score, line.score, r.score) AS own_score
+  FROM d LEFT JOIN line USING (doc_id) LEFT JOIN (FROM run WHERE opening) o USING (doc_id) LEFT JOIN (FROM run WHERE NOT opening) r USING (doc_id)),
+given AS (SELECT dir AS above, own_license AS given FROM best WHERE name = 'LICENSE' AND own_license IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, own_license) = 1),
-near AS (SELECT dir, above, given FROM (SELECT DISTINCT dir FROM own) JOIN given ON dir = above OR starts_with(dir, above || '/')
+near AS (SELECT dir, above, given FROM (SELECT DISTINCT dir FROM best) JOIN given ON dir = above OR starts_with(dir, above || '/')
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) = 1)
 SELECT doc_id, path, own_license, own_score, coalesce(own_license, given) AS license,
        CASE WHEN own_license IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS via,
        CASE WHEN own_license IS NULL THEN above END AS from_dir
-FROM own LEFT JOIN near USING (dir)""",
+FROM best LEFT JOIN near USING (dir)""",
     "op10_chat": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
