@@ -161,7 +161,7 @@ WITH d AS (
   SELECT doc_id, concat_ws('/', coalesce(source, 'none'), doc_id // 1000, doc_id // 10) AS dir,
          CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name, text FROM documents),
 templates AS (SELECT * FROM (VALUES {', '.join(f"({i}, {kind}, '{lic}', {license.words(t)}, {len(license.words(t))})" for i, (kind, lic, t) in enumerate(
-    [(0, *x) for x in license.TEMPLATES] + [(1, *x) for x in license.HEADERS] + [(2, *x) for x in license.TITLES]))}) t(template, kind, licence, ws, n)),
+    [(0, *x) for x in license.TEMPLATES] + [(1, *x) for x in license.HEADERS] + [(2, *x) for x in license.TITLES]))}) t(template, kind, licence, ws, len)),
 stop AS (SELECT unnest({license.STOP}) AS w),
 vocabulary AS (SELECT w, min(kind) AS kind FROM (SELECT unnest(ws) AS w, kind FROM templates) GROUP BY w),
 words AS (SELECT doc_id, name, n, i, unnest(xs) AS w, unnest(range(len(xs))) AS j
@@ -183,13 +183,13 @@ un AS (SELECT doc_id, n, sqrt(sum(tf * idf * tf * idf) + (any_value(m) - sum(tf)
 cosines AS (SELECT doc_id, licence, round(sum(tf * idf * own.x) / any_value(un.norm), 6) AS score
   FROM units JOIN idf USING (w) JOIN own USING (w) JOIN templates USING (template) JOIN un USING (doc_id, n) WHERE templates.kind = 0 GROUP BY doc_id, n, template, licence),
 line AS (SELECT doc_id, licence, score FROM cosines WHERE score >= {license.SIMILARITY} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1),
-starts AS (SELECT DISTINCT doc_id, p, template, t.n, licence, t.kind, total, opening
+starts AS (SELECT DISTINCT doc_id, p, template, t.len, licence, t.kind, total, opening
   FROM hits JOIN own USING (w) JOIN templates t USING (template) JOIN sizes USING (doc_id)
   JOIN (SELECT doc_id, name = 'LICENSE' AS opening FROM d WHERE name = 'LICENSE' UNION ALL SELECT doc_id, false FROM d) USING (doc_id)
   WHERE (opening AND p < {license.OPENING}) OR (NOT opening AND t.kind < 2)),
 inrun AS (SELECT s.doc_id, s.p, s.template, s.opening, h.w, count(*) AS tf,
-    least(any_value(s.n), CASE WHEN s.opening THEN least(any_value(total), {license.OPENING}) ELSE any_value(total) END - s.p) AS m, any_value(licence) AS licence
-  FROM starts s JOIN hits h ON h.doc_id = s.doc_id AND h.p >= s.p AND h.p < s.p + s.n AND (NOT s.opening OR h.p < {license.OPENING}) GROUP BY s.doc_id, s.p, s.template, s.opening, h.w),
+    least(any_value(s.len), CASE WHEN s.opening THEN least(any_value(total), {license.OPENING}) ELSE any_value(total) END - s.p) AS m, any_value(licence) AS licence
+  FROM starts s JOIN hits h ON h.doc_id = s.doc_id AND h.p >= s.p AND h.p < s.p + s.len AND (NOT s.opening OR h.p < {license.OPENING}) GROUP BY s.doc_id, s.p, s.template, s.opening, h.w),
 runs AS (SELECT doc_id, opening, p, template, any_value(licence) AS licence,
     round(sum(tf * idf * coalesce(own.x, 0)) / sqrt(sum(tf * idf * tf * idf) + (any_value(m) - sum(tf)) * any_value((SELECT rare * rare FROM docs))), 6) AS score
   FROM inrun JOIN idf USING (w) LEFT JOIN own USING (template, w) GROUP BY doc_id, opening, p, template),
