@@ -20,6 +20,7 @@ Other columns are ignored, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -117,6 +118,17 @@ def _weights(idf: dict[str, float], template: str) -> dict[str, float]:
     return {w: x / norm for w, x in raw.items()}
 
 
+# Constants as JSON: one literal to the optimizer, however many templates there are.
+def _table(vocabulary: list[str], idf: dict[str, float]) -> Column:
+    return F.from_json(F.lit(json.dumps({w: idf[w] for w in vocabulary})), "map<string,double>")
+
+
+def _known(templates: list[tuple[str, str]], idf: dict[str, float]) -> Column:
+    """The templates with their numbers of words and their unit vectors."""
+    rows = [{"licence": lic, "n": len(words(t)), "own": _weights(idf, t)} for lic, t in templates]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<licence:string,n:int,own:map<string,double>>>")
+
+
 def _nothing() -> Column:
     return F.lit(None).cast("struct<score:double,licence:string>")
 
@@ -134,16 +146,14 @@ def _scored(known: Column, others: Column, table: Column, rare: float) -> Column
 
 def _best(units: Column, idf: dict[str, float], rare: float) -> Column:
     """The best (score, licence) of a list of units; null without units."""
-    table = F.create_map(*(F.lit(x) for w in VOCABULARY for x in (w, idf[w])))
+    table = _table(VOCABULARY, idf)
 
-    def against(unit: Column, licence: str, template: str) -> Column:
-        own = _weights(idf, template)
-        mine = F.create_map(*(F.lit(x) for w in sorted(own) for x in (w, own[w])))
-        dot = F.aggregate(unit["ws"], F.lit(0.0), lambda a, e: a + e["x"] * F.coalesce(mine[e["w"]], F.lit(0.0)))
-        return F.struct(F.round(dot / unit["norm"], 6).alias("score"), F.lit(licence).alias("licence"))
+    def against(unit: Column, t: Column) -> Column:
+        dot = F.aggregate(unit["ws"], F.lit(0.0), lambda a, e: a + e["x"] * F.coalesce(t["own"][e["w"]], F.lit(0.0)))
+        return F.struct(F.round(dot / unit["norm"], 6).alias("score"), t["licence"].alias("licence"))
 
     each = F.transform(units, lambda u: _scored(u["known"], u["others"], table, rare))
-    pairs = F.flatten(F.transform(each, lambda u: F.array(*(against(u, lic, t) for lic, t in TEMPLATES))))
+    pairs = F.flatten(F.transform(each, lambda u: F.transform(_known(TEMPLATES, idf), lambda t: against(u, t))))
     return F.aggregate(pairs, _nothing(), _better)
 
 
@@ -154,11 +164,7 @@ def _best_run(placed: Column, total: Column, idf: dict[str, float], rare: float,
     the template and has as many words.  A template whose words in the text would not
     reach the similarity even by themselves is passed over.
     """
-    table = F.create_map(*(F.lit(x) for w in RUN_VOCABULARY for x in (w, idf[w])))
-    known = []
-    for licence, template in templates:
-        own = _weights(idf, template)
-        known.append(F.struct(F.lit(licence).alias("licence"), F.lit(len(words(template))).alias("n"), F.create_map(*(F.lit(x) for w in sorted(own) for x in (w, own[w]))).alias("own")))
+    table = _table(RUN_VOCABULARY, idf)
     weight = lambda t, w: F.coalesce(t["own"][w], F.lit(0.0))
     within = lambda t, ws: F.aggregate(F.array_distinct(ws), F.lit(0.0), lambda a, w: a + weight(t, w) * weight(t, w)) >= similarity * similarity - 1e-6
 
@@ -172,7 +178,7 @@ def _best_run(placed: Column, total: Column, idf: dict[str, float], rare: float,
         units = F.filter(units, lambda u: u.isNotNull() & within(t, u["ws"]))
         return F.transform(units, lambda u: F.struct((-cosine(t, u)).alias("s"), u["p"].alias("p"), t["licence"].alias("licence")))
 
-    possible = F.filter(F.array(*known), lambda t: within(t, F.transform(placed, lambda x: x["w"])))
+    possible = F.filter(_known(templates, idf), lambda t: within(t, F.transform(placed, lambda x: x["w"])))
     best = F.array_min(F.filter(F.flatten(F.transform(possible, runs)), lambda x: x["s"] <= -similarity))
     return F.when(best.isNotNull(), F.struct((-best["s"]).alias("score"), best["licence"].alias("licence")))
 
