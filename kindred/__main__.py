@@ -22,7 +22,7 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--split", choices=["train", "test"], default="train")
     run.add_argument("--matcher", choices=["rules", "ml"], default="rules")
     run.add_argument("--sample", type=int, default=0)
-    for flag in ("--evaluate", "--blocking-only", "--collect"):
+    for flag in ("--evaluate", "--blocking-only", "--collect", "--stream"):
         run.add_argument(flag, action="store_true")
     tune = sub.add_parser("tune")
     tune.add_argument("--matcher", choices=["rules", "ml"], default="rules")
@@ -42,14 +42,13 @@ def main(argv: list[str] | None = None) -> int:
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("kindred").getOrCreate()
     if a.command == "run":
-        print(linkage.run(spark, a.data_dir, a.output_dir, a.split, a.matcher, a.evaluate, a.sample, a.blocking_only, a.collect))
+        print(linkage.run(spark, a.data_dir, a.output_dir, a.split, a.matcher, a.evaluate, a.sample, a.blocking_only, a.collect, stream=a.stream))
     elif a.command == "tune":
         print(linkage.tune(spark, a.data_dir, a.output_dir, a.matcher, a.stages, a.eval_sample))
     elif a.command == "dictionary":
         truth = tsv.read_truth(spark, tsv.data_path(spark, a.data_dir, "train_ground_truth.tsv", "train"))
-        rows = linkage.learn_dictionary(tsv.read_all(spark, a.data_dir, "train"), truth).collect()
-        tsv.save_dictionary(f"{a.output_dir}/translit_dict.json", {r["token"]: r["english"] for r in rows})
-        print(len(rows), "tokens")
+        learned = linkage.learn_dictionary(tsv.read_all(spark, a.data_dir, "train"), truth)
+        print(tsv.save_dictionary(spark, f"{a.output_dir}/translit_dict.json", learned), "tokens")
     elif a.command == "analyze":
         found = linkage.diagnose_blocking(spark, a.data_dir, a.output_dir, a.sample, a.n) if a.what == "blocking" else linkage.diagnose_matching(spark, a.data_dir, a.output_dir, a.matcher, a.n)
         for table in found:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 
+# The defaults of blocking, learning and the rules.
 @dataclass(frozen=True)
 class Blocking:
     max_block: int = 1000  # keys that more records of the other side share are not used

@@ -13,22 +13,18 @@ from .. import config
 
 # Letters whose plain form Unicode's decompositions do not give.
 SPECIAL_LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ø": "o", "ł": "l", "đ": "d", "ħ": "h", "ı": "i"}
+# The usual Latin spellings of Greek and Cyrillic letters, of signs, and of kana that are not said as they are named.
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
+CYRILLIC = dict(zip(
+    "абвгдежзийклмнопрстуфхцчшщъыьэюяєіїґђјљњћџѓќўё", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia e i i g d j lj nj ts dz g k u io".split(), strict=True
+))
+SIGNS = {"©": "(c)", "®": "(r)", "™": "(tm)", "€": "eur", "£": "ps", "¥": "y=", "°": "deg", "×": "x", "÷": "/", "«": "<<", "»": ">>", "¡": "!", "¿": "?", "µ": "u", "·": "*", "•": "*"}
+KANA = {"si": "shi", "ti": "chi", "tu": "tsu", "hu": "fu", "zi": "ji", "di": "ji", "du": "zu"}
 NON_LATIN_LETTER = r"[\p{L}&&[^\p{IsLatin}]]"
 INDIC = r"[ऀ-ൿ]"
 SCRIPT_TOKEN = r"[^\s\x{A0},()\[\]/.&+\-]+"
 
 
-@functools.cache
-def _accents() -> tuple[str, str]:
-    """Letters with marks and their plain forms, one for one, by Unicode decomposition."""
-    pairs = []
-    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00)):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii() and base != chr(code):
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
 @functools.cache
 def indic_letters() -> dict[str, str]:
     """Latin spellings of Indic letters, from their Unicode names: consonants lose the inherent a."""
@@ -49,19 +45,91 @@ def indic_letters() -> dict[str, str]:
     return out
 
 
+def _spelling(c: str) -> str | None:
+    """The ASCII spelling of a character: from the tables, its decomposition, its class or its Unicode name; null if none tells."""
+    low = c.lower()
+    plain = "".join(x for x in unicodedata.normalize("NFKD", low) if not unicodedata.combining(x))
+    for table in (SPECIAL_LETTERS, SIGNS, CYRILLIC, GREEK):
+        if low in table:
+            return table[low]
+    if plain and plain != low:
+        parts = [x if x.isascii() else _spelling(x) for x in plain]
+        return None if None in parts else "".join(parts).lower()
+    kind = unicodedata.category(c)
+    if kind == "Pd":
+        return "-"
+    if kind[0] == "Z" or kind in ("Sm", "Sk", "Sc"):
+        return " "
+    if kind[0] == "P":
+        return "'" if kind in ("Pi", "Pf") else " "
+    name = unicodedata.name(c, "")
+    kana = re.match(r"(?:HIRAGANA|KATAKANA) LETTER (?:SMALL )?([A-Z]+)$", name)
+    if kana:
+        return KANA.get(kana[1].lower(), kana[1].lower())
+    letter = re.match(r"(?:HEBREW|ARABIC|ARMENIAN|GEORGIAN) (?:CAPITAL |SMALL )?LETTER (?:FINAL )?([A-Z]+)", name)
+    if letter:  # a letter is spelt as its name begins
+        return re.match(r"SH|CH|TS|TH|DH|KH|GH|ZH|PH|.", letter[1])[0].lower()
+    return None
+
+
+@functools.cache
+def spellings() -> dict[str, str]:
+    """Lower-case ASCII spellings of the characters of Latin, Greek, Cyrillic, Hebrew, Arabic, Armenian, Georgian, Indic scripts and kana, and of punctuation."""
+    out = {}
+    for low, high in ((0x80, 0x700), (0x10A0, 0x1100), (0x1E00, 0x2000), (0x2000, 0x2C00), (0x3000, 0x3100), (0xFB00, 0xFB07), (0xFF01, 0xFFA0)):
+        for code in range(low, high):
+            spelt = _spelling(chr(code))
+            if spelt is not None:
+                out[chr(code)] = spelt
+    return out | indic_letters()
+
+
+#: Characters without a meaning of their own, which stand for spellings of several letters.
+_PRIVATE = 0xE000
+
+
+@functools.cache
+def _tables() -> tuple[str, str, str]:
+    """Characters and what ``translate`` makes of them, one for one, and the spellings of several letters, by private character."""
+    table = spellings()
+    several = sorted({x for x in table.values() if len(x) > 1})
+    code = {x: chr(_PRIVATE + i) for i, x in enumerate(several)}
+    kept = [(c, x if len(x) == 1 else code[x]) for c, x in sorted(table.items()) if x]
+    gone = "".join(c for c, x in sorted(table.items()) if not x)
+    return "".join(c for c, _ in kept) + gone, "".join(x for _, x in kept), "\t".join(several)
+
+
+# The Latin spellings of the parts of Hangul syllables, in the order of Unicode.
+HANGUL = (
+    "g gg n d dd r m b bb s ss  j jj c k t p h".split(" "), "a ae ya yae eo e yeo ye o wa wae oe yo u weo we wi yu eu yi i".split(" "),
+    " g gg gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h".split(" "),
+)
+
+
 def _lookup(values: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in sorted(values.items()) for x in kv))
 
 
 def to_ascii(s: Column) -> Column:
-    """Latin and Indic letters as plain lower-case ASCII; other characters go.  Null is empty."""
+    """A text in lower-case ASCII.  Null is empty.
+
+    Letters with marks lose them, letters of other scripts are spelt (see ``spellings``;
+    Hangul by its parts), punctuation becomes ASCII punctuation or a space.  What has no
+    spelling by rule, Han above all, goes.
+    """
     s = F.coalesce(s, F.lit(""))
-    letters = _lookup(indic_letters())
-    spelt = F.when(s.rlike(INDIC), F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(letters[c], c)), "")).otherwise(s)
-    plain = F.lower(F.translate(spelt, *_accents()))
-    for letter, text in SPECIAL_LETTERS.items():
-        plain = F.replace(plain, F.lit(letter), F.lit(text))
-    return F.when(s.rlike(r"^[\x00-\x7F]*$"), F.lower(s)).otherwise(F.regexp_replace(plain, r"[^\x00-\x7F]", ""))
+    source, target, several = _tables()
+    plain = F.lower(F.translate(F.regexp_replace(s, r"[\x{E000}-\x{F8FF}]", ""), source, target))
+    names, number = F.split(F.lit(several), "\t"), F.ascii
+    lead, vowel, tail = (F.split(F.lit("\t".join(x)), "\t") for x in HANGUL)
+
+    def spelt(c: Column) -> Column:
+        at = number(c) - 0xAC00
+        syllable = F.concat(F.get(lead, F.floor(at / 588).cast("int")), F.get(vowel, F.floor((at % 588) / 28).cast("int")), F.get(tail, (at % 28).cast("int")))
+        return F.when(c.between("\ue000", "\uf8ff"), F.get(names, number(c) - _PRIVATE)).when(c.between("가", "힣"), syllable).otherwise(c)
+
+    whole = F.when(plain.rlike(r"[\x{E000}-\x{F8FF}가-힣]"), F.array_join(F.transform(F.split(plain, ""), spelt), "")).otherwise(plain)
+    return F.when(s.rlike(r"^[\x00-\x7F]*$"), F.lower(s)).otherwise(F.regexp_replace(whole, r"[^\x00-\x7F]", ""))
 
 
 def is_latin(s: Column) -> Column:
@@ -77,7 +145,7 @@ def skeleton(t: Column) -> Column:
     """A rough phonetic key: the first letter, then no vowels, y or h, and no doubles."""
     for sound, letter in (("ph", "f"), ("w", "v"), ("sh", "s"), ("z", "j")):
         t = F.replace(t, F.lit(sound), F.lit(letter))
-    kept = F.concat(F.left(t, F.lit(1)), F.regexp_replace(F.substring(t, 2, 1_000_000), "[aeiouyh]", ""))
+    kept = F.concat(F.left(t, F.lit(1)), F.regexp_replace(F.substr(t, F.lit(2)), "[aeiouyh]", ""))
     return F.regexp_replace(kept, r"(.)\1+", "$1")
 
 

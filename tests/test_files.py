@@ -55,13 +55,14 @@ def test_paths_params_and_cache(spark, folders, tmp_path):
     assert tsv.data_path(spark, data, "train_source1.tsv", "train").endswith("data_train/train_source1.tsv")
     (tmp_path / "flat.tsv").write_text("x")
     assert tsv.data_path(spark, str(tmp_path), "flat.tsv", "train") == f"{tmp_path}/flat.tsv"
-    tsv.save_params(str(tmp_path / "p.json"), tsv.load_params(str(tmp_path / "none.json")).with_(W_NAME=0.4))
-    assert tsv.load_params(str(tmp_path / "p.json")).W_NAME == 0.4
+    tsv.save_params(spark, f"{tmp_path}/sub/p.json", tsv.load_params(spark, str(tmp_path / "none.json")).with_(W_NAME=0.4))
+    assert tsv.load_params(spark, f"file://{tmp_path}/sub/p.json").W_NAME == 0.4
     first = tsv.load_records(spark, data, "train", out)
     assert first.count() == tsv.load_records(spark, data, "train", out).count() == 64 + 48 + 16
     assert tsv.cache_name(spark, data, "train", {}) != tsv.cache_name(spark, data, "train", {"a": "b"})
-    tsv.save_dictionary(str(tmp_path / "d.json"), {"जैन": "jain"})
-    assert tsv.load_dictionary(str(tmp_path / "d.json")) == {"जैन": "jain"} and tsv.load_dictionary("nowhere") == {}
+    learned = spark.createDataFrame([("जैन", "jain")], "token string, english string")
+    assert tsv.save_dictionary(spark, str(tmp_path / "d.json"), learned) == 1
+    assert tsv.load_dictionary(spark, str(tmp_path / "d.json")) == {"जैन": "jain"} and tsv.load_dictionary(spark, "nowhere") == {}
 
 
 def test_run_tune_check_and_diagnose(spark, folders):
@@ -105,16 +106,35 @@ def test_command_line(spark, folders, capsys):
     assert "1.0" in capsys.readouterr().out
 
 
-def test_stream_matches_the_batch_run(spark, folders, tmp_path):
+def results(spark, out):
+    rows = tsv.read_results(spark, f"{out}/matching_results.tsv", ("source1_entity_id", "matched_entity_ids"))[0]
+    lists = tsv.read_results(spark, f"{out}/candidate_pairs.tsv", ("source1_entity_id", "candidate_entity_ids"))[0]
+    return [tuple(r) for r in rows.collect()], [tuple(r) for r in lists.collect()]
+
+
+@pytest.mark.parametrize("matcher", ["rules", "ml"])
+def test_stream_gives_what_the_batch_run_gives(spark, folders, matcher):
+    """However the stream is cut: files of the first source one by one, against the whole run."""
+    data, out = folders
+    if matcher == "ml":
+        linkage.run(spark, data, out, sample=1)
+        linkage.tune(spark, data, out, "ml", learning=Learning(trees=3, rate=0.5, depth=2))
+    linkage.run(spark, data, out, matcher=matcher)
+    whole = results(spark, out)
+    got = linkage.run(spark, data, out, matcher=matcher, evaluate=True, stream=True, files=1)
+    assert results(spark, out) == whole and got["macro_f05"] > 0.7
+    assert sum(1 for _, ids in whole[0] if ids) >= 40
+
+
+def test_stream_in_several_batches(spark, folders, tmp_path):
     data, _ = folders
-    raw = tsv.read_all(spark, data, "train")
-    others = normalize_records(raw.where("src <> 'S1'")).persist()
-    (tmp_path / "in").mkdir()
-    for k in range(2):
-        raw.where("src = 'S1'").where(F.crc32(F.col("entity_id").cast("binary")) % 2 == k).drop("src").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    rows = spark.readStream.schema(raw.drop("src").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream.start(rows, others, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    kept = spark.read.parquet(str(tmp_path / "out"))
-    assert kept.select("batch").distinct().count() == 2
-    matched = {r["s1_id"] for r in stream.final(kept).collect()}
-    assert len(matched) >= 44
+    records = normalize_records(tsv.read_all(spark, data, "train")).persist()
+    for k in range(3):
+        records.where("src = 'S1'").where(F.crc32(F.col("entity_id").cast("binary")) % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream.start(rows, stream.Index.of(records), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    kept = spark.read.parquet(f"{tmp_path}/out/kept")
+    assert kept.select("batch").distinct().count() == 3
+    link = linkage.Linkage(records)
+    batch = {(r["s1_id"], r["cand_id"], round(r["score"], 9)) for r in link.decided(link.features(link.candidates())).collect()}
+    assert {(r["s1_id"], r["cand_id"], round(r["score"], 9)) for r in stream.final(kept).collect()} == batch
