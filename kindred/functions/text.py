@@ -48,6 +48,10 @@ def indic_letters() -> dict[str, str]:
 def _spelling(c: str) -> str | None:
     """The ASCII spelling of a character: from the tables, its decomposition, its class or its Unicode name; null if none tells."""
     low = c.lower()
+    name = unicodedata.name(c, "")
+    kana = re.match(r"(?:HIRAGANA|KATAKANA) LETTER (?:SMALL )?([A-Z]+)$", name)  # before marks go: they change the sound
+    if kana:
+        return KANA.get(kana[1].lower(), kana[1].lower())
     plain = "".join(x for x in unicodedata.normalize("NFKD", low) if not unicodedata.combining(x))
     for table in (SPECIAL_LETTERS, SIGNS, CYRILLIC, GREEK):
         if low in table:
@@ -62,10 +66,6 @@ def _spelling(c: str) -> str | None:
         return " "
     if kind[0] == "P":
         return "'" if kind in ("Pi", "Pf") else " "
-    name = unicodedata.name(c, "")
-    kana = re.match(r"(?:HIRAGANA|KATAKANA) LETTER (?:SMALL )?([A-Z]+)$", name)
-    if kana:
-        return KANA.get(kana[1].lower(), kana[1].lower())
     letter = re.match(r"(?:HEBREW|ARABIC|ARMENIAN|GEORGIAN) (?:CAPITAL |SMALL )?LETTER (?:FINAL )?([A-Z]+)", name)
     if letter:  # a letter is spelt as its name begins
         return re.match(r"SH|CH|TS|TH|DH|KH|GH|ZH|PH|.", letter[1])[0].lower()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Blocking, Learning, Params
 from ..functions import similarity as sim
 from ..functions import text as t
+from ..functions.text import normalize_records
 from ..operators import blocking as b
 from ..operators import diagnostics, evaluation, sampling, scoring, training, translit
 from ..operators import features as x
@@ -82,6 +84,25 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one
 
 
+def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as records of three sources: their names, and size, type and brand as addresses."""
+
+    def make() -> DataFrame:
+        key = F.col("p_partkey")
+        src = F.concat(F.lit("S"), (key % 3 + 1).cast("string"))
+        return normalize_records(_table(spark, sf_dir, "part").select(
+            F.concat(src, F.lit("-"), key.cast("string")).alias("entity_id"), src.alias("src"), F.col("p_name").alias("business_name"),
+            F.concat_ws(" ", F.col("p_size").cast("string"), "p_type", "p_brand").alias("business_address"), F.lit("us").alias("country"),
+        ))
+
+    return _once(spark, sf_dir, "part records", make)
+
+
+def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "part features", lambda: x.pair_features(
+        b.candidates(part_records(spark, sf_dir), CAP), x.enrich(part_records(spark, sf_dir))))
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, DIGITS) for c in columns})
 
@@ -110,6 +131,18 @@ def ascii_fold(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.length(folded).alias("chars"), F.md5(folded).alias("digest"))
 
 
+#: Words of many scripts, as they are usually spelt; worked out by hand.
+SCRIPTS = [
+    ("O’Neil–Smith", "o'neil-smith"), ("Acme—Beta", "acme-beta"), ("Москва Трейд", "moskva treid"), ("Щука Жизнь", "shchuka zhizn'"), ("Київ Ґанок", "kiiv ganok"),
+    ("Καλημέρα Ψυχή", "kalemera psukhe"), ("Ægir Øst ß Łódź", "aegir ost ss lodz"), ("한국 서울", "hangug seoul"), ("とうきょう カメラ", "toukiyou kamera"), ("しちつふじ", "shichitsufuji"),
+    ("ﬁne ＡＢＣ １２", "fine abc 12"), ("½ №5 «x»", "1 2 no5 <<x>>"), ("a…b © ® ™", "a...b (c) (r) (tm)"), ("“q” ‘s’", "'q' 's'"), ("naïve café Ñandú", "naive cafe nandu"), ("plain ASCII", "plain ascii"), ("漢字 x", " x"),
+]
+
+
+def script_fold(spark, sf_dir):
+    return _values(spark, [(s,) for s, _ in SCRIPTS], "s string").select("s", t.to_ascii(F.col("s")).alias("folded"))
+
+
 def latin_flag(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("text").alias("s"))
     pairs = _values(spark, [(p,) for p, _ in INDIC_PAIRS], "s string")
@@ -354,6 +387,33 @@ def token_align(spark, sf_dir):
     return _rounded(pairs.select("a", "b", "unmatched", "align"), "align")
 
 
+SIMILARITIES = [
+    "name_tsr", "name_sort", "name_ratio", "name_partial", "name_skel", "addr_tsr", "addr_sort", "num_digitsim", "tok_un1", "tok_un2", "tok_un1_idf", "tok_un2_idf", "tok_align",
+]
+
+
+def part_similarity(spark, sf_dir):
+    """The string similarities of candidate pairs, as the features that they are."""
+    return _rounded(part_features(spark, sf_dir).select("s1_id", "src", "cand_id", *SIMILARITIES), *SIMILARITIES)
+
+
+def part_matrix(spark, sf_dir):
+    return _rounded(part_features(spark, sf_dir), *x.FEATURES)
+
+
+def part_scores(spark, sf_dir):
+    """The rule score on the engine's own features."""
+    scored = part_features(spark, sf_dir).withColumns({"name_score": scoring.name_score(), "addr_score": scoring.address_score(Params()), "score": scoring.rule_score()})
+    return _rounded(scored.select("s1_id", "src", "cand_id", "name_score", "addr_score", "score"), "name_score", "addr_score", "score")
+
+
+def part_links(spark, sf_dir):
+    """The whole pipeline with the rule scorer over the parts: records to match lists."""
+    scored = part_features(spark, sf_dir).withColumn("score", F.round(scoring.rule_score(), DIGITS))
+    ids = part_records(spark, sf_dir).where("src = 'S1'").select(F.col("entity_id").alias("s1_id"))
+    return scoring.match_lists(ids, scoring.decide(scored))
+
+
 def feature_matrix(spark, sf_dir):
     return _rounded(features(spark, sf_dir), *x.FEATURES)
 
@@ -495,9 +555,10 @@ def align_argmax(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
+    """A new folder beside the cluster's checkpoints; one of our own only where all runs on one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{shared.rstrip('/') if shared else tempfile.gettempdir()}/kindred-{uuid.uuid4().hex}"
 
 
@@ -625,6 +686,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_partial_ratio": partial_ratio,
     "q_token_align": token_align,
     "q_feature_matrix": feature_matrix,
+    "q_part_similarity": part_similarity,
+    "q_part_matrix": part_matrix,
+    "q_part_scores": part_scores,
+    "q_part_links": part_links,
+    "q_script_fold": script_fold,
     "q_rule_name": lambda s, d: _scores(s, d, scoring.name_score),
     "q_rule_addr": lambda s, d: _scores(s, d, lambda: scoring.address_score(Params())),
     "q_rule_score": lambda s, d: _scores(s, d, scoring.rule_score),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from .. import config
 from ..functions.text import SPECIAL_LETTERS, legal_skeletons
+from ..operators.features import FEATURES
 from . import catalog as c
 
 D = c.DIGITS
@@ -292,6 +293,70 @@ def token_step(f) -> str:
   SELECT doc_id AS id, {tokens(folded("coalesce(text, '')"))} AS ts FROM documents UNION ALL SELECT -1 - i, {tokens(folded('n'))} FROM {NAMES} v(i, n)))"""
 
 
+PART_RAW = """
+raw AS (SELECT 'S' || (p_partkey % 3 + 1) AS src, 'S' || (p_partkey % 3 + 1) || '-' || p_partkey AS entity_id, p_name AS business_name,
+  p_size || ' ' || p_type || ' ' || p_brand AS business_address, 'us' AS country FROM part)"""
+
+
+def set_ratio(a: str, b: str, source: str) -> str:
+    """``a, b, r``: token-set ratios of different strings."""
+    return f"""(SELECT {a} AS a, {b} AS b, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 WHEN i <> '' AND (l = '' OR r = '') THEN 1 WHEN i = '' THEN {ratio('l', 'r')}
+  ELSE greatest({ratio('il', 'ir')}, {ratio('i', 'il')}, {ratio('i', 'ir')}) END AS r FROM (SELECT *, trim(i || ' ' || l) AS il, trim(i || ' ' || r) AS ir FROM (
+    SELECT *, array_to_string(list_sort(list_intersect(x, y)), ' ') AS i, array_to_string(list_sort(list_filter(x, lambda t: NOT list_contains(y, t))), ' ') AS l, array_to_string(list_sort(list_filter(y, lambda t: NOT list_contains(x, t))), ' ') AS r FROM (
+      SELECT *, list_filter(list_distinct(string_split({a}, ' ')), lambda t: t <> '') AS x, list_filter(list_distinct(string_split({b}, ' ')), lambda t: t <> '') AS y FROM {source}))))"""
+
+
+def sort_words(s: str) -> str:
+    return f"array_to_string(list_sort(string_split({s}, ' ')), ' ')"
+
+
+#: All features of the parts' candidate pairs; strings that differ are compared once.
+PART_FEATURES = WEIGHTED.replace(RAW, PART_RAW) + f""",
+pair AS MATERIALIZED (SELECT c.*, l.n_core AS core1, r.n_core AS core2, l.n_compact AS comp1, r.n_compact AS comp2, l.n_skel AS skel1, r.n_skel AS skel2, l.a_text AS text1, r.a_text AS text2,
+  l.a_nums AS nums1, r.a_nums AS nums2, list_distinct(l.n_tokens) AS set1, list_distinct(r.n_tokens) AS set2, l.a_numbers AS num1, r.a_numbers AS num2, {HERE} AS here
+  FROM candidates c JOIN records l ON l.entity_id = s1_id JOIN records r ON r.entity_id = cand_id),
+sets AS MATERIALIZED {set_ratio('sa', 'sb', '(SELECT core1 AS sa, core2 AS sb FROM pair UNION SELECT skel1, skel2 FROM pair UNION SELECT text1, text2 FROM pair)')},
+sorts AS MATERIALIZED (SELECT a, b, {ratio('sa', 'sb')} AS r FROM (SELECT a, b, {sort_words('a')} AS sa, {sort_words('b')} AS sb FROM (SELECT core1 AS a, core2 AS b FROM pair UNION SELECT text1, text2 FROM pair))),
+compacts AS MATERIALIZED (SELECT DISTINCT comp1 AS a, comp2 AS b FROM pair),
+plains AS MATERIALIZED (SELECT a, b, {ratio('a', 'b')} AS r FROM compacts),
+sides AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM compacts UNION SELECT a, b, b, a FROM compacts WHERE length(a) = length(b)),
+cut AS (SELECT a, b, s, substr(l, greatest(i, 0)::INT + 1, (least(i + length(s), length(l)) - greatest(i, 0))::INT) AS w FROM (SELECT a, b, s, unnest(range(1 - length(s), length(l))) AS i, l FROM sides WHERE s <> '')),
+partials AS MATERIALIZED (SELECT a, b, max({ratio('s', 'w')}) AS r FROM cut GROUP BY a, b),
+numbers AS MATERIALIZED (SELECT a, b, {ratio('a', 'b')} AS r FROM (SELECT DISTINCT a, unnest(num2[1:6]) AS b FROM (SELECT unnest(num1[1:6]) AS a, num2 FROM (SELECT DISTINCT num1, num2 FROM pair)))),
+digits AS (SELECT num1 AS d1, num2 AS d2, max(r) AS r FROM (SELECT num1, num2, a, unnest(num2[1:6]) AS b FROM (SELECT num1, num2, unnest(num1[1:6]) AS a FROM (SELECT DISTINCT num1, num2 FROM pair))) JOIN numbers USING (a, b) GROUP BY num1, num2),
+met AS MATERIALIZED (SELECT set1, set2, a, unnest(set2) AS b FROM (SELECT set1, set2, unnest(set1) AS a FROM (SELECT DISTINCT set1, set2 FROM pair))),
+words AS MATERIALIZED (SELECT a, b, {ratio('a', 'b')} AS r FROM (SELECT DISTINCT a, b FROM met)),
+best1 AS (SELECT set1, set2, a AS token, max(r) AS r FROM met JOIN words USING (a, b) GROUP BY ALL), best2 AS (SELECT set1, set2, b AS token, max(r) AS r FROM met JOIN words USING (a, b) GROUP BY ALL),
+idfs AS (SELECT token, log_n - ln(1 + df) AS w FROM name_df, total),
+lone1 AS (SELECT set1, set2, sum(r) AS s, count(*) AS n, count(*) FILTER (r < 0.75) AS u, coalesce(max(w) FILTER (r < 0.75), 0) AS w FROM best1 JOIN idfs USING (token) GROUP BY ALL),
+lone2 AS (SELECT set1, set2, sum(r) AS s, count(*) AS n, count(*) FILTER (r < 0.75) AS u, coalesce(max(w) FILTER (r < 0.75), 0) AS w FROM best2 JOIN idfs USING (token) GROUP BY ALL),
+rarest AS (SELECT s1_id, cand_id, max(a.w) AS w FROM candidates JOIN addr_w a ON a.entity_id = s1_id JOIN addr_w b ON b.entity_id = cand_id AND a.token = b.token WHERE a.token LIKE '#%' GROUP BY ALL),
+strangers AS (SELECT entity_id, count(*) FILTER (v.token IS NULL) / count(*) AS u FROM name_tokens n LEFT JOIN vocabulary v ON v.token = n.token GROUP BY ALL),
+feats AS MATERIALIZED (SELECT p.s1_id, p.src, p.cand_id, block_score, block_name, block_addr, t1.r AS name_tsr, o1.r AS name_sort, f.r AS name_ratio, coalesce(q.r, (comp1 = comp2)::INT) AS name_partial, t2.r AS name_skel, t3.r AS addr_tsr, o2.r AS addr_sort,
+  {share('n.shared', '(coalesce(n.one, 0) + coalesce(n.two, 0) - n.shared)')} AS name_idf_jacc, {share('n.shared', 'least(coalesce(n.one, 0), coalesce(n.two, 0))')} AS name_idf_cont,
+  CASE WHEN here THEN {share('m.shared', '(coalesce(m.one, 0) + coalesce(m.two, 0) - m.shared)')} ELSE 0 END AS addr_idf_jacc, CASE WHEN here THEN {share('m.shared', 'least(coalesce(m.one, 0), coalesce(m.two, 0))')} ELSE 0 END AS addr_idf_cont,
+  CASE WHEN here THEN m.shared ELSE 0 END AS addr_shared_idf, CASE WHEN here THEN coalesce(x.w, 0) ELSE 0 END AS num_shared_idf,
+  (here AND len(num1) > 0 AND len(num2) > 0 AND len(list_intersect(num1, num2)) = 0)::INT AS num_conflict, (NOT here)::INT AS addr_missing,
+  CASE WHEN here AND len(num1) > 0 AND len(num2) > 0 THEN len(list_intersect(num1, num2)) / len(num1) ELSE -1 END AS num_c1, CASE WHEN here AND len(num1) > 0 AND len(num2) > 0 THEN len(list_intersect(num1, num2)) / len(num2) ELSE -1 END AS num_c2,
+  CASE WHEN here AND len(num1) > 0 AND len(num2) > 0 THEN least({APART.replace('l.a_numbers', 'num1').replace('r.a_numbers', 'num2')}, 1) ELSE 1 END AS num_reldiff,
+  CASE WHEN here THEN coalesce(g.r, 0) ELSE 0 END AS num_digitsim, coalesce(u1.u, 0) AS tok_un1, coalesce(u2.u, 0) AS tok_un2, coalesce(u1.w, 0) AS tok_un1_idf, coalesce(u2.w, 0) AS tok_un2_idf,
+  coalesce((u1.s + u2.s) / (u1.n + u2.n), 0) AS tok_align, coalesce(k.u, 0) AS unseen2, 0 AS dom_contain, 0 AS dom_init, ln(1 + n1.n_all) AS name_freq1, ln(1 + n2.n_all) AS name_freq2,
+  ln(1 + coalesce(a1.a_all, 0)) AS addr_freq1, ln(1 + coalesce(a2.a_all, 0)) AS addr_freq2, ln(1 + n1.n_s1) AS s1_name_cnt1, ln(1 + n2.n_s1) AS s1_name_cnt2, ln(1 + coalesce(a1.a_s1, 0)) AS s1_addr_cnt1, 0 AS translit, 0 AS domain
+  FROM pair p JOIN sets t1 ON t1.a = core1 AND t1.b = core2 JOIN sets t2 ON t2.a = skel1 AND t2.b = skel2 JOIN sets t3 ON t3.a = text1 AND t3.b = text2
+  JOIN sorts o1 ON o1.a = core1 AND o1.b = core2 JOIN sorts o2 ON o2.a = text1 AND o2.b = text2 JOIN plains f ON f.a = comp1 AND f.b = comp2 LEFT JOIN partials q ON q.a = comp1 AND q.b = comp2
+  LEFT JOIN digits g ON d1 = num1 AND d2 = num2 LEFT JOIN lone1 u1 ON u1.set1 = p.set1 AND u1.set2 = p.set2 LEFT JOIN lone2 u2 ON u2.set1 = p.set1 AND u2.set2 = p.set2
+  JOIN {overlap('name')} n ON n.s1_id = p.s1_id AND n.cand_id = p.cand_id JOIN {overlap('addr')} m ON m.s1_id = p.s1_id AND m.cand_id = p.cand_id LEFT JOIN rarest x ON x.s1_id = p.s1_id AND x.cand_id = p.cand_id
+  LEFT JOIN strangers k ON k.entity_id = p.cand_id JOIN name_n n1 ON n1.n_compact = comp1 JOIN name_n n2 ON n2.n_compact = comp2
+  LEFT JOIN addr_n a1 ON a1.a_text = text1 AND a1.a_nums = nums1 LEFT JOIN addr_n a2 ON a2.a_text = text2 AND a2.a_nums = nums2)"""
+#: The rules over these; no part has a transliterated or website-style name, and both sides of names are known.
+PART_SCORED = PART_FEATURES + f""",
+halves AS (SELECT *, 0.5::DOUBLE * greatest(name_sort, name_ratio) + 0.5::DOUBLE * name_idf_jacc AS name_score,
+  least(greatest(0.5::DOUBLE * addr_idf_jacc + 0.5::DOUBLE * addr_sort + {P.NUM_BONUS}::DOUBLE * (num_shared_idf > 0)::INT - {P.NUM_PENALTY}::DOUBLE * num_conflict, 0), 1) AS addr_score FROM feats),
+scored AS MATERIALIZED (SELECT s1_id, src, cand_id, name_score, addr_score, round(CASE WHEN addr_missing = 1 THEN CASE WHEN name_score >= {P.NAME_ONLY_THRESHOLD} THEN name_score ELSE 0 END
+    WHEN addr_idf_cont >= {P.ADDR_ONLY_CONT} AND addr_shared_idf >= {P.ADDR_ONLY_IDF} THEN greatest(blend, {P.MATCH_THRESHOLD}::DOUBLE + 0.01::DOUBLE * addr_score) ELSE blend END, {D}) AS score
+  FROM (SELECT *, {P.W_NAME}::DOUBLE * name_score + (1 - {P.W_NAME}::DOUBLE) * addr_score AS blend FROM halves))"""
+
+
 def rounded(*columns: str) -> str:
     return ", ".join(f"round({x}, {D}) AS {x}" for x in columns)
 
@@ -394,6 +459,12 @@ SELECT a, b, round(max({ratio('s', 'w')}), {D}) AS ratio FROM cut GROUP BY a, b
     "q_token_align": f"""WITH {PART_PAIRS}, x AS (SELECT a, b, unnest({tokens('a')}) AS s, generate_subscripts({tokens('a')}, 1) AS i FROM part_pairs), y AS (SELECT a, b, unnest({tokens('b')}) AS t, generate_subscripts({tokens('b')}, 1) AS j FROM part_pairs),
 r AS (SELECT a, b, i, j, {ratio('s', 't')} AS r FROM x JOIN y USING (a, b)), m1 AS (SELECT a, b, i, max(r) AS r FROM r GROUP BY ALL), m2 AS (SELECT a, b, j, max(r) AS r FROM r GROUP BY ALL)
 SELECT a, b, any_value(u) AS unmatched, round((any_value(s1) + sum(m2.r)) / (any_value(n1) + count(*)), {D}) AS align FROM m2 JOIN (SELECT a, b, sum(r) AS s1, count(*) AS n1, count(*) FILTER (r < 0.75) AS u FROM m1 GROUP BY ALL) USING (a, b) GROUP BY a, b""",
+    "q_part_similarity": f"WITH {PART_FEATURES} SELECT s1_id, src, cand_id, {', '.join(f'round({x}::DOUBLE, {D}) AS {x}' for x in c.SIMILARITIES)} FROM feats",
+    "q_part_matrix": f"WITH {PART_FEATURES} SELECT s1_id, src, cand_id, {', '.join(f'round({x}::DOUBLE, {D}) AS {x}' for x in FEATURES)} FROM feats",
+    "q_part_scores": f"WITH {PART_SCORED} SELECT s1_id, src, cand_id, {rounded('name_score', 'addr_score')}, score FROM scored",
+    "q_part_links": f"""WITH {PART_SCORED}, owned AS (SELECT * FROM scored WHERE score >= {P.MATCH_THRESHOLD} QUALIFY {OWNER}), kept AS (SELECT * FROM owned QUALIFY score >= max(score) OVER (PARTITION BY s1_id) - {P.RELATIVE_MARGIN}::DOUBLE)
+SELECT entity_id AS s1_id, coalesce(m, '') AS matched_ids FROM records LEFT JOIN (SELECT s1_id, string_agg(cand_id, ',' ORDER BY score DESC, src, cand_id) AS m FROM kept GROUP BY ALL) ON s1_id = entity_id WHERE src = 'S1'""",
+    "q_script_fold": f"SELECT s, folded FROM {values(c.SCRIPTS)} v(s, folded)",
     "q_rule_name": f"WITH {CLAIMS} SELECT s1_id, src, cand_id, round(name_score, {D}) AS score FROM named_scores",
     "q_rule_addr": f"WITH {CLAIMS} SELECT s1_id, src, cand_id, round(addr_score, {D}) AS score FROM named_scores",
     "q_rule_score": f"WITH {CLAIMS} SELECT s1_id, src, cand_id, score FROM scored",
