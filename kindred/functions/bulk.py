@@ -1,8 +1,9 @@
-"""Longest common subsequences of many string pairs at once.
+"""Longest common subsequences of many string pairs.
 
-The bit-parallel recurrence (one addition per character) runs on whole arrays of lanes,
-a lane being a pair of strings or a window of one; strings over 64 characters take
-several words with a carry.
+Two strings are compared by the bit-parallel recurrence, one addition a letter: long ones
+one pair after the other, on integers as long as the shorter string; short ones, and a
+string with all windows of another, on whole arrays of lanes, where strings over 64
+characters take several words with a carry.
 """
 
 from __future__ import annotations
@@ -34,35 +35,41 @@ class Coded:
         return out
 
     def masks(self, rows: np.ndarray, words: int) -> np.ndarray:
-        """For each string and letter (and the blank), the bits of the places where it stands."""
-        out = np.zeros((len(rows), self.letters + 1, words), dtype=np.uint64)
+        """For each word, string and letter (and the blank), the bits of the places where it stands; strings and letters as one axis."""
+        out = np.zeros((words, len(rows) * (self.letters + 1)), dtype=np.uint64)
         n = self.lengths[rows]
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         who = np.repeat(np.arange(len(rows)), n)
         letter = self.codes[np.repeat(self.starts[rows], n) + at]
-        np.bitwise_or.at(out, (who, letter, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        np.bitwise_or.at(out, (at >> 6, who * (self.letters + 1) + letter), np.uint64(1) << (at & 63).astype(np.uint64))
         return out
 
 
-def _run(masks: np.ndarray, table: np.ndarray, bits: np.ndarray, steps: int, letter_at) -> np.ndarray:
-    """Subsequence lengths: lane x compares the string of ``masks[table[x]]`` with the letters ``letter_at(step)[x]``."""
-    words = masks.shape[2]
+def _run(masks: np.ndarray, letters: int, table: np.ndarray, bits: np.ndarray, steps: int, letter_at) -> np.ndarray:
+    """Subsequence lengths: lane x compares string ``table[x]`` of ``masks`` with the letters ``letter_at(step)[x]``."""
+    words, lanes = len(masks), len(table)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    state = [np.full(len(table), full) for _ in range(words)]
+    state = [np.full(lanes, full) for _ in range(words)]
+    base = table * (letters + 1)
+    at = np.empty(lanes, dtype=np.int64)
+    u, t, carry = (np.empty(lanes, dtype=np.uint64) for _ in range(3))
+    over, more = np.empty(lanes, dtype=bool), np.empty(lanes, dtype=bool)
     for k in range(steps):
-        hit = masks[table, letter_at(k)]
-        carry = None
+        np.add(base, letter_at(k), out=at)
         for w in range(words):
             s = state[w]
-            u = s & hit[:, w]
-            t = s + u
-            over = t < s
-            if carry is not None:
-                t = t + carry
-                over |= (t == 0) & (carry == 1)
-            carry = over.astype(np.uint64) if w + 1 < words else None
-            state[w] = t | (s & ~u)
-    zeros = np.zeros(len(table), dtype=np.int64)
+            np.take(masks[w], at, out=u, mode="clip")
+            np.bitwise_and(u, s, out=u)
+            np.add(s, u, out=t)
+            if words > 1:
+                np.less(t, s, out=over)
+                if w:
+                    np.add(t, carry, out=t)
+                    np.logical_or(over, np.less(t, carry, out=more), out=over)
+                np.copyto(carry, over)
+            np.bitwise_xor(s, u, out=s)  # u is part of s: what is left of it
+            np.bitwise_or(s, t, out=s)
+    zeros = np.zeros(lanes, dtype=np.int64)
     for w in range(words):
         own = np.clip(bits - 64 * w, 0, 64)
         low = np.where(own == 64, full, (np.uint64(1) << np.minimum(own, 63).astype(np.uint64)) - np.uint64(1))
@@ -85,26 +92,89 @@ def common(a: list[str], b: list[str]) -> np.ndarray:
     return common_of(list(number), which[:, 0], which[:, 1])
 
 
+def _shared(x: str, y: str) -> int:
+    """How many letters two strings begin with in common."""
+    low, high = 0, min(len(x), len(y))
+    if x[:high] == y[:high]:
+        return high
+    while low < high:
+        mid = (low + high + 1) // 2
+        if x[low:mid] == y[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+#: Pairs of strings up to this length are compared together, longer ones by themselves.
+SHORT = 32
+
+
 def common_of(strings: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of ``strings[a[i]]`` and ``strings[b[i]]``; each different pair is compared once."""
+    many = max(1, len(strings))
+    pairs, back = np.unique(np.minimum(a, b) * many + np.maximum(a, b), return_inverse=True)
+    left, right = pairs // many, pairs % many
+    size = np.array([len(x) for x in strings], dtype=np.int64)
+    short = (size[left] <= SHORT) & (size[right] <= SHORT) if len(pairs) else np.zeros(0, dtype=bool)
+    out = np.zeros(len(pairs), dtype=np.int64)
+    if short.any():
+        few, which = np.unique(np.concatenate([left[short], right[short]]), return_inverse=True)
+        out[short] = _together([strings[i] for i in few.tolist()], *np.split(which, 2))
+    long = np.flatnonzero(~short)
+    known: dict[str, dict[str, int]] = {}
+    out[long] = [_one(strings[i], strings[j], known) for i, j in zip(left[long].tolist(), right[long].tolist(), strict=True)]
+    return out[back]
+
+
+def _one(x: str, y: str, known: dict[str, dict[str, int]]) -> int:
+    """The recurrence on a Python integer as long as the shorter string.
+
+    What both begin and end with is part of the subsequence, and only the rest is compared.
+    """
+    if x == y:
+        return len(x)
+    k = _shared(x, y)
+    x, y = x[k:], y[k:]
+    if x and y and x[-1] == y[-1]:
+        e = _shared(x[::-1], y[::-1])
+        x, y = x[: len(x) - e], y[: len(y) - e]
+        k += e
+    if not x or not y:
+        return k
+    if len(x) > len(y):
+        x, y = y, x
+    places = known.get(x)
+    if places is None:
+        places = known[x] = {}
+        bit = 1
+        for c in x:
+            places[c] = places.get(c, 0) | bit
+            bit <<= 1
+    full = (1 << len(x)) - 1
+    state, of = full, places.get
+    for c in y:
+        hit = of(c)
+        if hit:
+            u = state & hit
+            state = (state + u) | (state - u)
+    return k + len(x) - (state & full).bit_count()
+
+
+def _together(strings: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The recurrence on lanes, one for each pair."""
     coded = Coded(strings)
     swap = coded.lengths[a] > coded.lengths[b]
-    keys = np.where(swap, b, a) * max(1, len(strings)) + np.where(swap, a, b)
-    pairs, back = np.unique(keys, return_inverse=True)
-    out = np.zeros(len(pairs), dtype=np.int64)
-    short, long = pairs // max(1, len(strings)), pairs % max(1, len(strings))
+    short, long = np.where(swap, b, a), np.where(swap, a, b)
+    out = np.zeros(len(a), dtype=np.int64)
     n, m = coded.lengths[short], coded.lengths[long]
-    words = np.maximum(1, -(-n // 64))
     live = np.flatnonzero(n > 0)
-    order = live[np.lexsort((m[live], words[live]))]
-    for part in _chunks(order, words * (coded.letters + 1) // 8 + words):
-        for w in np.unique(words[part]):
-            some = part[words[part] == w]
-            steps = int(m[some].max())
-            tables, table = np.unique(short[some], return_inverse=True)
-            letters = coded.padded(long[some], 0, steps).T.copy()
-            out[some] = _run(coded.masks(tables, int(w)), table, n[some], steps, lambda k, letters=letters: letters[k])
-    return out[back]
+    for some in _chunks(live[np.argsort(m[live], kind="stable")], np.full(len(a), (coded.letters + 1) // 8 + 1)):
+        steps = int(m[some].max())
+        tables, table = np.unique(short[some], return_inverse=True)
+        letters = coded.padded(long[some], 0, steps).T.copy()
+        out[some] = _run(coded.masks(tables, 1), coded.letters, table, n[some], steps, lambda k, letters=letters: letters[k])
+    return out
 
 
 def ratios(a: list[str], b: list[str]) -> np.ndarray:
@@ -142,7 +212,7 @@ def partials(a: list[str], b: list[str]) -> np.ndarray:
             def letter_at(k: int, letters=letters, table=table, first=first, size=size, steps=steps) -> np.ndarray:
                 return np.where(k < size, letters[table, first + k + steps], coded.letters)
 
-            got = _run(coded.masks(short[some], int(w)), table, size, steps, letter_at)
+            got = _run(coded.masks(short[some], int(w)), coded.letters, table, size, steps, letter_at)
             held = np.minimum(first + size, m[some][table]) - np.maximum(first, 0)
             best = np.maximum.reduceat(2 * got / (size + held), np.cumsum(lanes) - lanes)
             for at, value in zip(some, best, strict=True):
