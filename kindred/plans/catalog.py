@@ -24,6 +24,7 @@ from . import linkage
 CAP = Blocking()
 DIGITS = 6
 _kept: dict[tuple[str, str, str], DataFrame] = {}
+_runs: dict[tuple[str, str, bool], str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -437,6 +438,29 @@ def comp_record(spark, sf_dir):
     return _rounded(scoring.record_competition(claims(spark, sf_dir).select("s1_id", "src", "cand_id", "p1")), "c_gap")
 
 
+def competition(spark, sf_dir):
+    """The whole competition of claims: by entity and by record."""
+    return _rounded(scoring.competition(claims(spark, sf_dir).select("s1_id", "src", "cand_id", "p1")), "s1_gap", "c_gap")
+
+
+def stage2_matrix(spark, sf_dir):
+    """What a second model sees: features and competition of the pairs that a first score does not prune."""
+    first = part_features(spark, sf_dir).withColumn("p1", F.round(scoring.rule_score(), DIGITS))
+    columns = [*x.FEATURES, *(c for c in scoring.COMPETITION if c not in x.FEATURES)]
+    out = scoring.competition(training.prune(first)).select("s1_id", "src", "cand_id", *(F.col(c).cast("double").alias(c) for c in columns))
+    return _rounded(out, *columns)
+
+
+def labelled(spark, sf_dir):
+    c = claims(spark, sf_dir)
+    return evaluation.labelled(c.select("s1_id", "src", "cand_id"), c.where("label").select("s1_id", "cand_id"))
+
+
+def training_totals(spark, sf_dir):
+    rows = training.training_set(claims(spark, sf_dir).select("s1_id", "src", "cand_id", "label", "p1"))
+    return rows.agg(F.count("*").alias("kept"), F.sum("weight").alias("effective"), F.count_if("label").alias("true"))
+
+
 def _decision(spark, sf_dir, f: Callable[[DataFrame], DataFrame]):
     return f(_claim_scores(spark, sf_dir)).select("s1_id", "src", "cand_id", "score")
 
@@ -571,6 +595,48 @@ def tsv_round_trip(spark, sf_dir):
     return tsv.read_tsv(spark, path).withColumn("business_address", F.md5("business_address"))
 
 
+def dictionary_pairs(spark, sf_dir):
+    """The true pairs of names that a dictionary is learned from."""
+    found = linkage.true_names(linkage.from_documents(_table(spark, sf_dir, "documents")), truth(spark, sf_dir))
+    return found.select("s1_id", "cand_id", F.md5("s1_name").alias("s1_digest"), F.md5("other_name").alias("other_digest"))
+
+
+def _part_files(spark, sf_dir, stream: bool) -> str:
+    """The parts written as the three source files, linked from the files by rules, once in a session; the folder of both."""
+    known = (spark.sparkContext.applicationId, sf_dir, stream)
+    if known in _runs:
+        return _runs[known]
+    base = _runs[known] = _folder(spark)
+    key = F.col("p_partkey")
+    rows = _table(spark, sf_dir, "part").select(
+        F.concat(F.lit("S"), (key % 3 + 1).cast("string"), F.lit("-"), key.cast("string")).alias("entity_id"), F.col("p_name").alias("business_name"),
+        F.concat_ws(" ", F.col("p_size").cast("string"), "p_type", "p_brand").alias("business_address"), F.lit("US").alias("country"),
+    )
+    for n in (1, 2, 3):
+        tsv.write_tsv(rows.where(F.startswith("entity_id", F.lit(f"S{n}-"))), f"{base}/data_test/test_source{n}.tsv")
+    linkage.run(spark, base, f"{base}/out", "test", stream=stream)
+    return base
+
+
+def run_files(spark, sf_dir, stream: bool = False):
+    """The command's run over files: source files in, result file out."""
+    base = _part_files(spark, sf_dir, stream)
+    rows, _ = tsv.read_results(spark, f"{base}/out/matching_results.tsv", ("source1_entity_id", "matched_entity_ids"))
+    return rows.select("s1_id", F.col("ids").alias("matched_ids"))
+
+
+def run_candidates(spark, sf_dir):
+    base = _part_files(spark, sf_dir, False)
+    rows, _ = tsv.read_results(spark, f"{base}/out/candidate_pairs.tsv", ("source1_entity_id", "candidate_entity_ids"))
+    return rows.select("s1_id", F.col("ids").alias("candidate_ids"))
+
+
+def run_check(spark, sf_dir):
+    """The command's check of what a run has written."""
+    base = _part_files(spark, sf_dir, False)
+    return linkage.check(spark, base, f"{base}/out", "test")
+
+
 SMALL = Learning(trees=5, rate=0.3, depth=3)
 
 
@@ -691,6 +757,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_part_scores": part_scores,
     "q_part_links": part_links,
     "q_script_fold": script_fold,
+    "q_competition": competition,
+    "q_stage2_matrix": stage2_matrix,
+    "q_labelled": labelled,
+    "q_training_totals": training_totals,
+    "q_dictionary_pairs": dictionary_pairs,
+    "q_run_files": run_files,
+    "q_run_stream": partial(run_files, stream=True),
+    "q_run_candidates": run_candidates,
+    "q_run_check": run_check,
     "q_rule_name": lambda s, d: _scores(s, d, scoring.name_score),
     "q_rule_addr": lambda s, d: _scores(s, d, lambda: scoring.address_score(Params())),
     "q_rule_score": lambda s, d: _scores(s, d, scoring.rule_score),

@@ -47,12 +47,17 @@ class Linkage:
         return scoring.decide(self.scored(feats), self.params)
 
 
-def learn_dictionary(raw: DataFrame, truth: DataFrame, modulus: int = 20) -> DataFrame:
-    """A dictionary from true pairs of S1 entities outside the evaluation sample."""
+def true_names(raw: DataFrame, truth: DataFrame, modulus: int = 20) -> DataFrame:
+    """``s1_id, cand_id, s1_name, other_name`` of true pairs of S1 entities outside the evaluation sample."""
     s1 = raw.where("src = 'S1'").select(F.col("entity_id").alias("s1_id"), F.col("business_name").alias("s1_name"))
     s1 = s1.where(~sampling.hash_sample(F.col("s1_id"), modulus))
     others = raw.where("src <> 'S1'").select(F.col("entity_id").alias("cand_id"), F.col("business_name").alias("other_name"))
-    return translit.learn(translit.alignment_counts(truth.join(s1, "s1_id").join(others, "cand_id")))
+    return truth.join(s1, "s1_id").join(others, "cand_id").select("s1_id", "cand_id", "s1_name", "other_name")
+
+
+def learn_dictionary(raw: DataFrame, truth: DataFrame, modulus: int = 20) -> DataFrame:
+    """A dictionary from true pairs of S1 entities outside the evaluation sample."""
+    return translit.learn(translit.alignment_counts(true_names(raw, truth, modulus)))
 
 
 def run(

@@ -386,6 +386,9 @@ pairs AS (SELECT regexp_extract_all(o, '{PIECE}') AS xs, regexp_extract_all(n, '
 each AS (SELECT unnest(xs) AS x, unnest(ys) AS y FROM pairs WHERE len(xs) = len(ys)),
 aligned AS (SELECT x, lower(y) AS y, count(*) AS c FROM each WHERE regexp_matches(x, '[\\x{{900}}-\\x{{D7F}}]') AND NOT regexp_matches(y, '[\\x{{900}}-\\x{{D7F}}]') GROUP BY ALL)""".replace("\\\\", "\\")
 
+PART_LINKS = f"""WITH {PART_SCORED}, owned AS (SELECT * FROM scored WHERE score >= {P.MATCH_THRESHOLD} QUALIFY {OWNER}), kept AS (SELECT * FROM owned QUALIFY score >= max(score) OVER (PARTITION BY s1_id) - {P.RELATIVE_MARGIN}::DOUBLE)
+SELECT entity_id AS s1_id, coalesce(m, '') AS matched_ids FROM records LEFT JOIN (SELECT s1_id, string_agg(cand_id, ',' ORDER BY score DESC, src, cand_id) AS m FROM kept GROUP BY ALL) ON s1_id = entity_id WHERE src = 'S1'"""
+
 SQL: dict[str, str] = {
     "q_link_blocking": "WITH " + PAIRS.replace("WHERE k.src = 'S1'", "WHERE k.src = 'S1' AND k.key LIKE '%|n:%'") + f""",
 top AS (SELECT *, round(block_name, {D}) AS score FROM pairs QUALIFY ({ranked('block_name')} <= {CAP.top_name} AND block_name > 0) OR ({ranked('block_name')} <= {CAP.top_total} AND block_name > 0)),
@@ -462,8 +465,24 @@ SELECT a, b, any_value(u) AS unmatched, round((any_value(s1) + sum(m2.r)) / (any
     "q_part_similarity": f"WITH {PART_FEATURES} SELECT s1_id, src, cand_id, {', '.join(f'round({x}::DOUBLE, {D}) AS {x}' for x in c.SIMILARITIES)} FROM feats",
     "q_part_matrix": f"WITH {PART_FEATURES} SELECT s1_id, src, cand_id, {', '.join(f'round({x}::DOUBLE, {D}) AS {x}' for x in FEATURES)} FROM feats",
     "q_part_scores": f"WITH {PART_SCORED} SELECT s1_id, src, cand_id, {rounded('name_score', 'addr_score')}, score FROM scored",
-    "q_part_links": f"""WITH {PART_SCORED}, owned AS (SELECT * FROM scored WHERE score >= {P.MATCH_THRESHOLD} QUALIFY {OWNER}), kept AS (SELECT * FROM owned QUALIFY score >= max(score) OVER (PARTITION BY s1_id) - {P.RELATIVE_MARGIN}::DOUBLE)
-SELECT entity_id AS s1_id, coalesce(m, '') AS matched_ids FROM records LEFT JOIN (SELECT s1_id, string_agg(cand_id, ',' ORDER BY score DESC, src, cand_id) AS m FROM kept GROUP BY ALL) ON s1_id = entity_id WHERE src = 'S1'""",
+    "q_part_links": PART_LINKS,
+    "q_run_files": PART_LINKS,
+    "q_run_stream": PART_LINKS,
+    "q_run_candidates": f"WITH {CANDIDATES.replace(RAW, PART_RAW)} SELECT entity_id AS s1_id, coalesce(m, '') AS candidate_ids FROM records LEFT JOIN (SELECT s1_id, string_agg(cand_id, ',' ORDER BY src, cand_id) AS m FROM candidates GROUP BY ALL) ON s1_id = entity_id WHERE src = 'S1'",
+    "q_run_check": f"""SELECT unnest({strings([*CHECKS, 'missing_candidate_rows', 'unknown_candidate_rows', 'not_candidates', 'malformed_lines'])}) AS "check", 0::BIGINT AS violations""",
+    "q_competition": f"""WITH {CLAIMS}, r AS (SELECT s1_id, src, cand_id, p1, row_number() OVER w AS n, max(p1) OVER (PARTITION BY src, cand_id) AS best, lead(p1) OVER w AS second, count(*) OVER (PARTITION BY src, cand_id) AS c_n,
+  max(p1) OVER s AS s1_max, sum((p1 > 0.5)::INT) OVER s::BIGINT AS s1_n50, row_number() OVER (PARTITION BY s1_id ORDER BY p1 DESC, src, cand_id) AS s1_rank
+  FROM claims WINDOW w AS (PARTITION BY src, cand_id ORDER BY p1 DESC, s1_id), s AS (PARTITION BY s1_id))
+SELECT s1_id, src, cand_id, p1, c_n, CASE WHEN n = 1 THEN coalesce(second, 0) ELSE best END AS c_other, round(p1 - CASE WHEN n = 1 THEN coalesce(second, 0) ELSE best END, {D}) AS c_gap, s1_max, s1_n50, s1_rank, round(p1 - s1_max, {D}) AS s1_gap FROM r""",
+    "q_stage2_matrix": f"""WITH {PART_SCORED}, live AS (SELECT f.*, score AS p1 FROM feats f JOIN scored USING (s1_id, src, cand_id) WHERE score >= 0.02),
+r AS (SELECT *, row_number() OVER w AS n, max(p1) OVER (PARTITION BY src, cand_id) AS best, lead(p1) OVER w AS second, count(*) OVER (PARTITION BY src, cand_id) AS c_n,
+  max(p1) OVER s AS s1_max, sum((p1 > 0.5)::INT) OVER s AS s1_n50, row_number() OVER (PARTITION BY s1_id ORDER BY p1 DESC, src, cand_id) AS s1_rank
+  FROM live WINDOW w AS (PARTITION BY src, cand_id ORDER BY p1 DESC, s1_id), s AS (PARTITION BY s1_id)),
+o AS (SELECT *, CASE WHEN n = 1 THEN coalesce(second, 0) ELSE best END AS c_other, p1 - CASE WHEN n = 1 THEN coalesce(second, 0) ELSE best END AS c_gap, p1 - s1_max AS s1_gap FROM r)
+SELECT s1_id, src, cand_id, {', '.join(f'round({x}::DOUBLE, {D}) AS {x}' for x in [*FEATURES, 'p1', 's1_max', 's1_gap', 's1_rank', 's1_n50', 'c_other', 'c_gap', 'c_n'])} FROM o""",
+    "q_labelled": f"WITH {CLAIMS} SELECT s1_id, src, cand_id, label FROM claims",
+    "q_training_totals": f"SELECT count(*) AS kept, sum(weight) AS effective, count(*) FILTER (label) AS \"true\" FROM ({subsample('(label OR p1 >= 0.005)')})",
+    "q_dictionary_pairs": f"WITH {RAW}, {TRUTH} SELECT s1_id, cand_id, md5(l.business_name) AS s1_digest, md5(r.business_name) AS other_digest FROM truth JOIN raw l ON l.entity_id = s1_id JOIN raw r ON r.entity_id = cand_id WHERE {crc("s1_id || '#sample'")} % 20 <> 0",
     "q_script_fold": f"SELECT s, folded FROM {values(c.SCRIPTS)} v(s, folded)",
     "q_rule_name": f"WITH {CLAIMS} SELECT s1_id, src, cand_id, round(name_score, {D}) AS score FROM named_scores",
     "q_rule_addr": f"WITH {CLAIMS} SELECT s1_id, src, cand_id, round(addr_score, {D}) AS score FROM named_scores",
