@@ -39,6 +39,14 @@ def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], DataFr
     return _kept[key]
 
 
+def forget() -> None:
+    """Drops the steps that queries share, so that the next query starts from the tables."""
+    for df in _kept.values():
+        df.unpersist()
+    _kept.clear()
+    _runs.clear()
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "records", lambda: linkage.document_records(_table(spark, sf_dir, "documents")))
 
@@ -606,7 +614,7 @@ def _part_files(spark, sf_dir, stream: bool) -> str:
     known = (spark.sparkContext.applicationId, sf_dir, stream)
     if known in _runs:
         return _runs[known]
-    base = _runs[known] = _folder(spark)
+    base = _folder(spark)
     key = F.col("p_partkey")
     rows = _table(spark, sf_dir, "part").select(
         F.concat(F.lit("S"), (key % 3 + 1).cast("string"), F.lit("-"), key.cast("string")).alias("entity_id"), F.col("p_name").alias("business_name"),
@@ -615,6 +623,7 @@ def _part_files(spark, sf_dir, stream: bool) -> str:
     for n in (1, 2, 3):
         tsv.write_tsv(rows.where(F.startswith("entity_id", F.lit(f"S{n}-"))), f"{base}/data_test/test_source{n}.tsv")
     linkage.run(spark, base, f"{base}/out", "test", stream=stream)
+    _runs[known] = base
     return base
 
 
