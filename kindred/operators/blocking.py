@@ -58,16 +58,26 @@ def word_pair_keys(words: Column) -> Column:
     return F.transform(pairs_of(F.slice(F.filter(words, lambda w: F.length(w) >= 3), 1, 6)), lambda p: F.concat(F.lit("w:"), p["a"], F.lit(":"), p["b"]))
 
 
+def _families() -> dict[str, Column]:
+    skeletons = F.filter(F.split("n_skel", " "), lambda t: t != "")
+    return {
+        "name": F.concat(token_keys(F.col("n_tokens")), pair_keys(F.col("n_tokens")), compact_keys(F.col("n_compact")), skeleton_keys(skeletons), prefix_keys(F.col("n_compact"))),
+        "addr": F.concat(number_word_keys(F.col("a_numbers"), F.col("a_words")), number_pair_keys(F.col("a_numbers")), word_pair_keys(F.col("a_words"))),
+    }
+
+
 def record_keys(df: DataFrame) -> DataFrame:
     """``entity_id, src, key, family``: a row for each different key of each normalised record."""
-    skeletons = F.filter(F.split("n_skel", " "), lambda t: t != "")
-    name = F.concat(token_keys(F.col("n_tokens")), pair_keys(F.col("n_tokens")), compact_keys(F.col("n_compact")), skeleton_keys(skeletons), prefix_keys(F.col("n_compact")))
-    addr = F.concat(number_word_keys(F.col("a_numbers"), F.col("a_words")), number_pair_keys(F.col("a_numbers")), word_pair_keys(F.col("a_words")))
-    tagged = F.array(F.struct(F.lit("name").alias("family"), F.array_distinct(name).alias("ks")), F.struct(F.lit("addr").alias("family"), F.array_distinct(addr).alias("ks")))
+    tagged = F.array(*(F.struct(F.lit(family).alias("family"), F.array_distinct(ks).alias("ks")) for family, ks in _families().items()))
     rows = df.select("entity_id", "src", "country", F.explode(tagged).alias("f")).select("entity_id", "src", "country", "f.family", F.explode("f.ks").alias("k"))
     return rows.select("entity_id", "src", F.concat("country", F.lit("|"), "k").alias("key"), "family")
 
 
+def key_list() -> Column:
+    """All different keys of a normalised record."""
+    return F.transform(F.array_distinct(F.concat(*_families().values())), lambda k: F.concat("country", F.lit("|"), k))
+
+
 def key_sizes(keys: DataFrame) -> DataFrame:
     """``src, key, size`` on the other side."""
     return keys.where("src <> 'S1'").groupBy("src", "key").agg(F.count("*").alias("size"))
