@@ -142,7 +142,7 @@ def test_validation_finds_every_fault(spark):
     known = spark.createDataFrame([("S1-1", "S1"), ("S1-2", "S1"), ("S2-1", "S2"), ("S3-1", "S3")], "entity_id string, src string")
     rows = spark.createDataFrame([("S1-1", "S2-1,S2-1"), ("S1-1", "S3-1,"), ("X", "S2-1"), ("S1-9", "S2-7")], "s1_id string, ids string")
     got = {r["check"]: r["violations"] for r in evaluation.validate(rows, known, rows.where("s1_id <> 'X'")).collect()}
-    assert got == {"duplicate_s1_rows": 1, "empty_elements": 1, "missing_s1": 1, "unknown_s1": 2, "malformed_s1": 1, "repeated_in_row": 1, "unknown_match": 1, "two_owners": 1, "not_candidates": 1}
+    assert got == {"duplicate_s1_rows": 1, "empty_elements": 1, "missing_s1": 1, "unknown_s1": 2, "malformed_s1": 1, "repeated_in_row": 1, "unknown_match": 1, "two_owners": 1, "missing_candidate_rows": 1, "unknown_candidate_rows": 1, "not_candidates": 1}
     good = spark.createDataFrame([("S1-1", "S2-1,S3-1"), ("S1-2", "")], "s1_id string, ids string")
     assert {r["violations"] for r in evaluation.validate(good, known, good).collect()} == {0}
     assert tuple(evaluation.summary(good).first()) == (2, 2, 1)
