@@ -6,9 +6,10 @@ through one priority queue: the next node is the one whose splits the query viol
 least (by the sum of squared margins on the way), and the walk ends when the leaves
 seen hold enough rows.  The leaves' candidates are then ranked exactly.
 
-Leaves of a tree are grouped into cells of bounded rows, a cell whose rows or queries
-are many is split again, and each cell ranks its own candidates for the queries that
-reached it; only the best of each cell go on to the merge.
+Leaves of a tree are grouped into a fixed number of cells.  A task holds some of the
+queries that reached a cell, while the cell's rows go by, leaf by leaf, and keeps the best
+of each query; so what goes on to the merge grows as the queries, not as queries times
+rows.  Cells with more than their part of the rows, or many queries, are split again.
 
 Cases: vectors that are null or zero, hold null or non-finite components, or differ in
 length from most, take no part.  Of identical vectors only the k + 1 with the smallest
@@ -40,8 +41,10 @@ TREES, SAMPLE, LEAF = 8, 16_384, 32
 #: A query's walk ends when the leaves seen hold so many times all rows; a row that is seen
 #: in several trees counts in each.
 SHARE = 1.3
-#: Rows in a cell, and queries of a cell in one task, about.
-CELL_ROWS, CELL_QUERIES = 8_192, 65_536
+#: Cells of a tree, and queries of a cell in one task, about.
+CELLS, CELL_QUERIES = 4, 16_384
+#: Candidates that a task gathers before it keeps only the best of each query.
+GATHERED = 1_000_000
 
 
 @dataclass
@@ -134,7 +137,7 @@ def _entries(batches: Iterator[pa.RecordBatch], forest: Forest, per_cell: int, k
         for t in range(leaves.shape[1]):
             n = len(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, t, np.int32)), pa.array((leaves[:, t] // per_cell).astype(np.int32)), pa.array(np.zeros(n, np.int32)),
+                [pa.array(np.full(n, t, np.int32)), pa.array((leaves[:, t] // per_cell).astype(np.int32)), pa.array(np.ones(n, np.int32)),
                  batch.column("id"), v, _binary(leaves[:, t : t + 1].astype(np.int32))],
                 names=["tree", "cell", "kind", "id", "v", "leaves"],
             )
@@ -162,54 +165,64 @@ def _probes(batches: Iterator[pa.RecordBatch], forest: Forest, per_cell: int, ro
                     what.append(raw)
                     leaves.append(np.array(ls, dtype=np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tree, pa.int32()), pa.array(cell, pa.int32()), pa.array([1] * len(tree), pa.int32()), pa.array(who, pa.int64()), pa.array(what, pa.binary()), pa.array(leaves, pa.binary())],
+                [pa.array(tree, pa.int32()), pa.array(cell, pa.int32()), pa.array([0] * len(tree), pa.int32()), pa.array(who, pa.int64()), pa.array(what, pa.binary()), pa.array(leaves, pa.binary())],
                 names=["tree", "cell", "kind", "id", "v", "leaves"],
             )
 
 
 class Cell:
-    """The rows of one cell, in order of their leaves."""
+    """Queries of one cell, with the best of what has gone by for each."""
 
-    def __init__(self, kind: type, ids: list[int], vectors: list[bytes], leaves: list[bytes]) -> None:
-        self.kind = kind
-        leaf = np.frombuffer(b"".join(leaves), dtype=np.int32)
-        order = np.argsort(leaf, kind="stable")
-        self.ids = np.array(ids, dtype=np.int64)[order]
-        self.x = np.frombuffer(b"".join(vectors), dtype=kind).reshape(len(ids), -1)[order].astype(float)
-        self.leaf = leaf[order]
-
-    def best(self, who: list[int], vectors: list[bytes], leaves: list[bytes], k: int) -> pa.RecordBatch:
-        """The ``k`` nearest of the leaves that each query reached here."""
-        q = np.frombuffer(b"".join(vectors), dtype=self.kind).reshape(len(who), -1).astype(float)
-        ids = np.array(who, dtype=np.int64)
+    def __init__(self, asks: list[tuple[int, bytes, bytes]], kind: type, k: int) -> None:
+        who, vectors, leaves = zip(*asks, strict=True)
+        self.k = k
+        self.q = np.frombuffer(b"".join(vectors), dtype=kind).reshape(len(who), -1).astype(float)
+        self.ids = np.array(who, dtype=np.int64)
         asked = np.repeat(np.arange(len(who)), [len(x) // 4 for x in leaves])
         wanted = np.frombuffer(b"".join(leaves), dtype=np.int32)
         order = np.argsort(wanted, kind="stable")
-        asked, wanted = asked[order], wanted[order]
-        found_q, found_x = [], []
-        for leaf in np.unique(wanted):
-            a, b = np.searchsorted(self.leaf, [leaf, leaf + 1])
-            if a == b:
-                continue
-            lo, hi = np.searchsorted(wanted, [leaf, leaf + 1])
-            most = k + (b - a) - len(np.unique(self.ids[a:b]))  # so many rows have k different ids
+        self.asked, self.wanted = asked[order], wanted[order]
+        self.floor = np.full(len(who), -1e300)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.many = 0
+
+    def see(self, ids: np.ndarray, x: np.ndarray, leaf: np.ndarray) -> None:
+        """Rows of the cell: each is compared with the queries that want its leaf."""
+        order = np.argsort(leaf, kind="stable")
+        ids, x, leaf = ids[order], x[order], leaf[order]
+        starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]])) if len(leaf) else np.zeros(0, np.int64)
+        for a, b in zip(starts, [*starts[1:], len(leaf)], strict=True):
+            lo, hi = np.searchsorted(self.wanted, [leaf[a], leaf[a] + 1])
+            most = self.k + (b - a) - len(np.unique(ids[a:b]))  # so many rows have k different ids
             for at in range(lo, hi, 1024):
-                mine = asked[at : min(hi, at + 1024)]
-                s = q[mine] @ self.x[a:b].T
-                s[ids[mine][:, None] == self.ids[a:b][None, :]] = -np.inf
-                floor = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most] if s.shape[1] > most else np.full(len(mine), -1e300)
+                mine = self.asked[at : min(hi, at + 1024)]
+                s = self.q[mine] @ x[a:b].T
+                s[self.ids[mine][:, None] == ids[a:b][None, :]] = -np.inf
+                floor = self.floor[mine]
+                if s.shape[1] > most:
+                    floor = np.maximum(floor, np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most])
                 i, j = np.nonzero(s >= np.maximum(floor - 1e-9 * np.abs(floor), -1e300)[:, None])
-                found_q.append(mine[i])
-                found_x.append(a + j)
-        if not found_q:
-            return _ranked(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), k)
-        fq, fx = np.concatenate(found_q), np.concatenate(found_x)
-        score = (q[fq] * self.x[fx]).sum(axis=1)  # one order of summing, so that equal vectors tie
-        return _ranked(ids[fq], self.ids[fx], score, k)
-
-
-def _ranked(query: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> pa.RecordBatch:
-    """The ``k`` best different others of each query, with their rank."""
+                # one order of summing, so that equal vectors tie
+                self.found.append((mine[i], ids[a + j], (self.q[mine[i]] * x[a + j]).sum(axis=1)))
+                self.many += len(i)
+                if self.many > GATHERED:
+                    self._keep()
+
+    def _keep(self) -> None:
+        q, other, score, rank = _best(*(np.concatenate(c) for c in zip(*self.found, strict=True)), self.k)
+        last = rank == self.k - 1
+        self.floor[q[last]] = score[last]
+        self.found, self.many = [(q, other, score)], len(q)
+
+    def result(self) -> pa.RecordBatch:
+        if not self.found:
+            return _batch(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        q, other, score, _ = _best(*(np.concatenate(c) for c in zip(*self.found, strict=True)), self.k)
+        return _ranked(self.ids[q], other, score, self.k)
+
+
+def _best(query: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best different others of each query, in order, with their rank from 0."""
     order = np.lexsort((-score, other, query))
     query, other, score = query[order], other[order], score[order]
     if len(query):
@@ -219,39 +232,49 @@ def _ranked(query: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) ->
     query, other, score = query[order], other[order], score[order]
     rank = np.arange(len(query)) - np.searchsorted(query, query)
     some = rank < k
+    return query[some], other[some], score[some], rank[some]
+
+
+def _batch(query: np.ndarray, other: np.ndarray, score: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(query[some], pa.int64()), pa.array(rank[some] + 1, pa.int32()), pa.array(other[some], pa.int64()), pa.array(score[some], pa.float64())],
+        [pa.array(query, pa.int64()), pa.array(rank + 1, pa.int32()), pa.array(other, pa.int64()), pa.array(score, pa.float64())],
         names=["query_id", "rank", "vec_id", "score"],
     )
 
 
-RESULT = "query_id long, rank int, vec_id long, score double"
+def _ranked(query: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> pa.RecordBatch:
+    """The ``k`` best different others of each query, with their rank."""
+    return _batch(*_best(query, other, score, k))
 
 
-def _searched(batches: Iterator[pa.RecordBatch], k: int, kind: type) -> Iterator[pa.RecordBatch]:
-    """Rows come by cell, indexed vectors before queries: one cell is held at a time, queries go by."""
-    now, cell, rows, asks = None, None, [], []
+RESULT = "query_id long, rank int, vec_id long, score double"
 
-    def answers() -> Iterator[pa.RecordBatch]:
-        nonlocal cell, rows, asks
-        if asks and (cell is not None or rows):
-            if cell is None:
-                cell, rows = Cell(kind, *zip(*rows, strict=True)), []
-            yield cell.best(*zip(*asks, strict=True), k)
-        asks = []
 
+def _searched(batches: Iterator[pa.RecordBatch], k: int, kind: type) -> Iterator[pa.RecordBatch]:
+    """Rows come by cell, queries before indexed vectors: a cell's queries are held, its rows go by."""
+    now, cell, asks = None, None, []
     for batch in batches:
-        for *key, side, i, v, ls in zip(*(batch.column(c).to_pylist() for c in ("tree", "cell", "block", "salt", "kind", "id", "v", "leaves")), strict=True):
+        keys = [batch.column(c).to_numpy() for c in ("tree", "cell", "block", "salt", "kind")]
+        ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], axis=0)) + 1
+        for a, b in zip([0, *ends], [*ends, batch.num_rows], strict=True):
+            if a == b:
+                continue
+            key = tuple(int(c[a]) for c in keys[:4])
             if key != now:
-                yield from answers()
-                now, cell, rows = key, None, []
-            if side == 0:
-                rows.append((i, v, ls))
-            else:
-                asks.append((i, v, ls))
-                if len(asks) == 4096:
-                    yield from answers()
-    yield from answers()
+                if cell is not None:
+                    yield cell.result()
+                now, cell, asks = key, None, []
+            ids, v, leaves = (batch.column(c).slice(a, b - a) for c in ("id", "v", "leaves"))
+            if keys[4][a] == 0:
+                asks += zip(ids.to_pylist(), v.to_pylist(), leaves.to_pylist(), strict=True)
+                continue
+            if cell is None and asks:
+                cell, asks = Cell(asks, kind, k), []
+            if cell is not None:
+                x = np.frombuffer(b"".join(v.to_pylist()), dtype=kind).reshape(b - a, -1).astype(float)
+                cell.see(ids.to_numpy(), x, np.frombuffer(b"".join(leaves.to_pylist()), dtype=np.int32))
+    if cell is not None:
+        yield cell.result()
 
 
 def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -293,15 +316,13 @@ def nearest(
     picked = index.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()  # ``sample`` vectors at most
     forest = grow(np.array([r["v"] for r in picked], dtype=float), trees, leaf)
     leaves = 1 << forest.depth
-    per_cell = 1
-    while per_cell < leaves and 2 * per_cell * n <= CELL_ROWS * leaves:
-        per_cell *= 2
+    per_cell = max(1, leaves // CELLS)
     shared = spark.sparkContext.broadcast(forest)  # bounded by the sample
     # vectors travel as they are stored: single precision loses nothing of floats
     kind = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
-    # a cell with many rows is cut into blocks, which all its queries visit; one with many queries is copied
+    # a cell with far more than its part of the rows is cut into blocks, which all its queries visit; one with many queries is copied
     cells = [
-        (t, c, max(1, math.ceil(n * float(forest.share[t, c * per_cell : (c + 1) * per_cell].sum()) / CELL_ROWS)))
+        (t, c, max(1, math.ceil(float(forest.share[t, c * per_cell : (c + 1) * per_cell].sum()) * CELLS / 1.5)))
         for t in range(trees) for c in range(leaves // per_cell)
     ]
     blocks = spark.createDataFrame(cells, "tree int, cell int, blocks int")  # trees times leaves rows at most
@@ -317,7 +338,7 @@ def nearest(
         asks = asks.join(plan, ["tree", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
         asks = asks.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
         both = entries.select(*names).unionByName(asks.select(*names))
-        dealt = both.repartition("tree", "cell", "block", "salt").sortWithinPartitions("tree", "cell", "block", "salt", "kind")
+        dealt = both.repartition("tree", "cell", "block", "salt").sortWithinPartitions("tree", "cell", "block", "salt", "kind", "leaves")
         found = dealt.mapInArrow(lambda it: _searched(it, k, kind), RESULT).select("query_id", "vec_id", "score")
         return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lambda it: _merged(it, k), RESULT)
 

@@ -38,12 +38,7 @@ def test_all_is_exact_when_every_leaf_is_seen(spark):
     x[300:420] = x[7]
     ids = rng.permutation(600)
     df = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)], SCHEMA)
-    before = ann.CELL_ROWS
-    ann.CELL_ROWS = 64
-    try:
-        got = ann.nearest(df, F.col("vec_id") % 20 == 0, share=1000.0, sample=200, leaf=8, trees=4).collect()
-    finally:
-        ann.CELL_ROWS = before
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, share=1000.0, sample=200, leaf=8, trees=4).collect()
     found = {}
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
         found.setdefault(r["query_id"], []).append(r["vec_id"])
@@ -90,3 +85,27 @@ def test_every_query_has_k_neighbours_where_there_are_so_many(spark):
         assert all(len(set(v)) == min(k, 39) for v in found.values()) and found.keys() == best.keys()
         if share > 1:
             assert found == {q: v[:k] for q, v in best.items()}
+
+
+def test_best_of_a_cell_is_kept_while_rows_go_by(monkeypatch):
+    """However often a task lets go of what it has gathered, it ends with the best of all rows."""
+    rng = np.random.default_rng(5)
+    x, ids, leaf = rng.integers(-3, 4, (500, 5)).astype(np.float32), rng.integers(0, 300, 500), rng.integers(0, 6, 500).astype(np.int32)
+    q = rng.integers(-3, 4, (40, 5)).astype(np.float32)
+    wants = [np.sort(rng.choice(6, rng.integers(1, 6), replace=False)).astype(np.int32) for _ in range(40)]
+    expected = {}
+    for i in range(40):
+        seen = np.isin(leaf, wants[i]) & (ids != i)
+        best = {}
+        for j in np.flatnonzero(seen):
+            best[int(ids[j])] = max(best.get(int(ids[j]), -1e9), float(q[i].astype(float) @ x[j].astype(float)))
+        expected[i] = sorted(best, key=lambda o: (-best[o], o))[:7]
+    for limit in (1, 50, 1_000_000):
+        monkeypatch.setattr(ann, "GATHERED", limit)
+        cell = ann.Cell([(i, q[i].tobytes(), wants[i].tobytes()) for i in range(40)], np.float32, 7)
+        for at in range(0, 500, 64):
+            cell.see(ids[at : at + 64].astype(np.int64), x[at : at + 64].astype(float), leaf[at : at + 64])
+        found = {}
+        for r in cell.result().to_pylist():
+            found.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert {i: found.get(i, []) for i in range(40)} == expected
