@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -47,6 +48,15 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="kindred-")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of frames that nothing refers to any more.
+
+    It learns of them when the driver's heap is collected, which between short jobs may be late.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def whole_row() -> Column:
     """All columns of a row as one struct ``row``; ``select("row.*")`` has them back, whatever their names."""
     return F.struct("*").alias("row")
@@ -121,6 +131,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
         if now == before:
             break
         before = now
+        del both, low, up, least, down
+        release(edges.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     parts = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
