@@ -67,6 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
+        common.release(spark)
         if k:
             _delete(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
