@@ -213,3 +213,17 @@ def test_edges_and_recall(spark):
     found = evaluation.blocking_recall(truth, spark.createDataFrame([("a", "x"), ("b", "x")], "s1_id string, cand_id string")).first()
     assert tuple(found) == (2, 1, 0.5)
     assert defaultdict(int, evaluation.blocking_recall(truth.limit(0), truth).first().asDict())["recall"] == 0
+
+
+def test_blocking_keeps_the_same_pairs_without_shuffling_pairs(spark, monkeypatch):
+    """Many records with equal names, so that ranks tie at every cut; a country with a bar; groups and sums of a few rows."""
+    rows = [(f"{s}-{i}", s, f"acme {i % 5} trading {i % 3}", f"{i % 7} main road block {i % 4}", c) for c in ("us", "a|b") for s in ("S1", "S2", "S3") for i in range(40 if c == "us" else 12, 90 if c == "us" else 30)]
+    keys = blocking.record_keys(normalize_records(spark.createDataFrame(rows, "entity_id string, src string, business_name string, business_address string, country string")))
+    monkeypatch.setattr(blocking, "CHUNK", 7)
+    monkeypatch.setattr(blocking, "SUMMED", 50)
+    for cfg in (Blocking(), Blocking(max_block=20, top_name=3, top_addr=2, top_total=4), Blocking(top_name=0, top_addr=1, top_total=0)):
+        got, told = (sorted((r["s1_id"], r["src"], r["cand_id"], round(r["block_name"], 9), round(r["block_addr"], 9), round(r["block_score"], 9)) for r in df.collect())
+                     for df in (blocking.best_pairs(keys, cfg), blocking.top_union(blocking.scored_pairs(keys, cfg), cfg)))
+        assert got == told and got
+    plan = blocking.best_pairs(keys)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(s1_id" not in plan
