@@ -227,3 +227,22 @@ def test_blocking_keeps_the_same_pairs_without_shuffling_pairs(spark, monkeypatc
         assert got == told and got
     plan = blocking.best_pairs(keys)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(s1_id" not in plan
+
+
+def test_pairs_meet_their_records_without_a_shuffle_of_both(spark):
+    """Each pair with each record of its ids, repeated ids included; columns that are not carried are null."""
+    rec = records(spark)
+    rec = features.enrich(rec).unionByName(features.enrich(rec).where("entity_id = 'S2-1'"))
+    pairs = blocking.candidates(records(spark))
+    got = features.with_records(pairs, rec, ["n_core", "n_idf", "a_numbers"])
+    rows = sorted((r["s1_id"], r["cand_id"], r["n_core1"], r["n_core2"], tuple(r["a_numbers2"]), r["n_skel1"], round(r["block_score"], 6)) for r in got.collect())
+    by_id = {r["entity_id"]: r for r in rec.collect()}
+    told = sorted(
+        (p["s1_id"], p["cand_id"], by_id[p["s1_id"]]["n_core"], by_id[p["cand_id"]]["n_core"], tuple(by_id[p["cand_id"]]["a_numbers"]), None, round(p["block_score"], 6))
+        for p in pairs.collect() for _ in range(2 if p["cand_id"] == "S2-1" else 1)
+    )
+    assert rows == told and len(rows) == 3
+    assert all(set(r["n_idf1"]) == set(by_id[r["s1_id"]]["n_tokens"]) for r in got.collect())
+    plan = features.with_records(pairs, rec)._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.split("\n") if "Exchange" in line and "hashpartitioning" in line and "n_core1" in line]
+    assert "MapInArrow" in plan and not wide
