@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from kindred.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -54,3 +55,12 @@ def test_registered_queries_keep_keys_up_to_the_operators_cap(spark, tmp_path):
         names = [d[0] for d in told.description]
         assert mine == sorted(tuple(canonical(r[names.index(c)]) for c in sorted(names)) for r in told.fetchall())
     assert max(r["size"] for r in entry.queries()["q_key_cap"](spark, str(tmp_path)).collect()) == 150
+
+
+def test_missed_pairs_do_not_hang_on_the_order_of_summing(spark, monkeypatch):
+    """A sum that is 2, but for its last bit."""
+    found = spark.createDataFrame([("S1-1", "S2-1", 1.9999999999999998), ("S1-2", "S2-2", 1.9999)], "s1_id string, cand_id string, block_score double")
+    monkeypatch.setattr(catalog, "candidates", lambda spark, sf_dir: found)
+    monkeypatch.setattr(catalog, "truth", lambda spark, sf_dir: found.select("s1_id", "cand_id"))
+    assert found.where("block_score >= 2").count() == 0
+    assert [tuple(r) for r in catalog.missed_pairs(spark, SF).collect()] == [("S1-2", "S2-2")]
