@@ -64,3 +64,10 @@ def test_missed_pairs_do_not_hang_on_the_order_of_summing(spark, monkeypatch):
     monkeypatch.setattr(catalog, "truth", lambda spark, sf_dir: found.select("s1_id", "cand_id"))
     assert found.where("block_score >= 2").count() == 0
     assert [tuple(r) for r in catalog.missed_pairs(spark, SF).collect()] == [("S1-2", "S2-2")]
+
+
+def test_candidate_lists_of_a_run_need_no_features(spark, monkeypatch):
+    catalog.forget()
+    monkeypatch.setattr(catalog.linkage.features, "pair_features", lambda *_: pytest.fail("features were asked for"))
+    assert catalog.run_candidates(spark, SF).count() > 0
+    catalog.forget()
