@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +247,14 @@ def test_pairs_meet_their_records_without_a_shuffle_of_both(spark):
     plan = features.with_records(pairs, rec)._jdf.queryExecution().executedPlan().toString()
     wide = [line for line in plan.split("\n") if "Exchange" in line and "hashpartitioning" in line and "n_core1" in line]
     assert "MapInArrow" in plan and not wide
+
+
+def test_like_pairs_are_compared_once(monkeypatch):
+    rows = [("a b", "a c", "ab", "ac", "b", "c", "x 1", "x 2", ["a", "b"], ["a", "c"], ["1"], ["2"]), ("q", None, "q", "", "q", "", "", "", ["q"], [], [], [])]
+    columns = [pd.Series(c) for c in zip(*[rows[i] for i in (0, 1, 0, 0, 1)], strict=True)]
+    told = similarity._pair(*columns)
+    compared = similarity._compared
+    sizes = []
+    monkeypatch.setattr(similarity, "_compared", lambda *cs: sizes.append(len(cs[0])) or compared(*cs))
+    assert similarity._pair(*columns).equals(told) and sizes == [2]
+    assert told.iloc[[0, 1, 0, 0, 1]].reset_index(drop=True).equals(compared(*columns))
