@@ -258,3 +258,13 @@ def test_like_pairs_are_compared_once(monkeypatch):
     monkeypatch.setattr(similarity, "_compared", lambda *cs: sizes.append(len(cs[0])) or compared(*cs))
     assert similarity._pair(*columns).equals(told) and sizes == [2]
     assert told.iloc[[0, 1, 0, 0, 1]].reset_index(drop=True).equals(compared(*columns))
+
+
+def test_a_threshold_on_similarities_compares_pairs_once(spark):
+    """A predicate on what is made of the similarities does not make them once more for itself."""
+    strings, lists = [f"s{i}" for i in range(8)], [f"l{i}" for i in range(4)]
+    pairs = spark.range(5).select(*(F.concat(F.lit("acme "), F.col("id") % (i + 2)).alias(c) for i, c in enumerate(strings)), *(F.array(F.col("id").cast("string")).alias(c) for c in lists))
+    told = pairs.withColumn("f", similarity.pair_similarity(*strings, *lists)).select("f.*").withColumn("score", F.col("name_sort") + F.greatest("name_ratio", "addr_sort"))
+    kept = told.where("score >= 1.9")
+    assert kept._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r["score"] for r in kept.collect()) == sorted(r["score"] for r in told.collect() if r["score"] >= 1.9) != []
