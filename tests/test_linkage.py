@@ -230,6 +230,36 @@ def test_blocking_keeps_the_same_pairs_without_shuffling_pairs(spark, monkeypatc
     assert "hashpartitioning(s1_id" not in plan
 
 
+def test_blocking_moves_numbers_and_gives_ids_of_any_form(spark):
+    """Ids that are their source and a number, and ids that are nearly so; lists of a key leave for the groups as numbers."""
+    forms = ["{s}-7", "{s}-07", "{s}--3", "{s}- 5", "{s}-99999999999", "{s}-", "S9-7", "x", "{s}-7 ", "{s}-+2", "{s}-1e3", "{s}-12"]
+    rows = [(f.format(s=s), s, f"acme trading {i % 2}", "1 main road", "us") for s in ("S1", "S2", "S3") for i, f in enumerate(forms)]
+    keys = blocking.record_keys(normalize_records(spark.createDataFrame(rows, "entity_id string, src string, business_name string, business_address string, country string")))
+    cfg = Blocking(max_block=20, top_name=3, top_addr=2, top_total=4)
+    told = sorted(tuple(r)[:3] for r in blocking.top_union(blocking.scored_pairs(keys, cfg), cfg).select("s1_id", "src", "cand_id").collect())
+    pairs = blocking.best_pairs(keys, cfg, common=blocking.common_keys(keys, cfg), placed=True)
+    assert sorted((r["s1_id"], r["src"], r["cand_id"]) for r in pairs.collect()) == told and len({r[2] for r in told}) > 3
+    assert sorted((r["s1_id"], r["src"], r["cand_id"]) for r in blocking.best_pairs(keys, cfg, blocking.usable_keys(keys, cfg)).collect()) == told
+    plan = blocking.best_pairs(keys, cfg)._jdf.queryExecution().executedPlan().toString()
+    dealt = next(line for line in plan.split("\n") if "hashpartitioning(chunk" in line)
+    assert dealt and "c_nums" in plan and plan.count("hashpartitioning(key") <= 2 * plan.count("REPARTITION_BY_COL")
+
+
+def test_placed_pairs_and_whole_records_move_once(spark):
+    """Pairs with their group need no shuffle by entity, a part's records no other part's, and enriching moves no whole record twice."""
+    rec = records(spark)
+    keys = blocking.record_keys(rec)
+    enriched = features.enrich(rec)
+    placed = blocking.best_pairs(keys, placed=True)
+    told = sorted(tuple(r) for r in features.pair_features(placed.drop("chunk"), enriched).collect())
+    parts = [features.pair_features(placed.where(F.pmod(F.xxhash64("chunk"), F.lit(2)) == k), enriched) for k in range(2)]
+    assert sorted(tuple(r) for p in parts for r in p.collect()) == told and told
+    plan = enriched._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and ("n_compact" in line or "a_text" in line) and "entity_id" in line for line in plan.split("\n"))
+    sent = features.with_records(placed, enriched)._jdf.queryExecution().executedPlan().toString()
+    assert not any("MapInArrow" in line and "n_set" in line.split("own", 1)[0] for line in sent.split("\n"))
+
+
 def test_pairs_meet_their_records_without_a_shuffle_of_both(spark):
     """Each pair with each record of its ids, repeated ids included; columns that are not carried are null."""
     rec = records(spark)
