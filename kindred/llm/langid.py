@@ -2,10 +2,10 @@
 
 Each language has a zstandard dictionary: raw text of that language.  Text is
 lower-cased, and what is no letter becomes one space.  A text is cut into blocks, each
-block is compressed with every dictionary behind a short primer of the language, and what
-the block adds to the primer's size counts: a short text by itself would be stored as it
-stands.  The language that makes the whole text smallest is the answer.  Where the
-runner-up comes within a margin, the answer is marked as rejected.
+block is compressed with every dictionary.  A short block by itself would be stored as it
+stands, so it is compressed behind a short primer of the language, and what it adds to the
+primer's size counts.  The language that makes the whole text smallest is the answer.
+Where the runner-up comes within a margin, the answer is marked as rejected.
 
 A dictionary is made of pieces of texts: whole texts are cut into pieces of a fixed
 length, and the pieces of smallest hash are taken, so that a long text gives as many as
@@ -35,8 +35,8 @@ from .common import free_name, small_batches
 
 #: Bytes of all dictionaries and of one of them, at most, and characters of a piece of text in it.
 ALL_BYTES, DICT_BYTES, PIECE_CHARS = 64_000_000, 64_000, 2_000
-#: Bytes of a text that are compressed at once, and bytes of the primer before them.
-BLOCK_BYTES, PRIMER_BYTES = 4_096, 500
+#: Bytes of a text that are compressed at once, bytes of the primer, and bytes of a block from which it needs none.
+BLOCK_BYTES, PRIMER_BYTES, UNPRIMED_BYTES = 4_096, 500, 1_024
 #: A text is rejected if the runner-up's size is less than this part larger.
 MARGIN = 0.005
 #: Languages, more than there are; a table with more is an error, for its column holds no languages.
@@ -103,7 +103,8 @@ class Classifier:
     def sizes(self, text: str) -> list[int]:
         raw = letters(text)
         blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
-        return [max(1, sum(len(c.compress(primer + b)) - alone for b in blocks)) for c, primer, alone in self.models]
+        added = lambda c, primer, alone, b: len(c.compress(b)) if len(b) >= UNPRIMED_BYTES else len(c.compress(primer + b)) - alone
+        return [max(1, sum(added(*model, b) for b in blocks)) for model in self.models]
 
     def predict(self, text: str | None, margin: float = MARGIN) -> tuple[str, float, bool]:
         """The language, how much larger the runner-up is (0 to 1), and whether the margin is too narrow."""

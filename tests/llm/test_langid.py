@@ -38,6 +38,28 @@ def test_prediction_needs_the_text_alone():
     assert langid.Classifier({"en": b"the"}).predict("anything")[:2] == ("en", 1.0)
 
 
+def test_long_blocks_are_compressed_without_the_primer():
+    """Only a short block needs it: bytes that the compressors are given are few more than the text's."""
+    rng = random.Random(5)
+    model = langid.Classifier({lang: " ".join(rng.choice(ws) for _ in range(3000)).encode() for lang, ws in WORDS.items()})
+    given = []
+
+    class Counted:
+        def __init__(self, c):
+            self.c = c
+
+        def compress(self, b):
+            given.append(len(b))
+            return self.c.compress(b)
+
+    model.models = [(Counted(c), *rest) for c, *rest in model.models]
+    long, short = " ".join(rng.choice(WORDS["de"]) for _ in range(5_000)), "der sich auf"
+    assert model.predict(long)[0] == "de"
+    assert sum(given) <= 2 * (len(langid.letters(long)) + langid.PRIMER_BYTES)
+    given.clear()
+    assert model.predict(short)[0] == "de" and sum(given) == 2 * (len(short) + langid.PRIMER_BYTES)
+
+
 def test_dictionaries_are_bounded_and_ignore_copies(spark):
     rows = corpus(200, 2) + [(1000 + i, "copy copy copy", "en", "s", 0) for i in range(2000)]
     model = langid.learn(spark.createDataFrame(rows, DOCS).select("text", "lang"), 1_000, 100)
