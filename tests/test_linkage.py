@@ -260,6 +260,25 @@ def test_placed_pairs_and_whole_records_move_once(spark):
     assert not any("MapInArrow" in line and "n_set" in line.split("own", 1)[0] for line in sent.split("\n"))
 
 
+def test_folds_keep_their_steps_where_they_are_told(spark, monkeypatch, tmp_path):
+    """Steps that are kept as files leave a plan of files alone, and nothing is persisted."""
+    monkeypatch.setattr(training, "_fit", lambda *_: None)
+    monkeypatch.setattr(training, "_apply", lambda model, df, name: df.withColumn(name, F.lit(0.5)))
+    df = spark.createDataFrame([(f"S1-{i}", "S2", f"S2-{i}", i % 2 == 0) for i in range(40)], "s1_id string, src string, cand_id string, label boolean")
+    paths = []
+
+    def keep(step):
+        paths.append(f"{tmp_path}/{len(paths)}")
+        step.write.parquet(paths[-1])
+        return spark.read.parquet(paths[-1])
+
+    out = training.out_of_fold(df, keep=keep)
+    told = training.out_of_fold(df)
+    assert "InMemory" not in out._jdf.queryExecution().executedPlan().toString() and len(paths) == 3
+    columns = ["s1_id", "src", "cand_id", "label", "p1", "score"]
+    assert sorted(out.select(columns).collect()) == sorted(told.select(columns).collect()) and out.count() == 40
+
+
 def test_pairs_meet_their_records_without_a_shuffle_of_both(spark):
     """Each pair with each record of its ids, repeated ids included; columns that are not carried are null."""
     rec = records(spark)
