@@ -274,7 +274,7 @@ def test_folds_keep_their_steps_where_they_are_told(spark, monkeypatch, tmp_path
 
     out = training.out_of_fold(df, keep=keep)
     told = training.out_of_fold(df)
-    assert "InMemory" not in out._jdf.queryExecution().executedPlan().toString() and len(paths) == 3
+    assert "InMemoryTableScan" not in out._jdf.queryExecution().executedPlan().toString() and len(paths) == 3
     columns = ["s1_id", "src", "cand_id", "label", "p1", "score"]
     assert sorted(out.select(columns).collect()) == sorted(told.select(columns).collect()) and out.count() == 40
 
