@@ -13,6 +13,7 @@ from kindred.config import Blocking, Learning, Params
 from kindred.functions import bulk, similarity
 from kindred.functions.text import normalize_records
 from kindred.operators import blocking, diagnostics, evaluation, features, sampling, scoring, training, translit
+from kindred.plans import catalog
 
 RAW = "entity_id string, business_name string, business_address string, country string, src string"
 
@@ -158,6 +159,23 @@ def test_miss_causes(spark):
     assert {r["cand_id"]: r["cause"] for r in tight.collect()}["S2-1"] == "keys only in oversized blocks"
 
 
+def test_missed_pairs_move_without_their_keys(spark):
+    """Pairs meet the keys of their records in groups: no key list goes with each pair, and only records' keys move."""
+    rec = records(spark)
+    pairs = spark.createDataFrame([("S1-1", "S2-2", "a"), ("S1-1", "S2-1", "b"), ("S1-2", "S2-3", "a")], "s1_id string, cand_id string, chunk string")
+    df = diagnostics.miss_causes(pairs, rec)
+    assert sorted(df.collect()) == sorted(diagnostics.miss_causes(pairs.drop("chunk"), rec).collect()) and df.count() == 3
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "array_intersect" not in plan and "keys1" not in plan
+
+
+def test_causes_of_parts_are_those_of_the_whole(spark, monkeypatch):
+    told = sorted(catalog.miss_cause(spark, "/root/testdata/sf0.001").collect())
+    catalog._kept.pop((spark.sparkContext.applicationId, "/root/testdata/sf0.001", "miss causes"))
+    monkeypatch.setattr(catalog, "CAUSES", len(told) // 3)
+    assert sorted(catalog.miss_cause(spark, "/root/testdata/sf0.001").collect()) == told and len(told) > 30
+
+
 def test_dictionary_keeps_sure_words(spark):
     counts = spark.createDataFrame([("x", "y", 3), ("x", "z", 1), ("w", "v", 1), ("t", "a", 2), ("t", "b", 2)], "x string, y string, c long")
     assert {tuple(r) for r in translit.learn(counts).collect()} == {("x", "y")}
