@@ -169,11 +169,21 @@ def test_missed_pairs_move_without_their_keys(spark):
     assert "MapInArrow" in plan and "array_intersect" not in plan and "keys1" not in plan
 
 
-def test_causes_of_parts_are_those_of_the_whole(spark, monkeypatch):
-    told = sorted(catalog.miss_cause(spark, "/root/testdata/sf0.001").collect())
-    catalog._kept.pop((spark.sparkContext.applicationId, "/root/testdata/sf0.001", "miss causes"))
-    monkeypatch.setattr(catalog, "CAUSES", len(told) // 3)
-    assert sorted(catalog.miss_cause(spark, "/root/testdata/sf0.001").collect()) == told and len(told) > 30
+def test_causes_of_parts_are_those_of_the_whole(spark, monkeypatch, tmp_path):
+    """45 records with one text length for each third of them, in two countries."""
+    rows = [(i, f"Alpha beta {i:02d}. road{' x' * (i // 15)}\nlane {i:02d}", "en" if i % 2 else "fr", "s", 0) for i in range(45)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    told = sorted(catalog.miss_cause(spark, str(tmp_path)).collect())
+    catalog._kept.pop((spark.sparkContext.applicationId, str(tmp_path), "miss causes"))
+    monkeypatch.setattr(catalog, "CAUSES", 60)
+    assert sorted(catalog.miss_cause(spark, str(tmp_path)).collect()) == told and len(told) > 10
+
+
+def test_features_are_made_where_pairs_meet_their_records(spark):
+    """No pair leaves its group with both its records, to come back to Python for its similarities."""
+    rec = records(spark)
+    plan = features.pair_features(blocking.candidates(rec), features.enrich(rec))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "rec1" not in plan and "MapInArrow" in plan
 
 
 def test_dictionary_keeps_sure_words(spark):
